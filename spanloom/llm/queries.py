@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
-from .common import read
+from . import decontaminate, mixing, quality
+from .common import materialize, read
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, keep=["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialize(decontaminate.build_index(read(spark, sf_dir, "documents")), "index")
+    hits = decontaminate.search(index, read(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(hits).drop("n_near_items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op7_quality_rules)}
+    return {f.__name__: f for f in (op4_mixing, op7_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

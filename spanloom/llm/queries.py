@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality
+from . import decontaminate, mixing, quality, simhash
 from .common import materialize, read
 
 
@@ -14,6 +14,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.assess(docs, keep=["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
@@ -26,7 +30,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op7_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op4_mixing, op6_simhash, op7_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash
+from . import decontaminate, licenses, mixing, quality, simhash
 from .common import materialize, read
 
 
@@ -14,6 +14,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -30,8 +34,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op6_simhash, op7_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+    return {"op4_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, simhash
+from . import decontaminate, licenses, mixing, quality, simhash, suffixes
 from .common import materialize, read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

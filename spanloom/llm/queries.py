@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, simhash, suffixes
+from . import decontaminate, licenses, lines, mixing, quality, simhash, suffixes
 from .common import materialize, read
 
 
@@ -14,6 +14,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_line_dedup": lines.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

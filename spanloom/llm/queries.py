@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lines, mixing, quality, simhash, suffixes
+from . import decontaminate, html, licenses, lines, mixing, quality, simhash, suffixes, urls
 from .common import materialize, read
 
 
@@ -18,6 +18,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(read(spark, sf_dir, "documents"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.filter_urls(urls.example_captures(pages), urls.example_entries(pages))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
@@ -41,9 +46,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(hits).drop("n_near_items")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(read(spark, sf_dir, "pages"), html.default_model(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_url_filters, op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+    return {"op2_line_dedup": lines.ORACLE_SQL, "op3_url_filters": urls.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

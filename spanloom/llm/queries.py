@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, licenses, lines, mixing, quality, simhash, suffixes, urls
+from . import decontaminate, html, katz, licenses, lines, mixing, quality, simhash, suffixes, urls
 from .common import materialize, read
 
 
@@ -40,6 +40,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, keep=["doc_id"]).select("doc_id", *quality.BASE, "base_failed", "kept", "posterior")
 
 
+def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = materialize(decontaminate.build_index(read(spark, sf_dir, "documents")), "index")
     hits = decontaminate.search(index, read(spark, sf_dir, "benchmark"))
@@ -51,8 +55,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_url_filters, op4_mixing, op5_license_scan, op6_simhash, op7_quality_rules, op9_decontamination, op10_html_extraction)}
+    every = (
+        op1_suffix_dedup, op2_line_dedup, op3_url_filters, op4_mixing, op5_license_scan, op6_simhash,
+        op7_quality_rules, op8_katz_scores, op9_decontamination, op10_html_extraction,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE_SQL, "op3_url_filters": urls.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_license_scan": licenses.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+    return {
+        "op2_line_dedup": lines.ORACLE_SQL,
+        "op3_url_filters": urls.ORACLE_SQL,
+        "op4_mixing": mixing.ORACLE_SQL,
+        "op5_license_scan": licenses.ORACLE_SQL,
+        "op9_decontamination": decontaminate.ORACLE_SQL,
+    }

@@ -48,6 +48,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def pack(docs: DataFrame, **named: str | Column) -> DataFrame:
+    """All columns of docs as one struct, `row`, beside the named ones: whatever else docs has, no name clashes."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[(docs[c] if isinstance(c, str) else c).alias(k) for k, c in named.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and leave every other code point alone."""
     return F.translate(c, UPPER, LOWER)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pack
 from .tokens import ALNUM, slices, word_numbers
 
 WINDOW = 10
@@ -217,11 +217,11 @@ def digest(hits: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without those in which a benchmark window stands."""
+    """docs, with all their columns, without those in which a benchmark window stands."""
     hits = search(materialize(build_index(docs, text, doc_id), "index"), benchmark)
-    bad = hits.filter(F.size("items") > 0).select(F.col("doc_id").alias("__bad_id"), F.col("hash").alias("__bad_hash")).distinct()
-    tagged = docs.withColumn("__hash", text_hash(text))
-    return tagged.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad_id")) & (F.col("__hash") == F.col("__bad_hash")), "left_anti").drop("__hash")
+    bad = hits.filter(F.size("items") > 0).select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct()
+    packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=text_hash(text))
+    return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""

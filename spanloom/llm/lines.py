@@ -26,7 +26,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize
+from .common import SPACE, WORD, materialize, pack
 
 MIN_WORDS = 5
 BUCKETS = 1 << 14
@@ -105,33 +105,34 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _marked(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
-    gone = repeated_lines(docs, text, doc_id, min_words).select(F.col("id").alias("__id"), F.col("hash").alias("__of"), F.col("gone").alias("__gone"))
-    tagged = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = tagged.join(gone, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
-    return joined.withColumn("__lines", F.split(F.col(text), "\n"))
+    """row (all of docs), id, text, lines and gone for each row of docs."""
+    gone = repeated_lines(docs, text, doc_id, min_words).select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "gone")
+    packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=F.xxhash64(F.coalesce(docs[text], F.lit(""))), text=text)
+    joined = packed.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left")
+    return joined.select("row", "id", "text", F.split("text", "\n").alias("lines"), "gone")
 
 
-def _kept(text: str) -> Column:
-    rest = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    return F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(rest, lambda i: F.get("__lines", i)), "\n"))
+def _kept() -> Column:
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get("lines", i)), "\n"))
 
 
 def digest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = _marked(docs.select("doc_id", "text"), "text", "doc_id", min_words)
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
     return marked.select(
-        "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
+        F.col("id").alias("doc_id"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
         F.size(F.array_except(gone, F.transform(gone, lambda x: x + 1))).cast("long").alias("n_runs"),
-        F.sha2(F.coalesce(_kept("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.sha2(F.coalesce(_kept(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
 def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with later copies of repeated line runs cut out of the text."""
-    marked = _marked(docs, text, doc_id, min_words).withColumn("__kept", _kept(text))
-    return marked.select(*[F.col("__kept").alias(c) if c == text else F.col(c) for c in docs.columns])
+    """docs with later copies of repeated line runs cut out of the text; other columns stay, whatever their names."""
+    marked = _marked(docs, text, doc_id, min_words)
+    return marked.select(*[_kept().alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 _AHEAD = "\n".join(

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialize, pack
 
 WEIGHTS = (3, 1, 2)
 PERCENT = 150
@@ -95,20 +95,23 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """The mixed corpus: each row of docs as often as it is taken, numbered by `copy` from 1.
+    """The mixed corpus: each row of docs as often as it is taken, numbered by `copy` from 1 (which replaces a column of
+    that name).
 
     Rows that agree in doc_id and source are taken alike where their sizes are in one class, so the copies are
     joined back on (doc_id, source, size) and the number within equal rows.
     """
-    twin = Window.partitionBy("__m_id", "__m_source", "__m_size").orderBy(F.lit(1))
+    twin = Window.partitionBy("id", "source", "size").orderBy(F.lit(1))
     counted = copies(docs, text, source, doc_id).filter("copies > 0")
-    counted = counted.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    counted = counted.select(F.col("doc_id").alias("__c_id"), F.col("source").alias("__c_source"), F.col("size").alias("__c_size"), "__copies")
-    numbered = docs.select("*", F.col(doc_id).alias("__m_id"), F.col(source).alias("__m_source"), text_size(F.col(text)).alias("__m_size"))
-    joined = numbered.join(counted, F.col("__m_id").eqNullSafe(F.col("__c_id")) & F.col("__m_source").eqNullSafe(F.col("__c_source")) & (F.col("__m_size") == F.col("__c_size")))
-    joined = joined.withColumn("__n", F.when(F.size("__copies") == 1, F.lit(1)).otherwise(F.row_number().over(twin)))
-    times = F.coalesce(F.get("__copies", F.col("__n") - 1), F.lit(0))
-    return joined.filter(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"))
+    counted = counted.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
+    counted = materialize(counted.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies"), "copies")
+    twins = counted.filter(F.size("copies") > 1).limit(1).count() > 0  # else no row needs a number, and texts move once
+    packed = pack(docs, id=doc_id, source=source, size=text_size(docs[text]))
+    joined = packed.join(counted, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")))
+    joined = joined.withColumn("n", F.row_number().over(twin) if twins else F.lit(1))
+    times = F.coalesce(F.get("copies", F.col("n") - 1), F.lit(0))
+    rest = [c for c in docs.columns if c.lower() != "copy"]
+    return joined.filter(times > 0).select(*[F.col("row")[c].alias(c) for c in rest], F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"))
 
 
 ORACLE_SQL = r"""

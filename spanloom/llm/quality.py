@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, words
+from .common import SPACE, WORD, materialize, pack, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -171,5 +171,5 @@ def assess(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
 
 
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return assess(docs, text).filter("kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with, whatever their names."""
+    return assess(pack(docs, text=text), keep=["row"]).filter("kept").select("row.*")

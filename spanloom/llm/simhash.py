@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, pack
 from .components import components
 from .tokens import raw
 
@@ -210,12 +210,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each class: the one with the least doc_id, null ids last; of rows equal in id and text any one."""
+    """One document of each class, with all its columns: the one with the least doc_id, null ids last; of rows equal in
+    id and text any one."""
     found = materialize(near_duplicates(docs, text, doc_id), "near")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("s"))
-    first = first.select(F.col("s.doc_id").alias("__keep_id"), F.col("s.hash").alias("__keep_hash"))
-    tagged = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = tagged.join(first, F.col(doc_id).cast("bigint").eqNullSafe(F.col("__keep_id")) & (F.col("__hash") == F.col("__keep_hash")), "left_semi")
+    first = first.select(F.col("s.doc_id").alias("keep_id"), F.col("s.hash").alias("keep_hash"))
+    packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    kept = packed.join(first, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")), "left_semi")
     if found.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, "__hash"])
-    return kept.drop("__hash")
+        kept = kept.dropDuplicates(["id", "hash"])
+    return kept.select("row.*")

@@ -63,9 +63,10 @@ def text_hash(text: str = "text") -> Column:
 
 
 def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per segment, as in INDEX_SCHEMA; write it wherever it is to be kept."""
+    """One row per segment, as in INDEX_SCHEMA. It is written at once: segments are numbered by task, and every block of
+    a search must see the same numbers."""
     slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), text_hash(text).alias("hash"), F.col(text).alias("text"))
-    return slim.mapInArrow(_build, INDEX_SCHEMA)
+    return materialize(slim.mapInArrow(_build, INDEX_SCHEMA), "index")
 
 
 class Windows:
@@ -218,7 +219,7 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, with all their columns, without those in which a benchmark window stands."""
-    hits = search(materialize(build_index(docs, text, doc_id), "index"), benchmark)
+    hits = search(build_index(docs, text, doc_id), benchmark)
     bad = hits.filter(F.size("items") > 0).select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct()
     packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=text_hash(text))
     return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")

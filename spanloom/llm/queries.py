@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html, katz, licenses, lines, mixing, quality, simhash, suffixes, urls
-from .common import materialize, read
+from .common import read
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = materialize(decontaminate.build_index(read(spark, sf_dir, "documents")), "index")
+    index = decontaminate.build_index(read(spark, sf_dir, "documents"))
     hits = decontaminate.search(index, read(spark, sf_dir, "benchmark"))
     return decontaminate.digest(hits).drop("n_near_items")
 

@@ -296,5 +296,6 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int =
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, text: what is left of each; bytes of a cut character go with it."""
-    cut = _with_spans(docs, text, doc_id, length, GRAM, MOST).mapInArrow(lambda it: _cut(it, True), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
+    gram = min(GRAM, 1 << max(0, (length // 4).bit_length() - 1))  # a power of two well below a short length
+    cut = _with_spans(docs, text, doc_id, length, gram, MOST).mapInArrow(lambda it: _cut(it, True), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept string")
     return cut.select(F.col("id").alias(doc_id), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(text))

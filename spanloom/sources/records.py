@@ -90,7 +90,7 @@ def generations(snapshots: DataFrame, stream: str, at: str, identity: list[str],
     for c in identity:
         changed |= ~F.lag(c).over(w).eqNullSafe(F.col(c))
     new = F.when(F.row_number().over(w) == 1, 0).otherwise(F.coalesce(changed, F.lit(False)).cast("int"))
-    return snapshots.withColumn("__new", new).withColumn("generation", F.sum("__new").over(w)).drop("__new")
+    return snapshots.withColumn("__new", new).withColumn("generation", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
 def overlapping(ranges: DataFrame, stream: str, start: str = "start", end: str = "end", id_: str = "id", width: int = 1 << 20) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,16 +32,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_recorders: list[list[str]] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation beyond its own tasks. The files go when the driver exits."""
+    executor costs no recomputation beyond its own tasks. The files go when the driver exits, or by remove()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    for tables in _recorders:
+        tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The tables that materialize() writes meanwhile, so that they can be removed once what they led to is written."""
+    tables: list[str] = []
+    _recorders.append(tables)
+    try:
+        yield tables
+    finally:
+        _recorders[:] = [x for x in _recorders if x is not tables]
+
+
+def remove(spark: SparkSession, tables: list[str]) -> None:
+    for path in tables:
+        _remove(spark, path)
+    tables.clear()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

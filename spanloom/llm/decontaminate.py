@@ -26,35 +26,32 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pack
-from .tokens import ALNUM, slices, word_numbers
+from .common import materialize, pack, recording, remove
+from .tokens import ALNUM, parts, word_numbers
 
 WINDOW = 10
 SLOP = 2
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 #: Benchmark bytes in a block.
 BLOCK = 16 << 20
 #: Candidate places looked at together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 
 INDEX_SCHEMA = "segment string, ids array<bigint>, hashes array<bigint>, begins binary, terms binary, lists binary, places binary"
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = 0
-    for whole in batches:
-        for batch in slices(whole, "text", SEGMENT):
-            numbers, begins = word_numbers(batch.column("text"), ALNUM)
-            order = np.argsort(numbers, kind="stable").astype(np.int32)
-            terms, lists = np.unique(numbers[order], return_index=True)
-            n += 1
-            row = {
-                "segment": [f"{TaskContext.get().partitionId()}-{n}"],
-                "ids": pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
-                "hashes": pa.array([batch.column("hash").to_pylist()], pa.list_(pa.int64())),
-            }
-            row |= {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("begins", begins.astype(np.int32)), ("terms", terms), ("lists", lists.astype(np.int32)), ("places", order))}
-            yield pa.RecordBatch.from_pydict(row)
+    for n, batch in enumerate(parts(batches, "text", SEGMENT)):
+        numbers, begins = word_numbers(batch.column("text"), ALNUM)
+        order = np.argsort(numbers, kind="stable").astype(np.int32)
+        terms, lists = np.unique(numbers[order], return_index=True)
+        row = {
+            "segment": [f"{TaskContext.get().partitionId()}-{n}"],
+            "ids": pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())),
+            "hashes": pa.array([batch.column("hash").to_pylist()], pa.list_(pa.int64())),
+        }
+        row |= {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("begins", begins.astype(np.int32)), ("terms", terms), ("lists", lists.astype(np.int32)), ("places", order))}
+        yield pa.RecordBatch.from_pydict(row)
 
 
 def text_hash(text: str = "text") -> Column:
@@ -175,15 +172,15 @@ def search(index: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     asked = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(text).alias("t"))
     total = asked.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK))
-    parts = []
+    found = []
     for b in range(blocks):
         block = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
         rows = [(r["i"], r["t"]) for r in block.toLocalIterator()]
-        parts.append(index.mapInArrow(_search(spark.sparkContext.broadcast(Windows(rows)), slop), HITS_SCHEMA))
+        found.append(index.mapInArrow(_search(spark.sparkContext.broadcast(Windows(rows)), slop), HITS_SCHEMA))
     if blocks == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
+        return found[0]
+    both = found[0]
+    for p in found[1:]:
         both = both.unionByName(p)
     listed = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     return both.groupBy("segment", "row", "doc_id", "hash", "n_words").agg(F.array_join(F.transform(F.collect_list("spans"), F.hex), "").alias("spans"), listed("items"), listed("near_items")).withColumn("spans", F.unhex("spans"))
@@ -219,8 +216,11 @@ def digest(hits: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs, with all their columns, without those in which a benchmark window stands."""
-    hits = search(build_index(docs, text, doc_id), benchmark)
-    bad = hits.filter(F.size("items") > 0).select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct()
+    with recording() as made:
+        hits = search(build_index(docs, text, doc_id), benchmark)
+        bad = hits.filter(F.size("items") > 0).select(F.col("doc_id").alias("bad_id"), F.col("hash").alias("bad_hash")).distinct()
+        bad = materialize(bad, "contaminated")
+    remove(docs.sparkSession, made[:-1])
     packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=text_hash(text))
     return packed.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti").select("row.*")
 

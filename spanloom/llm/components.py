@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, recording, remove
 
 ROUNDS = 60
 
 
 def _mins(edges: DataFrame) -> DataFrame:
-    """u and the least of its neighbours and itself; the aggregation combines before it shuffles."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    """u and the least of its neighbours and itself; the aggregation combines before it shuffles. Written, as a join
+    whose two sides are shuffled for it alone is one that Spark can split where a centre holds many edges."""
+    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,14 +33,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     A star's centre may hold any share of the edges: minima combine on the map side and each join has one row per
     node on its other side, so Spark can split a large partition. Rounds grow with the logarithm of the largest
-    component; each is written to the shared folder, which ends its lineage.
+    component; each is written to the shared folder, which ends its lineage, and the one before is removed.
     """
-    now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    with recording() as old:
+        now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     for _ in range(ROUNDS):
         after = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(after) == state or not after[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = tuple(after)
-        now = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        with recording() as made:
+            now = materialize(_small_star(materialize(_large_star(now).distinct(), "large")).distinct(), "edges")
+        remove(spark, old + made[:-1])
+        old = made[-1:]
     raise RuntimeError("components did not settle")

@@ -25,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pack
+from .common import materialize, pack, recording, remove
 from .components import components
-from .tokens import raw
+from .tokens import parts, raw
 
 SHINGLE = 3
 DISTANCE = 3
 #: Fingerprints of one key that are compared directly.
 MOST = 4096
+#: Text bytes of a batch that are looked at together.
+PART = 4 << 20
 _HALF = np.uint64(0xFFFFFFFF)
 
 
@@ -55,7 +57,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text", PART):
             data, at = raw(b.column("text"))
             data = data.tobytes()
             found = np.fromiter((fingerprint(data[at[i] : at[i + 1]], shingle) for i in range(b.num_rows)), np.uint64, b.num_rows)
@@ -191,10 +193,12 @@ def links(fps: DataFrame, distance: int = DISTANCE, most: int = MOST) -> DataFra
 
 def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fp, root (a fingerprint that names its class), component_id (least doc_id of the class) for each fingerprint."""
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(least.select("fp"), distance))
-    known = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    known = materialize(known, "classes")
+    with recording() as made:
+        least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+        roots = components(links(least.select("fp"), distance))
+        known = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+        known = materialize(known, "classes")
+    remove(prints.sparkSession, made[:-1])
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return known.drop("least").join(ids, "root").select("fp", "root", "component_id")
 

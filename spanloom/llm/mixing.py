@@ -67,6 +67,7 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), text_size(F.col(text)).alias("size"))
     slim = slim.withColumn("__h", _hash(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 12))
     slim = slim.withColumn("__class", F.floor(FINE * F.log2(F.col("size") + 1)).cast("int")).withColumn("__slot", (F.col("__h") % SLOTS).cast("int"))
+    slim = materialize(slim, "sizes")  # counted, summed and ranked below, from one pass over the texts
     slots = slim.groupBy("source", "__class", "__slot").agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__size"))
     along = Window.partitionBy("source").orderBy("__class", "__slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))

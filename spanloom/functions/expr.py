@@ -10,8 +10,8 @@ MINUTE = 60 * SECOND
 BUCKET = 10 * MINUTE
 DAY = 24 * 60 * MINUTE
 
-_UUID7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+_UUID7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\\z"
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})\z"
 
 
 def micros(ts: Column) -> Column:
@@ -144,4 +144,23 @@ def backoff(attempt: Column, base: int = 5, most: int = 300) -> Column:
 def json_integer(doc: Column, path: str) -> Column:
     """An integer member; null for text, fractions, true and false, which a cast would let through."""
     found = F.get_json_object(doc, path)
-    return F.when(found.rlike(r"^-?\d{1,16}(\.0+)?$"), F.regexp_replace(found, r"\.0+$", "").cast("long"))
+    return F.when(found.rlike(r"^-?\d{1,16}(\.0+)?\z"), F.regexp_replace(found, r"\.0+$", "").cast("long"))
+
+
+def valid_email(email: Column) -> Column:
+    """One @ with something on both sides, no white space or control characters, no dot at the domain's ends."""
+    return email.rlike(r"^[^@\s\x00-\x1f]+@[^@\s\x00-\x1f.]([^@\s\x00-\x1f]*[^@\s\x00-\x1f.])?\z")
+
+
+def workspace_of(email: Column, workspaces: dict[str, str]) -> Column:
+    """The workspace that an address's domain belongs to; null where it belongs to none."""
+    domain = F.split_part(email, F.lit("@"), F.lit(2))
+    out = F.lit(None).cast("string")
+    for name, workspace in workspaces.items():
+        out = F.when(domain == name, workspace).otherwise(out)
+    return out
+
+
+def lane(active_live: Column, active_backfill: Column, concurrency: int, live_reserved: int) -> Column:
+    """What to take next: live work up to its reserve, then backfill up to the rest, then live."""
+    return F.when(active_live < live_reserved, "live").when(active_backfill < concurrency - live_reserved, "backfill").otherwise("live")

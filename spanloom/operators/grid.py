@@ -61,3 +61,11 @@ def global_peak(grid: DataFrame) -> DataFrame:
 def ranked(people: DataFrame, metric: str, index: str = "roster_index") -> DataFrame:
     """people by metric, ties in roster order. A roster is bounded, and one window orders all of it."""
     return people.withColumn("rank", F.row_number().over(Window.orderBy(F.col(metric).desc(), F.col(index))))
+
+
+def day_payload(grid: DataFrame) -> DataFrame:
+    """person_id, display_name, payload: a person's day as JSON, [agents, subagents, others, prompts] for each bucket in
+    order. A day has a fixed number of buckets, which bounds the group."""
+    counts = F.array(*[F.col(c).cast("long") for c in (*ROLES, "prompts")])
+    days = grid.groupBy("person_id", "display_name").agg(F.array_sort(F.collect_list(F.struct("bucket_at", counts.alias("c")))).alias("b"))
+    return days.select("person_id", "display_name", F.to_json(F.transform("b", lambda x: x["c"])).alias("payload"))

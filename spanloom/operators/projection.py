@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import DAY, MINUTE, SECOND
+from ..functions.expr import DAY, MINUTE, SECOND, bucket_start
+from . import grid
 from .canonical import canonical
 from .detail import prompt_identity
 from .pairing import adjacent_copies, mutual_unique_pairs, without
 from .predicates import after_session_start, is_activity, is_prompt
+from .revisions import latest_revision
 
 COVERED = 26 * 60 * MINUTE
 PADDING = 6 * SECOND
@@ -76,3 +78,24 @@ def day_window(now: int) -> tuple[int, int]:
     """The 24 hours that end with the last whole bucket."""
     end = now - now % (10 * MINUTE)
     return end - DAY, end
+
+
+def projected_facts(revisions: DataFrame, start: int, end: int, now: int) -> dict[str, DataFrame]:
+    """From evidence revisions (revision_id, is_tombstone beside EVIDENCE_KEYS and EVIDENCE_VALUES) what a day grid
+    needs: buckets, day, prompts, latest. The last revision of each key counts, and only then do tombstones go; prompts
+    are told apart across sessions."""
+    last = latest_revision(revisions, EVIDENCE_KEYS)
+    active = last.filter("evidence_kind = 'activity'").withColumnRenamed("observed_at", "effective_at")
+    first = F.min(F.struct("observed_at", "source_event_id"))["observed_at"].alias("observed_at")
+    prompts = last.filter((F.col("evidence_kind") == "prompt") & (F.col("observed_at") >= start) & (F.col("observed_at") < end)).groupBy("person_id", "prompt_identity").agg(first)
+    return {
+        "buckets": grid.bucket_activity(active, start, end),
+        "day": grid.day_totals(active, start, end),
+        "prompts": prompts.groupBy("person_id", bucket_start(F.col("observed_at"), anchor=start).alias("bucket_at")).agg(F.count(F.lit(1)).alias("prompts")),
+        "latest": grid.latest_activity(active.filter(F.col("effective_at") >= start), now),
+    }
+
+
+def projected_grid(revisions: DataFrame, roster: DataFrame, start: int, end: int, now: int) -> DataFrame:
+    """The day grid from projected evidence, as the raw one but for copies of one message, which were left out before."""
+    return grid.bucket_grid(roster, list(projected_facts(revisions, start, end, now).values()), start, end)

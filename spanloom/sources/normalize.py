@@ -296,3 +296,54 @@ def normalize_transcripts(records: DataFrame, prefix: str = "transcript") -> Dat
     found = F.when(F.coalesce(is_message, F.lit(False)), F.when(F.size(several) > 0, several).otherwise(nothing)).otherwise(other)
     each = joined.select("stream", "record_index", "session_id", "actor_role", "occurred_at", F.posexplode(found).alias("i", "x"))
     return _flat(each.withColumn("e", F.col("x").withField("projection_index", F.col("i"))))
+
+
+# What a hook may report, and what a session's end may give as its reason.
+HOOKS = ("Stop", "SubagentStop", "SessionEnd")
+END_REASONS = ("clear", "resume", "logout", "prompt_input_exit", "bypass_permissions_disabled", "other")
+_SHA, _UUID, _UTC = r"^[0-9a-f]{64}\z", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z\z"
+
+
+def normalize_hooks(records: DataFrame, schema_version: str, hook_type: str = "hook", prefix: str = "transcript") -> DataFrame:
+    """One lifecycle event per hook record: the end of a session, or of a response, which is the end of a turn only where
+    the record binds it to a transcript. A record that fails a check says which; checks come in a fixed order, and the
+    first that fails counts. Their payloads come in base64 with their hash."""
+    parsed = _parsed(records)
+    v = F.col("v")
+    raw = F.try_to_binary(text(v, "$.payload_base64"), F.lit("base64"))
+    p = F.try_parse_json(F.try_validate_utf8(raw.cast("string")))
+    with_payload = parsed.withColumn("raw", raw).withColumn("p", F.when(F.schema_of_variant(p).startswith("OBJECT"), p))
+    p = F.col("p")
+    hook, sha, observed = text(v, "$.dispatch_event_name"), text(v, "$.payload_sha256"), text(v, "$.collector_observed_at")
+    session, parent, paid = text(v, "$.native_session_id"), text(v, "$.parent_native_session_id"), text(p, "$.session_id")
+    sub = hook == "SubagentStop"
+    count, digest, last, anchor = whole(v, "$.transcript_byte_count"), text(v, "$.transcript_sha256"), text(v, "$.terminal_assistant_uuid"), text(v, "$.turn_anchor_id")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    owner = F.when(sub, text(p, "$.agent_id")).otherwise(paid)
+    above = F.when(sub, paid)
+    error = (
+        F.when(v.isNull(), F.concat(F.lit("native_"), F.when(F.col("parse_status") == "ok", "malformed").otherwise(F.col("parse_status"))))
+        .when(~yes((text(v, "$.type") == hook_type) & (text(v, "$.schema_version") == schema_version)), "invalid_hook_schema")
+        .when(~yes(observed.rlike(_UTC) & F.try_to_timestamp(observed).isNotNull()), "invalid_hook_observed_at")
+        .when(~yes(hook.isin(*HOOKS)), "invalid_hook_event")
+        .when(~yes(sha.rlike(_SHA) & text(v, "$.payload_base64").isNotNull()), "invalid_hook_payload")
+        .when(~yes(F.sha2("raw", 256) == sha), "invalid_hook_payload_hash")
+        .when(~yes(text(p, "$.hook_event_name") == hook), "invalid_hook_payload_event")
+        .when(~yes((session == owner) & (session == F.col("seen_session_id"))) | ~parent.eqNullSafe(above) | ~parent.eqNullSafe(F.col("seen_parent_id")), "invalid_hook_session")
+        .when((count.isNull() != digest.isNull()) | ~F.coalesce(digest.rlike(_SHA), F.lit(True)), "invalid_hook_transcript")
+        .when(~F.coalesce(last.rlike(_UUID), F.lit(True)) | ~F.coalesce(anchor.rlike(_UUID), F.lit(True)) | yes((hook == "SessionEnd") & F.coalesce(last, anchor).isNotNull()), "invalid_hook_anchor")
+        .when(last.isNotNull() & F.coalesce(count == 0, F.lit(True)), "invalid_hook_transcript")
+    )
+    bound = last.isNotNull() & anchor.isNotNull() & count.isNotNull() & digest.isNotNull()
+    good = F.col("error").isNull()
+    own = F.concat(F.lit(f"{prefix}:hook:"), sha)
+    e = _event(
+        projection_index=0, source_priority=120, event_kind="lifecycle", error_code=F.col("error"),
+        event_subtype=F.when(~good, "hook_invalid").when(hook == "SessionEnd", "session_end").when(bound, "turn_complete").otherwise("response_complete_unlinked"),
+        logical_event_key=F.when(good, F.when(bound, F.concat(F.lit(f"{prefix}:lifecycle:"), last, F.lit(":turn_complete"))).otherwise(own)),
+        native_item_id=F.when(good & (hook != "SessionEnd"), last), turn_id=F.when(good & bound, F.concat(F.lit(f"{prefix}:prompt:"), anchor)),
+        phase=F.when(good & (hook == "SessionEnd") & text(p, "$.reason").isin(*END_REASONS), text(p, "$.reason")),
+    )
+    role = F.when(F.col("seen_parent_id").isNotNull(), "worker").when(F.col("seen_session_id").isNotNull(), "primary").otherwise("unknown")
+    out = with_payload.withColumn("error", error).withColumn("e", e).withColumn("session_id", F.col("seen_session_id")).withColumn("actor_role", role)
+    return _flat(out.withColumn("occurred_at", F.when(good, observed).otherwise(F.col("occurred_at"))))

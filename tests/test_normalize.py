@@ -124,3 +124,29 @@ def test_inherited_names(spark):
     got = {(r["stream"], r["node"]): r["value"] for r in N.inherited(spark.createDataFrame(rows, "stream string, node string, parent string, named string, own string"), rounds=8).collect()}
     assert [got["s", f"n{i}"] for i in (0, 2, 3, 39, 40, 41, 90, 99)] == [None, None, "o3", "o3", "P", "P", "P", "P"]
     assert got["t", "n5"] == "alone" and got["t", "c1"] == "C" and got["t", "d1"] is None
+
+
+def test_hook_records(spark):
+    import base64
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    uuid, anchor = "0190a1b2-c3d4-7000-8000-000000000001", "0190a1b2-c3d4-7000-8000-000000000002"
+
+    def hook(event="Stop", payload=None, **more):
+        body = json.dumps({"hook_event_name": event, "session_id": "s1"} | (payload or {})).encode()
+        base = {"type": "hook", "schema_version": "h1", "collector_observed_at": "2024-01-01T00:00:00.5Z", "dispatch_event_name": event, "payload_sha256": sha(body), "payload_base64": base64.b64encode(body).decode(), "native_session_id": "s1"}
+        return {k: v for k, v in (base | more).items() if v is not None}
+
+    bound = {"terminal_assistant_uuid": uuid, "turn_anchor_id": anchor, "transcript_byte_count": 9, "transcript_sha256": "a" * 64}
+    bodies = [
+        hook(**bound), hook(), hook("SessionEnd", {"reason": "logout"}), hook("SessionEnd", {"reason": "else"}), hook(schema_version="h2"), hook(collector_observed_at="2024-02-30T00:00:00Z"), hook("Start"), hook(payload_sha256="x"),
+        hook(payload_sha256="b" * 64), hook(payload={"hook_event_name": "Other"}), hook(native_session_id="s2"), hook(transcript_byte_count=9), hook(**bound | {"turn_anchor_id": "x"}), hook(**bound | {"transcript_byte_count": 0}), "{broken",
+    ]
+    got = run(records(spark, *bodies), N.normalize_hooks, schema_version="h1")
+    assert [r["error_code"] for r in got] == [
+        None, None, None, None, "invalid_hook_schema", "invalid_hook_observed_at", "invalid_hook_event", "invalid_hook_payload", "invalid_hook_payload_hash", "invalid_hook_payload_event", "invalid_hook_session",
+        "invalid_hook_transcript", "invalid_hook_anchor", "invalid_hook_transcript", "native_malformed",
+    ]
+    assert [r["event_subtype"] for r in got[:5]] == ["turn_complete", "response_complete_unlinked", "session_end", "session_end", "hook_invalid"]
+    assert got[0]["logical_event_key"] == f"transcript:lifecycle:{uuid}:turn_complete" and got[0]["turn_id"] == f"transcript:prompt:{anchor}" and got[0]["occurred_at"] == "2024-01-01T00:00:00.5Z"
+    assert (got[2]["phase"], got[3]["phase"]) == ("logout", None) and got[1]["logical_event_key"].startswith("transcript:hook:")

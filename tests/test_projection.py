@@ -72,3 +72,24 @@ def test_windows_and_activation(spark):
     jobs = spark.createDataFrame([("complete",), ("running",)], "status string")
     assert P.activation_ready(none, jobs.filter("status = 'complete'")).first()["ready"]
     assert not P.activation_ready(none, jobs).first()["ready"]
+
+
+def test_projected_grid_is_the_raw_one_without_copies(spark):
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import canonical, detail, grid, predicates
+
+    rows = [event(i, i * 40 * S, session_id=i % 3, actor_role=("primary", "worker", "unknown")[i % 3], logical_event_key="k" if i % 5 == 0 else None, native_item_id=f"n{i % 4}") for i in range(60)]
+    end = 4 * X.BUCKET
+    sessions = spark.createDataFrame([(i, None) for i in range(3)], "session_id long, started_at long")
+    events = spark.createDataFrame(rows, EVENT)
+    revisions = P.evidence(events, sessions, 0, end).withColumn("revision_id", F.lit(1)).withColumn("is_tombstone", F.lit(False))
+    people = spark.createDataFrame([(1, "A"), (2, "B")], "person_id long, display_name string")
+    got = P.projected_grid(revisions, people, 0, end, end).drop("latest_at")
+    can = canonical.canonical(events.filter(predicates.is_activity()))
+    inside = (F.col("observed_at") >= 0) & (F.col("observed_at") < end)
+    prompts = detail.ranked_prompts(detail.prompt_identity(events.filter(predicates.is_prompt()))).filter(inside).groupBy("person_id", X.bucket_start(F.col("observed_at")).alias("bucket_at")).agg(F.count(F.lit(1)).alias("prompts"))
+    raw = grid.bucket_grid(people, [grid.bucket_activity(can, 0, end), grid.day_totals(can, 0, end), prompts], 0, end).select(got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, raw.collect()))
+    payload = {r["person_id"]: r["payload"] for r in grid.day_payload(raw).collect()}
+    assert payload[2] == "[[0,0,0,0],[0,0,0,0],[0,0,0,0],[0,0,0,0]]" and payload[1].count("[") == 5

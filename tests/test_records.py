@@ -75,3 +75,12 @@ def test_column_functions(spark):
     assert [r["u"] and tuple(r["u"]) for r in usage.collect()] == [(80, 20, 20, 10, 130), None, None]
     docs = ['{"k": 5}', '{"k": "5"}', '{"k": true}', '{"k": 5.0}', '{"k": 5.5}', "{}", "no"]
     assert [r[0] for r in spark.createDataFrame([(d,) for d in docs], "d string").select(X.json_integer(F.col("d"), "$.k")).collect()][3:] == [5, None, None, None]
+
+
+def test_identities_and_lanes(spark):
+    rows = ["a@b.c", "a@b", "a@@b", "@b", "a@", "a b@c", "a@.b", "a@b.", "a@b\n", "a", None]
+    df = spark.createDataFrame([(e,) for e in rows], "e string")
+    assert [r[0] for r in df.select(X.valid_email(F.col("e"))).collect()] == [True, True, *[False] * 8, None]
+    assert [r[0] for r in df.limit(2).select(X.workspace_of(F.col("e"), {"b.c": "w1"})).collect()] == ["w1", None]
+    work = spark.createDataFrame([(0, 0), (3, 0), (3, 3), (2, 9)], "l int, b int")
+    assert [r[0] for r in work.select(X.lane(F.col("l"), F.col("b"), 6, 3)).collect()] == ["live", "backfill", "live", "live"]

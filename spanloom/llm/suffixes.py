@@ -33,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import _VALUES, mix, powers, raw
+from .tokens import _VALUES, mix, parts, powers, raw
 
 LENGTH = 400
 GRAM = 32
 #: Kinds of pieces of one anchor that are sorted together, and pieces in a batch of classes.
 MOST = 1 << 16
-BATCH = 8192
+BATCH = 4096
+#: Text bytes of a batch that are looked at together.
+PART = 4 << 20
 _CHUNK = 1 << 20
 _LOW = np.uint64((1 << 21) - 1)
 _STEPS = powers(0xD1342543DE82EF95, 64)
@@ -85,7 +87,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text", PART):
             data, offsets = raw(b.column("text"))
             whole = memoryview(np.ascontiguousarray(data))
             for anchor, lo, hi, h in _pieces(data, offsets, length, gram):
@@ -104,7 +106,7 @@ def _extract(length: int):
     """Bytes of the wanted pieces of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text", PART):
             data, offsets = raw(b.column("text"))
             wanted = b.column("wanted")
             flat, counts = wanted.flatten(), np.diff(wanted.offsets.to_numpy())
@@ -130,8 +132,11 @@ def repeated_starts(classes: np.ndarray, left: np.ndarray, data: np.ndarray, off
     columns = middle + length
     sizes = np.diff(offsets)
     text = np.full((columns, n), 256, np.uint16)
-    row = np.repeat(np.arange(n), sizes)
-    text[np.arange(len(data)) - offsets[row] + middle - left[row], row] = data
+    for at in range(0, n, 512):  # a stretch of pieces at a time, as places take more room than bytes
+        own = slice(at, at + 512)
+        row = np.repeat(np.arange(at, min(at + 512, n)), sizes[own])
+        lo, hi = offsets[at], offsets[min(at + 512, n)]
+        text[np.arange(lo, hi) - offsets[row] + middle - left[row], row] = data[lo:hi]
     order, common = np.arange(n), np.zeros(n + 1, np.int32)
     found = np.zeros((middle + 1, n), bool)
     block = classes.astype(np.int64) * 257
@@ -241,7 +246,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kind = "id bigint, hash bigint, anchor bigint, piece bigint, place int, lo int, hi int"
     anchors = materialize(slim.mapInArrow(_anchors(length, gram), kind), "anchors")
     common = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("piece").alias("p"), F.max("piece").alias("q")).filter("n > 1")
-    repeated = materialize(anchors.join(common.select("anchor", (F.col("p") != F.col("q")).alias("mixed")), "anchor"), "repeated")
+    # Written, so that the join shuffles both its sides itself and Spark can split an anchor that many pieces share.
+    common = materialize(common.select("anchor", (F.col("p") != F.col("q")).alias("mixed")), "common")
+    repeated = materialize(anchors.join(common, "anchor"), "repeated")
     mixed = repeated.filter("mixed")
     kinds = mixed.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "hash", "place", "lo", "hi")).alias("first"))
     kinds = materialize(kinds.select("anchor", "piece", (F.col("n") == 1).alias("single"), "first.*"), "kinds")
@@ -265,7 +272,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def _cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches, "text", PART):
         data, offsets = raw(b.column("text"))
         data = data.tobytes()
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}

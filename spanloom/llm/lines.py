@@ -26,7 +26,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, pack
+from .common import SPACE, WORD, materialize, pack, recording, remove
 
 MIN_WORDS = 5
 BUCKETS = 1 << 14
@@ -76,6 +76,13 @@ def _suffix_ranks(active: DataFrame, total: int, depth: int) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """id, hash (of the text), gone: sorted numbers of the lines that are later copies, for each text that has any."""
+    with recording() as made:
+        gone = materialize(_repeated_lines(docs, text, doc_id, min_words), "gone")
+    remove(docs.sparkSession, made[:-1])
+    return gone
+
+
+def _repeated_lines(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
     lines = materialize(_lines(docs, text, doc_id), "lines")
     ids = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(_position()).alias("first")).filter("n > 1")
     ids = materialize(ids, "ids")
@@ -100,6 +107,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         runs = suffixes.select("id", "hash", "j", F.array(*runs).alias("runs")).select("id", "hash", "j", F.explode(F.array_compact("runs")).alias("run"))
         runs = materialize(runs.select("id", "hash", "j", "run.*"), "runs")
         first = runs.groupBy("size", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(_position()).alias("first")).filter("n > 1").drop("n")
+        first = materialize(first, "first")  # so that Spark can split the join's side where one run is very common
         found = found.unionByName(runs.join(first, ["size", "x", "y"]).filter(_position() > F.col("first")).select("id", "hash", "gone"))
     return found.groupBy(*_DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 

@@ -199,7 +199,7 @@ def classes(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
         known = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
         known = materialize(known, "classes")
     remove(prints.sparkSession, made[:-1])
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = materialize(known.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     return known.drop("least").join(ids, "root").select("fp", "root", "component_id")
 
 

@@ -4,19 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm.common import materialize, read
+from spanloom.llm.common import materialize, read, recording, remove
 from spanloom.llm.decontaminate import decontaminate
 from spanloom.llm.lines import line_dedup
 from spanloom.llm.mixing import mix
 from spanloom.llm.quality import quality_filter
 from spanloom.llm.simhash import near_dedup
 
+#: Scratch tables of the stage before: its result has been written when the next stage begins, and they can go.
+_scratch: list[str] = []
+
+
+def _stage(work):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _scratch)
+        with recording() as made:
+            out = work(spark, docs, sf_dir)
+        _scratch[:] = made
+        return out
+
+    return stage
+
+
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality_filter(docs)),
-    ("line dedup", lambda spark, docs, sf_dir: line_dedup(docs)),
-    ("SimHash near-dedup", lambda spark, docs, sf_dir: near_dedup(docs)),
-    ("benchmark decontamination", lambda spark, docs, sf_dir: decontaminate(docs, read(spark, sf_dir, "benchmark"))),
-    ("mixing sources to target weights", lambda spark, docs, sf_dir: mix(docs)),
+    ("quality rules", _stage(lambda spark, docs, sf_dir: quality_filter(docs))),
+    ("line dedup", _stage(lambda spark, docs, sf_dir: line_dedup(docs))),
+    ("SimHash near-dedup", _stage(lambda spark, docs, sf_dir: near_dedup(docs))),
+    ("benchmark decontamination", _stage(lambda spark, docs, sf_dir: decontaminate(docs, read(spark, sf_dir, "benchmark")))),
+    ("mixing sources to target weights", _stage(lambda spark, docs, sf_dir: mix(docs))),
 ]
 #: Components of near duplicates are not said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,6 +39,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    last: list[str] = []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        with recording() as written:
+            docs = materialize(out, name.replace(" ", "-"))
+        remove(spark, last)
+        last = written
     return docs

@@ -6,9 +6,17 @@ The tables come from a fixed seed, so numbers agree between tasks and runs.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
 #: Text bytes worked on at once; a longer word is still taken whole.
 CHUNK = 1 << 20
 _rng = np.random.default_rng(20240611)
@@ -108,8 +116,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int):
         at = end
 
 
+def give_back() -> None:
+    """What a worker has freed goes back to the system: workers live on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def parts(batches, column: str, most: int):
-    """The slices of all batches. What Arrow has set aside for a batch is given back after it, as a worker lives on."""
+    """The slices of all batches; memory is given back after each batch."""
     for batch in batches:
         yield from slices(batch, column, most)
-        pa.default_memory_pool().release_unused()
+        give_back()

@@ -13,6 +13,15 @@ second-level key, because their other halves differ in at most 3 bits too.
 Null and empty texts have fingerprint 0 and are linked like any others; texts of one or two words are one shingle.
 Rows are told apart by doc_id and text. Null ids take part; a component of only null ids has a null component_id.
 An empty table gives an empty table.
+
+near_dedup has a contract of its own: two documents are near copies if their sets of five-word shingles have a Jaccard
+similarity of SIMILARITY or more. Its fingerprints have 128 bits in SEGMENTS segments, so two that differ in at most
+2 * SEGMENTS - 1 bits agree in one segment but for at most one bit; keys are segments with one bit left out. Pairs that meet
+and are that near are candidates, and each is verified on the exact sets. What is missed is pairs whose fingerprints lie
+further apart. Equal sets fold first. Rows of a key come sorted by the size of their set, and only sizes that the similarity
+allows are compared. Each document is paired with its next AHEAD candidates of a key; a key in which one has more comes
+again once these are verified, and then all its candidates in different classes are paired, so a large class costs
+no square of its size and no pair is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pack, recording, remove
 from .components import components
-from .tokens import parts, raw
+from .tokens import SPACED, mix, parts, raw, word_numbers
 
 SHINGLE = 3
 DISTANCE = 3
@@ -37,6 +46,15 @@ MOST = 4096
 PART = 4 << 20
 _HALF = np.uint64(0xFFFFFFFF)
 
+#: What near_dedup takes as near copies: words of a shingle, and the least Jaccard similarity of the sets of these.
+NEAR_SHINGLE = 5
+SIMILARITY = 0.8
+SEGMENTS = 12
+#: Candidates of one document in one key that are paired before classes are known.
+AHEAD = 16
+#: Rows of keys that are compared at once.
+ROWS = 1 << 17
+
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     # bytes.lower and bytes.split know A-Z and ASCII white space only, as wanted.
@@ -209,6 +227,172 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return prints.join(classes(prints), "fp").select("doc_id", "hash", "fp", "root", "component_id")
 
 
+def _grams(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted set of shingles of each text, as numbers; a text of fewer words is one shingle."""
+    numbers, begins = word_numbers(column, SPACED)
+    for lo, hi in zip(begins[:-1], begins[1:], strict=True):
+        size = min(NEAR_SHINGLE, hi - lo)
+        h = np.zeros(hi - lo - size + 1 if size else 0, np.uint64)
+        for k in range(size):
+            h = mix(h) + numbers[lo + k : lo + k + len(h)]
+        yield np.unique(mix(h))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in parts(batches, "text", PART):
+        sets, sizes = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int32)
+        fps = np.zeros((2, b.num_rows), np.uint64)
+        for i, grams in enumerate(_grams(b.column("text"))):
+            sets[i], sizes[i] = xxhash.xxh64_intdigest(grams.tobytes(), 42), len(grams)
+            for k, h in enumerate((grams, mix(grams + np.uint64(1)))):
+                total = sum(np.unpackbits(h[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(h), 65536))
+                if len(h):
+                    fps[k, i] = np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0]
+        yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "hash": b.column("hash"), "set": sets.view(np.int64), "n": sizes, "f": fps[0].view(np.int64), "g": fps[1].view(np.int64)})
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in parts(batches, "text", PART):
+        for i, grams in enumerate(_grams(b.column("text"))):
+            yield pa.RecordBatch.from_pydict({"hash": b.column("hash")[i : i + 1], "grams": pa.array([grams.view(np.int64)], pa.list_(pa.int64()))})
+
+
+def _segment_keys(segments: int):
+    """at (key and size of the set), node, f, g: a row for each bit that is left out of its segment."""
+    edges = np.linspace(0, 128, segments + 1).astype(int)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                node, n, f, g = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "f", "g"))
+                bits = np.unpackbits(np.stack([f, g], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                keys = np.empty((part.num_rows, 128), np.int64)
+                for first, last in zip(edges[:-1], edges[1:], strict=True):
+                    each = bits[:, first:last] << np.arange(last - first)
+                    keys[:, first:last] = each.sum(axis=1)[:, None] - each
+                keys = (np.arange(128) << 20 | keys) << 32 | n[:, None].astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"at": keys.reshape(-1), **{k: np.repeat(x, 128) for k, x in (("node", node), ("f", f), ("g", g))}})
+
+    return run
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], columns: list[str], least: int) -> Iterator[list[np.ndarray]]:
+    """Columns of at least so many rows at once, cut between keys; rows are sorted by at."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for b in batches:
+        x = [b.column(c).to_numpy() for c in columns]
+        if not len(x[0]):
+            continue
+        if rows >= least:
+            cut = int(np.searchsorted(x[0] >> 32, held[-1][0][-1] >> 32, "right"))
+            if cut < len(x[0]):
+                held.append([v[:cut] for v in x])
+                yield [np.concatenate(v) for v in zip(*held, strict=True)]
+                held, rows, x = [], 0, [v[cut:] for v in x]
+        held.append(x)
+        rows += len(x[0])
+    if held:
+        yield [np.concatenate(v) for v in zip(*held, strict=True)]
+
+
+def _reach(n: np.ndarray) -> np.ndarray:
+    """The largest set that can be similar to one of n shingles."""
+    return np.floor(n / SIMILARITY + 1e-6).astype(np.int64)
+
+
+_MET = "hot boolean, at bigint, a bigint, b bigint, f bigint, g bigint"
+
+
+def _ahead(distance: int, most: int):
+    """Candidate pairs a, b: each row and its next ones in the same key, `most` at most; all rows of keys that hold more
+    come again (hot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, node, *fps in _whole_keys(batches, ["at", "node", "f", "g"], ROWS):
+            f, g = (x.view(np.uint64) for x in fps)  # numpy counts the bits of absolute values
+            n = at & 0xFFFFFFFF
+            left = np.searchsorted(at, (at - n) + _reach(n), "right") - 1 - np.arange(len(at))
+            count = np.zeros(len(at), np.int64)
+            one, two = [], []
+            now, d = np.flatnonzero(left > 0), 1
+            while len(now):
+                near = now[np.bitwise_count(f[now] ^ f[now + d]) + np.bitwise_count(g[now] ^ g[now + d]) <= distance]
+                count[near] += 1
+                near = near[count[near] <= most]
+                one.append(near), two.append(near + d)
+                now = now[(left[now] > d) & (count[now] <= most)]
+                d += 1
+            a, b = (node[np.concatenate(x)] if x else node[:0] for x in (one, two))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            zero = np.zeros(len(a), np.int64)
+            yield pa.RecordBatch.from_pydict({"hot": np.zeros(len(a), bool), "at": zero, "a": a, "b": b, "f": zero, "g": zero})
+            again = np.isin(at >> 32, (at >> 32)[count > most])
+            if again.any():
+                yield pa.RecordBatch.from_pydict({"hot": np.ones(int(again.sum()), bool), "at": at[again], "a": node[again], "b": node[again], "f": fps[0][again], "g": fps[1][again]})
+
+    return run
+
+
+def _across(distance: int):
+    """Candidate pairs a, b of different classes in each key; the key's largest class is not compared with itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_keys(batches, ["at", "a", "f", "g", "root"], 1):
+            cuts = np.flatnonzero(np.diff(columns[0] >> 32)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(columns[0])], strict=True):
+                at, node, f, g, root = (x[lo:hi] for x in columns)
+                roots, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
+                n, f, g = at & 0xFFFFFFFF, f.view(np.uint64), g.view(np.uint64)
+                others = np.flatnonzero(of != sizes.argmax())
+                step = max(1, (1 << 20) // len(at))
+                for k in range(0, len(others), step):
+                    x = others[k : k + step, None]
+                    near = np.bitwise_count(f[x] ^ f) + np.bitwise_count(g[x] ^ g) <= distance
+                    i, j = np.nonzero(near & (root[x] != root) & (np.maximum(n[x], n) <= _reach(np.minimum(n[x], n))))
+                    a, b = node[others[k + i]], node[j]
+                    yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v of pairs (a, b) whose texts' sets of shingles are similar; texts has hash and text."""
+    wanted = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash"))).distinct()
+    grams = texts.join(wanted, "hash", "left_semi").dropDuplicates(["hash"]).mapInArrow(_shingles, "hash bigint, grams array<bigint>")
+    grams = materialize(grams, "grams")
+    side = lambda c: grams.select(F.col("hash").alias(c), F.col("grams").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    return joined.filter(both / (F.size("of_a") + F.size("of_b") - both) >= SIMILARITY).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segments: int = SEGMENTS, ahead: int = AHEAD) -> DataFrame:
+    """doc_id, hash, root (the same in all of a class of near copies): a row for each row of docs."""
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    sets = materialize(texts.mapInArrow(_sets, "doc_id bigint, hash bigint, set bigint, n int, f bigint, g bigint"), "sets")
+    nodes = materialize(sets.groupBy("set", "n", "f", "g").agg(F.min("hash").alias("node")), "nodes")
+    texts, distance = texts.select("hash", "text"), 2 * segments - 1
+
+    def by_key(rows: DataFrame, node: str) -> DataFrame:
+        return rows.repartition(F.shiftright("at", 32)).sortWithinPartitions("at", node)
+
+    keyed = nodes.filter("n > 0").mapInArrow(_segment_keys(segments), "at bigint, node bigint, f bigint, g bigint")
+    met = materialize(by_key(keyed, "node").mapInArrow(_ahead(distance, ahead), _MET), "met")
+    pairs = materialize(met.filter("NOT hot").select("a", "b").distinct(), "pairs")
+    edges = materialize(_similar(pairs, texts), "similar")
+    roots = components(edges)
+    hot = met.filter("hot").drop("hot", "b")
+    if hot.limit(1).count():
+        classed = hot.join(roots, F.col("a") == F.col("node"), "left").select("at", "a", "f", "g", F.coalesce("root", "a").alias("root"))
+        more = by_key(classed, "a").mapInArrow(_across(distance), "a bigint, b bigint").distinct()
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        roots = components(edges.unionByName(materialize(_similar(more, texts), "similar")))
+    known = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
+    return sets.join(known, "set").select("doc_id", "hash", "root")
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -216,7 +400,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each class, with all its columns: the one with the least doc_id, null ids last; of rows equal in
     id and text any one."""
-    found = materialize(near_duplicates(docs, text, doc_id), "near")
+    found = materialize(near_copies(docs, text, doc_id), "near")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("hash"))).alias("s"))
     first = first.select(F.col("s.doc_id").alias("keep_id"), F.col("s.hash").alias("keep_hash"))
     packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=F.xxhash64(F.coalesce(docs[text], F.lit(""))))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,51 @@ def test_one_of_each_group_stays(spark):
     assert (3, "The same  text here") in kept and (9, "other words stand in this one") in kept and (None, "words without a number stand here") in kept
 
 
+def _shingles(t):
+    ws = brute.words(brute.lower(t))
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def _near_classes(texts, met=lambda i, j: True):
+    sets = [_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (sets[i] == sets[j] or sets[i] and met(i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def test_near_copies_of_five_words_and_eight_tenths_go(spark):
+    """Fingerprints of these lie more than three bits apart; two texts of 0.72 are a candidate that isn't verified."""
+    base = [f"w{i}" for i in range(304)]
+    changed = lambda places: " ".join("other" if i in places else w for i, w in enumerate(base))
+    near, far = changed({50, 150, 250}), changed({10, 40, 70, 100, 130, 160, 190, 220, 250})
+    texts = [" ".join(base), near, far, "quite another text of some words"]
+    assert _near_classes(texts) == [0, 0, 2, 3]
+    assert (brute.fingerprint(texts[0]) ^ brute.fingerprint(near)).bit_count() > 3
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(docs(spark, texts)).collect()) == [0, 2, 3]
+
+
+@pytest.mark.parametrize("ahead", [2, simhash.AHEAD])
+def test_near_copies_are_brute_force(spark, ahead):
+    """Many near copies of few texts, at many distances, so keys are crowded; all pairs whose fingerprints are near count."""
+    r = random.Random(8)
+    texts = [None, "", " \n", "one", "One ", "one two"]
+    for c in range(4):
+        base = [f"c{c}w{i}" for i in range(400)]
+        for _ in range(25):
+            gone = set(r.sample(range(400), r.choice([1, 3, 5, 8, 12, 20])))
+            texts.append(" ".join("x" if i in gone else w for i, w in enumerate(base)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "hash": list(range(len(texts))), "text": texts})
+    fps = [(x["f"] & (1 << 64) - 1) << 64 | x["g"] & (1 << 64) - 1 for b in simhash._sets(iter([batch])) for x in b.to_pylist()]
+    want = _near_classes(texts, lambda i, j: (fps[i] ^ fps[j]).bit_count() < 2 * simhash.SEGMENTS)
+    got = {x["doc_id"]: x["root"] for x in simhash.near_copies(docs(spark, texts), ahead=ahead).collect()}
+    first = {}
+    assert [first.setdefault(got[i], i) for i in range(len(texts))] == want
+
+
 def test_empty_table(spark):
     df = docs(spark, ["x"]).filter(F.lit(False))
     assert simhash.digest(df).collect() == []

@@ -99,18 +99,23 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """The mixed corpus: each row of docs as often as it is taken, numbered by `copy` from 1 (which replaces a column of
     that name).
 
-    Rows that agree in doc_id and source are taken alike where their sizes are in one class, so the copies are
-    joined back on (doc_id, source, size) and the number within equal rows.
+    Counts are joined back on (doc_id, source, size): of rows that agree in these so many are taken once or more, so
+    many twice, which is a few numbers however many rows they are. Where such rows are not all taken alike, rows are
+    numbered among their equals and the first ones are taken.
     """
     twin = Window.partitionBy("id", "source", "size").orderBy(F.lit(1))
-    counted = copies(docs, text, source, doc_id).filter("copies > 0")
-    counted = counted.groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    counted = materialize(counted.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies"), "copies")
-    twins = counted.filter(F.size("copies") > 1).limit(1).count() > 0  # else no row needs a number, and texts move once
+    least = [f"__least_{k}" for k in range(1, MOST + 1)]
+    counted = copies(docs, text, source, doc_id).groupBy("doc_id", "source", "size")
+    counted = counted.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(F.col("copies") >= k + 1).alias(c) for k, c in enumerate(least)]).filter(F.col(least[0]) > 0)
+    counted = materialize(counted.select(F.col("doc_id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "__rows", *least), "copies")
+    unlike = F.lit(False)
+    for c in least:
+        unlike |= (F.col(c) > 0) & (F.col(c) < F.col("__rows"))
+    twins = counted.filter(unlike).limit(1).count() > 0  # else equal rows are taken alike, and texts move once
     packed = pack(docs, id=doc_id, source=source, size=text_size(docs[text]))
     joined = packed.join(counted, F.col("id").eqNullSafe(F.col("of_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("size") == F.col("of_size")))
     joined = joined.withColumn("n", F.row_number().over(twin) if twins else F.lit(1))
-    times = F.coalesce(F.get("copies", F.col("n") - 1), F.lit(0))
+    times = sum((F.when(F.col("n") <= F.col(c), 1).otherwise(0) for c in least), F.lit(0)).cast("long")
     rest = [c for c in docs.columns if c.lower() != "copy"]
     return joined.filter(times > 0).select(*[F.col("row")[c].alias(c) for c in rest], F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"))
 

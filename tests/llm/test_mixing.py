@@ -61,6 +61,23 @@ def test_corpus_holds_each_row_as_often_as_taken(spark):
     assert {r["copy"] for r in got} <= {1, 2}
 
 
+def test_equal_rows_of_one_source_at_a_rate_below_one(spark):
+    """At a rate under a half one of two equal rows is taken or none, so no key has two taken rows."""
+    rows, sources = [(i // 2, f"{i // 2} some words") for i in range(40)], ["b"] * 40
+    for source, n in {"a": 19, "c": 13, "d": 19, "e": 7, "f": 13}.items():
+        rows += [(100 + len(rows) + i, "four words of text") for i in range(n)]
+        sources += [source] * n
+    df = docs(spark, rows, sources)
+    want = {}
+    for r in mixing.copies(df).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["copies"]
+    assert {want[i] for i in range(20)} == {0, 1}
+    got = {}
+    for r in mixing.mix(df).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_empty_table_and_empty_texts(spark):
     df = docs(spark, ["", None])
     assert [r["taken"] for r in mixing.digest(df).collect()] == [0, 0]

@@ -1,410 +1,366 @@
-"""Language-model scores: a word bigram model with Katz backoff.
-
-p(v | u) is the Good-Turing discounted c(u, v) / c(u) where the pair was seen KEEP times or more in training, else
-bow(u) * p(v); bow(u) makes each history sum to one exactly, and p(v) discounts in the same way and leaves the rest to one
-unknown word. Every text begins after a start mark and ends with an end token.
-
-Counting and scoring need the same thing together, all followers of a history, so one shuffle serves both. A segment
-of documents sends each bucket a packed block of its (history, follower, document) entries; buckets are ranges of the
-history's hash and number as many as the text needs for ENTRIES entries each. The most frequent words of a bounded
-sample (HOT of them) are dealt by history and follower instead, as one of them may be the history of a large share
-of all tokens; which words these are changes where entries go and no result. As every word is a history once for each
-time it is a token, word counts fall out of the same blocks.
-
-The model is two tables in the shared folder: words (word, c) and pairs (bucket, u, v, c, c of v), from which weights
-follow. Counts cover every training document. Scores return as sums per segment and bucket.
-
-Words are compared as 64-bit numbers. Null text is empty: one end token. A null doc_id counts as empty text in the
-split. Rows are documents of their own; an empty table gives an empty table; with no training documents every word is
-unknown.
+"""Language-model scores: a word model of order ORDER with Katz backoff.
+
+p(w | h) is the Good-Turing discounted count of (h, w) over the count of h where (h, w) was seen in training, however
+seldom; else bow(h) * p(w | h') where h was seen, h' being h without its first word; else p(w | h'). Down at single words
+the discounted counts leave a rest for one unknown word. bow(h) is what h's discounts leave over what h's followers leave
+under h', so each history sums to one exactly. Counts above DISCOUNTED lose the same small part of one occurrence, which
+keeps something for every history. Texts begin after ORDER - 1 start marks and end with an end token.
+
+1. Texts become segments: packed word numbers of about SEGMENT bytes of text. A longer text is cut, each further piece
+   beginning with the words before it.
+2. Each segment asks for the corpus count of every distinct n-gram that it holds, of every order. Questions are dealt by
+   ranges of the n-gram's hash, so a frequent n-gram, word or history is one entry a segment and burdens no task; a bucket
+   takes about ENTRIES of them. It sums what the segments saw in training and answers each with the counts, whether a text
+   outside training holds the n-gram, and which one segment speaks for it.
+3. With its answers a segment scores its own tokens, order by order. Where it speaks for an n-gram it adds to the sums of
+   the history, if a text outside training holds that (no other can ask for its weight); where a token backs off it asks.
+   Both are rows, and weights, a table by order and history, meet them in a plain join.
+
+Counts cover every training document and every n-gram of them. Words are compared as 64-bit numbers. Null text is empty:
+one end token. A null doc_id counts as empty text in the split. Rows are documents of their own, so repeated rows are
+each scored; an empty table gives an empty table; with no training documents every word is unknown.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, TaskContext
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, words
+from .common import materialize, recording, remove
 from .tokens import SPACED, give_back, mix, parts, word_numbers
 
-KEEP = 2
-#: Counts up to here are discounted.
+ORDER = 3
+#: Counts up to here have a discount of their own.
 DISCOUNTED = 5
-HOT = 255
-SAMPLE_BYTES = 16 << 20
-ENTRIES = 1_000_000
-BYTES_A_WORD = 6.5
-SEGMENT = 8 << 20
+ENTRIES = 2_000_000
+SEGMENT = 6 << 20
+PIECE = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
+PAD = ORDER - 1
+#: A bucket's number has its order above this bit.
+_SHIFT = 40
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix(u * _A + v)
+def _longer(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The n-grams that go on with a word."""
+    return mix(key * _A + word)
 
 
-def _bucket(u: np.ndarray, v: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    """By history; by history and follower where the history is hot."""
-    spread = np.where(_member(u, hot), _pair(u, v), mix(u))
-    return ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _pads() -> list[np.uint64]:
+    """For each order the key of start marks alone, which is a history and no n-gram of its own."""
+    one = np.array([START])
+    out = [one]
+    for _ in range(1, ORDER):
+        out.append(_longer(out[-1], one))
+    return [k[0] for k in out]
 
 
-def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Membership in a sorted array."""
-    if not len(of):
-        return np.zeros(len(x), bool)
-    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays byte by byte: the leading bytes of sorted keys and of small counts take next to nothing."""
+    planes = [(a.dtype.str, np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
+    return zstandard.compress(pickle.dumps(planes, 5), 1)
 
 
-def _blocks(hot: np.ndarray, buckets: int):
-    """bucket, block of every segment. The documents of a segment are numbered with those for training first, so a block
-    need not say of each entry which kind it is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = 0
-        for b in parts(batches, "text", SEGMENT):
-            numbers, begins = word_numbers(b.column("text"), SPACED)
-            n = b.num_rows
-            counts = np.diff(begins) + 1
-            ends = np.cumsum(counts)
-            v = np.full(int(ends[-1]), END, np.uint64)
-            inner = np.ones(len(v), bool)
-            inner[ends - 1] = False
-            v[inner] = numbers
-            u = np.empty_like(v)
-            u[1:] = v[:-1]
-            u[np.concatenate([[0], ends[:-1]])] = START
-            train = b.column("train").to_numpy(zero_copy_only=False)
-            sequence = np.argsort(~train, kind="stable")
-            number = np.empty(n, np.uint32)
-            number[sequence] = np.arange(n, dtype=np.uint32)
-            doc = np.repeat(number, counts)
-            bucket = _bucket(u, v, hot, buckets)
-            order = np.lexsort((u, bucket)) if buckets > 1 else np.argsort(u)
-            u, v, doc = u[order], v[order], doc[order]
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            segment = (TaskContext.get().partitionId() << 24) + made
-            made += 1
-            n_train = int(train.sum())
-            info = pickle.dumps((b.column("id").take(pa.array(sequence)).to_pylist(), counts[sequence].astype(np.int64)), 5)
-            small = np.uint16 if n <= 65536 else np.uint32
-            for k in range(buckets):
-                s = slice(cuts[k], cuts[k + 1])
-                first = k == segment % buckets  # who the documents are travels in one of the blocks
-                if cuts[k] == cuts[k + 1] and not first:
-                    continue
-                us, times = np.unique(u[s], return_counts=True)
-                known = _member(v[s], hot)
-                code = np.where(known, np.searchsorted(hot, v[s]) + 1, 0).astype(np.uint8)
-                rest = v[s][~known]
-                head = np.array([segment, n, n_train, len(us), len(code), len(rest)], np.int64)
-                block = b"".join(x.tobytes() for x in (head, us, rest, times.astype(np.uint32), doc[s].astype(small), code)) + (info if first else b"")
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([k], pa.int32()), "block": pa.array([block], pa.binary())})
-
-    return run
+def _unsqueeze(raw: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, planes in pickle.loads(zstandard.decompress(raw)):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).reshape(-1))
+    return out
 
 
-def _open(blocks: Iterable[bytes], hot: np.ndarray):
-    """Entries of a bucket: u, v, place (number of the document among all of the bucket's), train; and the segments as
-    (segment, info, first place, documents, those for training)."""
-    us, vs, places, trains, segments, total = [], [], [], [], [], 0
-    for raw in blocks:
-        segment, n, n_train, n_us, n_entries, n_rest = np.frombuffer(raw, np.int64, 6).tolist()
-        at = 48
-
-        def take(kind, count):
-            nonlocal at
-            x = np.frombuffer(raw, kind, count, at)  # noqa: B023
-            at += x.nbytes
-            return x
-
-        u, rest, times = take(np.uint64, n_us), take(np.uint64, n_rest), take(np.uint32, n_us)
-        doc, code = take(np.uint16 if n <= 65536 else np.uint32, n_entries), take(np.uint8, n_entries)
-        v = np.empty(len(code), np.uint64)
-        v[code == 0] = rest
-        if len(hot):
-            v[code > 0] = hot[code[code > 0].astype(np.int64) - 1]
-        us.append(np.repeat(u, times)), vs.append(v), places.append(doc.astype(np.int64) + total)
-        trains.append(doc < n_train)
-        segments.append((segment, pickle.loads(raw[at:]) if at < len(raw) else None, total, n, n_train))
-        total += n
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    return join(us, np.uint64), join(vs, np.uint64), join(places, np.int64), join(trains, bool), segments, total
-
-
-def _grouped(u: np.ndarray, v: np.ndarray):
-    """Order by pair, and the places where each pair begins in that order."""
-    key = _pair(u, v)
-    order = np.argsort(key)
-    key = key[order]
-    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+@dataclass
+class Segment:
+    """Pieces of texts one after another, each PAD entries of context and then its tokens. row, doc, known and train are
+    of pieces; known says that doc is not null; first, that the context is start marks."""
+
+    words: np.ndarray
+    entries: np.ndarray
+    lengths: np.ndarray
+    row: np.ndarray
+    doc: np.ndarray
+    known: np.ndarray
+    train: np.ndarray
+    first: np.ndarray
+
+    def pack(self) -> bytes:
+        return _squeeze(self.words, self.entries, self.lengths, self.row, self.doc, self.known, self.train, self.first)
+
+    @staticmethod
+    def unpack(raw: bytes) -> Segment:
+        return Segment(*_unsqueeze(raw))
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = TaskContext.get().partitionId() << 32
+    for b in parts(batches, "text", SEGMENT):
+        numbers, begins = word_numbers(b.column("text"), SPACED)
+        n = b.num_rows
+        lengths = np.diff(begins) + PAD + 1
+        ends = np.cumsum(lengths)
+        stream = np.full(int(ends[-1]), START, np.uint64)
+        place = np.arange(len(stream)) - np.repeat(ends - lengths, lengths)
+        inner = place >= PAD
+        inner[ends - 1] = False
+        stream[inner] = numbers
+        stream[ends - 1] = END
+        row, train = (b.column(c).to_numpy(zero_copy_only=False) for c in ("row", "train"))
+        known = b.column("doc").is_valid().to_numpy(zero_copy_only=False)
+        doc = b.column("doc").fill_null(0).to_numpy(zero_copy_only=False)
+        # Only a text that fills a slice alone can be longer than a piece or two.
+        cuts = [0] if n > 1 else range(0, len(stream) - PAD, PIECE)
+        for at in cuts:
+            end = len(stream) if n > 1 else min(len(stream), at + PIECE + PAD)
+            words, entries = np.unique(stream[at:end], return_inverse=True)
+            entries = entries.astype(np.uint16 if len(words) <= 65536 else np.uint32)
+            one = lengths if n > 1 else np.array([end - at])
+            s = Segment(words, entries, one.astype(np.int64), row.astype(np.int64), doc.astype(np.int64), known, train.astype(bool), np.full(n, at == 0))
+            made += 1
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([made], pa.int64()), "entries": pa.array([len(entries)], pa.int64()), "data": pa.array([s.pack()], pa.binary())})
+
+
+class Grams:
+    """The n-grams of a segment: of each order the sorted keys, for each entry the place of the n-gram that ends there, and
+    for each key the entry of one of its occurrences. Entries too early in a piece for an order have the place of another."""
+
+    def __init__(self, s: Segment):
+        x = s.words[s.entries]
+        self.piece = np.repeat(np.arange(len(s.lengths)), s.lengths)
+        self.place = np.arange(len(x)) - np.repeat(np.cumsum(s.lengths) - s.lengths, s.lengths)
+        self.token = self.place >= PAD
+        self.keys, self.at, self.one = [], [], []
+        key = x
+        for order in range(1, ORDER + 1):
+            if order > 1:
+                key = np.concatenate([x[:1], _longer(key[:-1], x[1:])])
+            whole = np.flatnonzero(self.place >= order - 1)
+            by = whole[np.argsort(key[whole])]
+            ranked = key[by]
+            new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+            at = np.zeros(len(x), np.int64)
+            at[by] = np.cumsum(new) - 1
+            self.keys.append(ranked[new]), self.at.append(at), self.one.append(by[new])
+
+
+def _questions(buckets: list[int]):
+    """bucket, segment, block (keys, times seen in training, whether outside it) of every segment's n-grams."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for segment, raw in zip(b.column("segment").to_pylist(), b.column("data"), strict=True):
+                s = Segment.unpack(raw.as_py())
+                g = Grams(s)
+                train = s.train[g.piece]
+                counted = train & (g.token | (s.first[g.piece] & (g.place == PAD - 1)))
+                for order, keys, at, n in zip(range(1, ORDER + 1), g.keys, g.at, buckets, strict=True):
+                    mine = g.place >= order - 1
+                    times = np.bincount(at[counted & mine], minlength=len(keys)).astype(np.uint32)
+                    outside = np.zeros(len(keys), np.uint8)
+                    outside[at[mine & ~train]] = 1
+                    cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1))
+                    for k in range(n):
+                        if cuts[k] < cuts[k + 1]:
+                            part = slice(cuts[k], cuts[k + 1])
+                            block = _squeeze(keys[part], times[part], outside[part])
+                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([(order << _SHIFT) + k], pa.int64()), "segment": pa.array([segment], pa.int64()), "block": pa.array([block], pa.binary())})
+                del s, g
+                give_back()
 
-@dataclass
-class Constants:
-    """What of the corpus every task needs, a few numbers: tokens, words, and discounts by count."""
+    return run
 
-    tokens: int
-    words: int
-    word_discounts: list[float]
-    pair_discounts: list[float]
-    unknown: float
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        """The probability of words seen c times."""
-        if not self.tokens:
-            return np.full(len(c), 1.0)
-        return np.where(c > 0, _discounted(c, self.word_discounts) / self.tokens, self.unknown)
+def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows (the other columns) that stand together with one value of `by`."""
+    held, value = [], None
+    for b in batches:
+        rest = [b.column(i) for i, name in enumerate(b.schema.names) if name != by]
+        for i, v in enumerate(b.column(by).to_pylist()):
+            if v != value and held:
+                yield value, held
+                held = []
+            value = v
+            held.append(tuple(c[i].as_py() for c in rest))
+    if held:
+        yield value, held
+
+
+_ANSWER = "segment bigint, bucket bigint, block binary, r bigint, n bigint"
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each question a block of 4 * count + 2 * (held outside training) + (the segment speaks for it); and (order, r, n):
+    n n-grams seen r times, for r = 0 how many occurrences, for r = -1 how many n-grams."""
+    pads = _pads()
+    for bucket, rows in _runs(batches, "bucket"):
+        order = bucket >> _SHIFT
+        blocks = [_unsqueeze(raw) for _, raw in rows]
+        keys, times, outside = (np.concatenate([b[i] for b in blocks]) for i in range(3))
+        sizes = [len(b[0]) for b in blocks]
+        del blocks
+        by = np.argsort(keys, kind="stable")
+        ranked = keys[by]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(times[by].astype(np.uint64), first)
+        held = np.maximum.reduceat(outside[by], first)
+        group = np.cumsum(new) - 1
+        seen = times[by] > 0
+        _, speaker = np.unique(group[seen], return_index=True)
+        answer = np.empty(len(keys), np.uint64)
+        answer[by] = (total[group] << np.uint64(2)) | (held[group].astype(np.uint64) << np.uint64(1))
+        answer[by[seen][speaker]] |= np.uint64(1)
+        at = 0
+        for (segment, _), n in zip(rows, sizes, strict=True):
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int64()), "bucket": pa.array([bucket], pa.int64()), "block": pa.array([_squeeze(answer[at : at + n])], pa.binary()), "r": pa.array([None], pa.int64()), "n": pa.array([None], pa.int64())})
+            at += n
+        real = total[(total > 0) & (ranked[first] != pads[order - 1])].astype(np.int64)
+        r, n = np.unique(np.minimum(real, DISCOUNTED + 2), return_counts=True)
+        r, n = [0, -1, *r.tolist()], [int(real.sum()), len(real), *n.tolist()]
+        yield pa.RecordBatch.from_pydict({"segment": pa.array([None] * len(r), pa.int64()), "bucket": pa.array([order] * len(r), pa.int64()), "block": pa.array([None] * len(r), pa.binary()), "r": pa.array(r, pa.int64()), "n": pa.array(n, pa.int64())})
+        give_back()
 
 
 def discounts(n: dict[int, int], most: int = DISCOUNTED) -> list[float]:
-    """Good-Turing factors for counts 1 to most, from how many things were seen each number of times. Where the estimates
-    aren't between 0 and 1, absolute discounting stands in."""
+    """What counts 1 to most, and any above, keep: most + 1 numbers of which the last is what is taken off counts above.
+
+    Good-Turing's (r + 1) n[r + 1] / n[r] with Katz's cut, so that what all lose is what was seen once; n[r] n-grams were
+    seen r times. Where an estimate isn't between 0 and r, absolute discounting by n[1] / (n[1] + 2 n[2]) stands in, as it
+    does above most."""
     n1, n2 = n.get(1, 0), n.get(2, 0)
     back = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     cut = (most + 1) * n.get(most + 1, 0) / n1 if n1 else 1.0
     out = []
     for r in range(1, most + 1):
         d = ((r + 1) * n.get(r + 1, 0) / (r * n[r]) - cut) / (1 - cut) if n.get(r) and cut < 1 else 0.0
-        out.append(d if 0 < d < 1 else 1 - back / r)
-    return out
-
-
-def _discounted(c: np.ndarray, by: list[float]) -> np.ndarray:
-    return c * np.array([0.0, *by, 1.0])[np.minimum(c, len(by) + 1)]
-
-
-def _count(hot: np.ndarray):
-    """Of each bucket: ("word", word, c), ("pair", bucket, u, v, c) for pairs that are kept, ("n", r, pairs seen r times)."""
+        out.append(r * d if 0 < d < 1 else r - back)
+    return [*out, back]
 
-    def run(bucket: int, blocks: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
-        u, v, _, train, _, _ = _open(blocks, hot)
-        u, v = u[train], v[train]
-        words, c = np.unique(u, return_counts=True)
-        order, first = _grouped(u, v)
-        times = np.diff(first, append=len(order))
-        often = times >= KEEP
-        at = order[first[often]]
-        r, n = np.unique(np.minimum(times, DISCOUNTED + 2), return_counts=True)
-        for kind, a, b, x in (("word", words, words, c), ("pair", u[at], v[at], times[often]), ("n", r.astype(np.uint64), r.astype(np.uint64), n)):
-            yield kind, bucket, a.view(np.int64), b.view(np.int64), x.astype(np.int64)
 
-    return run
-
-
-def _rows(it) -> Iterator[tuple]:
-    for kind, bucket, a, b, c in it:
-        for at in range(0, len(a), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            yield kind, bucket, a[s].tobytes(), b[s].tobytes(), c[s].tobytes()
-
-
-_PACKED = "kind string, bucket int, a binary, b binary, c binary"
-
-
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for kind, bucket, x, y, z in zip(*(b.column(k).to_pylist() for k in ("kind", "bucket", "a", "b", "c")), strict=True):
-            x, y, z = (np.frombuffer(w, np.int64) for w in (x, y, z))
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(x), pa.string()), "bucket": np.full(len(x), bucket, np.int32), "a": x, "b": y, "c": z})
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one bucket that stand together become one."""
-    for b in batches:
-        bucket = b.column("bucket").to_numpy()
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
-            if hi > lo:
-                part = pickle.dumps(tuple(b.column(k).to_numpy()[lo:hi] for k in ("u", "v", "c", "cv")), 5)
-                yield pa.RecordBatch.from_pydict({"bucket": bucket[lo:lo + 1], "block": pa.array([part], pa.binary())})
+@dataclass
+class Constants:
+    """A few numbers of the whole corpus: tokens, distinct ones, what counts of each order keep, and the unknown word."""
 
+    tokens: int
+    words: int
+    kept: list[list[float]]
+    unknown: float
 
-def _by_pair(parts: Iterable[bytes]):
-    rows = [pickle.loads(p) for p in parts]
-    join = lambda i: np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64)
-    u, v = join(0).view(np.uint64), join(1).view(np.uint64)
-    return u, v, join(2), join(3)
+    def gain(self, order: int, c: np.ndarray) -> np.ndarray:
+        *small, back = self.kept[order - 1]
+        return np.where(c > DISCOUNTED, c - back, np.array([0.0, *small])[np.minimum(c, DISCOUNTED)])
 
+    def word(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, self.gain(1, c) / max(self.tokens, 1), self.unknown)
 
-def _weights(c: np.ndarray, seen: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What histories divide by, and their backoff weights. A history whose followers all keep their full counts leaves
-    nothing for others; one token more is divided by then, which is left. New histories leave everything."""
-    total = np.where((c > 0) & (c - seen < 1e-6), c + 1, np.maximum(c, 1))
-    return total, np.where(c > 0, (1 - seen / total) / np.maximum(1 - below, 1e-300), 1.0)
 
+_FOUND = "kind int, row bigint, doc bigint, train boolean, n_tokens bigint, n_known bigint, base double, score double, order int, key bigint, n bigint, c bigint"
+_TYPES = {"kind": pa.int32(), "row": pa.int64(), "doc": pa.int64(), "train": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "order": pa.int32(), "key": pa.int64(), "n": pa.int64(), "c": pa.int64()}
+PIECES, WEIGHED, ASKED = 0, 1, 2
 
-def _hot_mass(hot: np.ndarray, k: Constants):
-    """Of each bucket and hot history: history, [its pairs' discounted counts, the probability of their followers]."""
 
-    def run(parts: Iterable[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        u, _, c, cv = _by_pair(parts)
-        mine = _member(u, hot)
-        at = np.searchsorted(hot, u[mine])
-        seen = np.bincount(at, _discounted(c[mine], k.pair_discounts), len(hot))
-        below = np.bincount(at, k.p(cv[mine]), len(hot))
-        for i in np.flatnonzero(below):
-            yield int(i), np.array([seen[i], below[i]])
+def _found(kind: int, size: int, **columns) -> pa.RecordBatch:
+    columns = {"kind": np.full(size, kind)} | columns
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in _TYPES.items()], names=list(_TYPES))
 
-    return run
 
+def _scores(k: Constants):
+    """Rows of three kinds from each segment with its answers: sums of each piece; of histories, what their followers keep
+    (score) and have at the order below (base); and which histories' weights a text asks for, how often (n), where c is
+    the history's count."""
 
-def _score(hot: np.ndarray, hot_counts: np.ndarray, hot_mass: np.ndarray, k: Constants):
-    """Of each bucket: packed (segment, info, places, sums) for each segment."""
-
-    def run(blocks: Iterable[bytes], parts: Iterable[bytes]) -> Iterator[bytes]:
-        u, v, place, train, segments, total = _open(blocks, hot)
-        if not total:
-            return
-        # Histories: counts, weights and what they add as tokens.
-        words, word = np.unique(u, return_inverse=True)
-        c = np.bincount(word, train, len(words)).astype(np.int64)
-        is_hot = _member(words, hot)
-        c[is_hot] = hot_counts[np.searchsorted(hot, words[is_hot])]
-        pu, pv, pc, pcv = _by_pair(parts)
-        gain = _discounted(pc, k.pair_discounts)
-        at = np.minimum(np.searchsorted(words, pu), len(words) - 1)
-        # Without any pair bincount counts in integers.
-        seen, below = (np.bincount(at, x, len(words)).astype(np.float64) for x in (gain, k.p(pcv)))
-        seen[is_hot], below[is_hot] = hot_mass[:, np.searchsorted(hot, words[is_hot])]
-        divisor, weight = _weights(c, seen, below)
-        own = np.log10(k.p(c))
-        base = np.log10((c + 1) / (k.tokens + k.words + 1))
-        mark = words == START  # not a token
-        own[mark] = base[mark] = 0
-        # Pairs: log10 p(v | u) is own(v) + log10 bow(u) unless the pair is kept.
-        value = np.log10(weight)[word]
-        key = _pair(pu, pv)
-        order = np.argsort(key)
-        key = key[order]
-        if len(key):
-            mine = _pair(u, v)
-            at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-            found = key[at] == mine
-            i = order[at[found]]
-            value[found] = (np.log10(gain) - np.log10(divisor[np.minimum(np.searchsorted(words, pu), len(words) - 1)]) - np.log10(k.p(pcv)))[i]
-        # The end of each text is a token too, and no history: its own score is added with the documents.
-        sums = np.stack([np.bincount(place, (c > 0)[word] & ~mark[word], total), np.bincount(place, base[word], total), np.bincount(place, own[word] + value, total)])
-        touched = np.bincount(place, minlength=total) > 0
-        for segment, info, first, n, n_train in segments:
-            s = np.flatnonzero(touched[first : first + n])
-            yield pickle.dumps((segment, info and (*info, n_train), s.astype(np.uint32), sums[0, first + s].astype(np.uint32), sums[1, first + s], sums[2, first + s]), 5)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pads = _pads()
+        for _, rows in _runs(batches, "segment"):
+            s = Segment.unpack(rows[0][1])
+            g = Grams(s)
+            answers = [np.concatenate([_unsqueeze(raw)[0] for bucket, raw in rows[1:] if bucket >> _SHIFT == order]) for order in range(1, ORDER + 1)]
+            count = [(a >> np.uint64(2)).astype(np.int64) for a in answers]
+            n = len(s.lengths)
+            # How often a key's history was seen: of the occurrence at entry i it is the one that ends at i - 1.
+            below = lambda order, i: count[order - 2][g.at[order - 2][i - 1]]  # noqa: B023, E731
+            value = np.zeros(len(g.piece))
+            open_ = np.flatnonzero(g.token)
+            for order in range(ORDER, 1, -1):
+                c, of = count[order - 1][g.at[order - 1][open_]], below(order, open_)
+                hit = c > 0
+                value[open_[hit]] = np.log10(k.gain(order, c[hit]) / of[hit])
+                open_, of = open_[~hit], of[~hit]
+                i = open_[of > 0] - 1
+                size = len(g.keys[order - 2])
+                pairs, times = np.unique(g.piece[i] * size + g.at[order - 2][i], return_counts=True)
+                which = pairs % size
+                yield _found(ASKED, len(pairs), row=s.row[pairs // size], order=np.full(len(pairs), order - 1), key=g.keys[order - 2][which].view(np.int64), n=times, c=count[order - 2][which])
+            c = count[0][g.at[0]]
+            value[open_] = np.log10(k.word(c[open_]))
+            base = np.log10((c + 1) / (k.tokens + k.words + 1))
+            add = lambda x: np.bincount(g.piece, np.where(g.token, x, 0), n)  # noqa: B023, E731
+            yield _found(
+                PIECES, n, row=s.row, doc=pa.array(s.doc, pa.int64(), mask=~s.known.astype(bool)), train=s.train.astype(bool), n_tokens=add(1).astype(np.int64), n_known=add(c > 0).astype(np.int64), base=add(base), score=add(value)
+            )
+            for order in range(2, ORDER + 1):
+                mine = ((answers[order - 1] & np.uint64(1)) == 1) & (g.keys[order - 1] != pads[order - 1])
+                i = g.one[order - 1][mine]
+                history = g.at[order - 2][i - 1]
+                wanted = (answers[order - 2][history] & np.uint64(2)) > 0
+                i, history = i[wanted], history[wanted]
+                gain = k.gain(order, count[order - 1][mine][wanted])
+                lower = count[order - 2][g.at[order - 2][i]]
+                p = k.word(lower) if order == 2 else k.gain(order - 1, lower) / below(order - 1, i)
+                which, group = np.unique(history, return_inverse=True)
+                yield _found(WEIGHED, len(which), order=np.full(len(which), order - 1), key=g.keys[order - 2][which].view(np.int64), score=np.bincount(group, gain, len(which)), base=np.bincount(group, p, len(which)))
+            del s, g, answers, count
+            give_back()
 
     return run
 
 
-_SUMS = "segment bigint, doc int, id bigint, train boolean, n_tokens bigint, n_known bigint, base double, score double"
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All parts of one segment; a row per document."""
-    held: dict[int, list] = {}
-    for b in batches:
-        for raw in b.column("part").to_pylist():
-            segment, *rest = pickle.loads(raw)
-            held.setdefault(segment, []).append(rest)
-    for segment in list(held):
-        pieces = held.pop(segment)
-        ids, counts, n_train = next(p[0] for p in pieces if p[0] is not None)
-        n = len(ids)
-        train = np.arange(n) < n_train
-        total = np.zeros((3, n))
-        for _, at, *values in pieces:
-            for i, x in enumerate(values):
-                total[i, at] += x
-        yield pa.RecordBatch.from_pydict({"segment": np.full(n, segment), "doc": np.arange(n, dtype=np.int32), "id": pa.array(ids, pa.int64()), "train": train, "n_tokens": counts, "n_known": total[0].astype(np.int64), "base": total[1], "score": total[2]})
-
-
-def _partitioned(df: DataFrame, buckets: int) -> RDD:
-    """Rows of (bucket, binary) with each bucket in one partition, the same for all. As an RDD it keeps its shuffle, which
-    counting and scoring both read."""
-    return df.repartition(buckets, "bucket").rdd.map(lambda r: (r[0], bytes(r[1])))
+def _in_runs(df: DataFrame, by: str, then: str, tasks: int) -> DataFrame:
+    """Rows dealt by a column and sorted in their partitions, so that a task holds one value's rows at a time."""
+    return df.repartition(max(1, tasks), by).sortWithinPartitions(by, then)
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
     train = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), train.alias("train"), F.col(text).alias("text"))
-    size = slim.agg(F.coalesce(F.sum(F.octet_length("text") + BYTES_A_WORD), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(size / BYTES_A_WORD / ENTRIES))
-    one_in = max(1, int(size // SAMPLE_BYTES))
-    sample = slim.filter(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.explode(words(ascii_lower(F.col("text")))).alias("w"))
-    top = [r[0] for r in sample.groupBy("w").count().orderBy(F.desc("count"), "w").limit(HOT - 2).collect()]
-    hot = np.unique(np.concatenate([word_numbers(pa.array(top, pa.string()), SPACED)[0], [START, END]]).astype(np.uint64))
-
-    blocks = _partitioned(slim.mapInArrow(_blocks(hot, buckets), "bucket int, block binary"), buckets)
-    count = _count(hot)
-    by_bucket = lambda it: _each(it, lambda b, raw: _rows(count(b, raw)))
-    counted = materialize(spark.createDataFrame(blocks.mapPartitions(by_bucket), _PACKED), "counted")
-    rows = counted.mapInArrow(_unpack, "kind string, bucket int, a bigint, b bigint, c bigint")
-    vocabulary = rows.filter("kind = 'word'").groupBy("a").agg(F.sum("c").alias("c"))
-    # The end token follows as often as the start mark is a history.
-    vocabulary = materialize(vocabulary.select(F.when(F.col("a") == int(START), F.lit(int(END))).otherwise(F.col("a")).alias("word"), "c"), "words")
-    seen = {r[0]: r[1] for r in vocabulary.groupBy(F.least("c", F.lit(DISCOUNTED + 2)).alias("r")).count().collect()}
-    pair_seen = {r[0]: r[1] for r in rows.filter("kind = 'n'").groupBy("a").agg(F.sum("c")).collect()}
-    tokens, n_words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    by = discounts(seen)
-    left = sum((1 - by[r - 1]) * r * seen.get(r, 0) for r in range(1, DISCOUNTED + 1)) / tokens if tokens else 1.0
-    k = Constants(tokens, n_words, by, discounts(pair_seen), left)
-    if tokens and left <= 0:  # no word was seen so seldom: the unknown word takes the place of one token
-        k.unknown, k.tokens = 1 / (tokens + 1), tokens + 1
-    known = {r[0]: r[1] for r in vocabulary.filter(F.col("word").isin([int(h) - (1 << 64 if h >> np.uint64(63) else 0) for h in hot])).collect()}
-    hot_counts = np.array([known.get(int(np.uint64(h).astype(np.int64)), 0) for h in hot], np.int64)
-    hot_counts[hot == START] = known.get(int(END), 0)
-
-    pairs = rows.filter("kind = 'pair'").select("bucket", F.col("a").alias("u"), F.col("b").alias("v"), "c")
-    pairs = pairs.join(vocabulary.select(F.col("word").alias("v"), F.col("c").alias("cv")), "v").select("bucket", "u", "v", "c", "cv")
-    weights = _partitioned(pairs.sortWithinPartitions("bucket").mapInArrow(_pack, "bucket int, block binary"), buckets)
-    mass = _hot_mass(hot, k)
-    # At most HOT rows come back.
-    hot_mass = np.zeros((2, len(hot)))
-    for i, both in weights.mapPartitions(lambda it: _each(it, lambda _, raw: mass(raw))).reduceByKey(np.add).collect():
-        hot_mass[:, i] = both
-    scored = _score(hot, hot_counts, hot_mass, k)
-
-    def scores(it):
-        for own, table in it:
-            of: dict[int, tuple[list, list]] = {}
-            for i, side in enumerate((own, table)):
-                for bucket, raw in side:
-                    of.setdefault(bucket, ([], []))[i].append(raw)
-            for bucket in list(of):
-                yield from ((pickle.loads(x)[0], x) for x in scored(*of.pop(bucket)))
-                give_back()
-
-    # Both sides lie by bucket already, so partitions are laid side by side and nothing is shuffled again.
-    together = blocks.mapPartitions(_whole).zip(weights.mapPartitions(_whole))
-    parts = spark.createDataFrame(together.mapPartitions(scores), "segment bigint, part binary")
-    # A segment's parts meet in one task, and several segments follow one another there; sorted, each ends before the next.
-    sums = parts.repartition("segment").mapInArrow(_sums, _SUMS)
-    end_base = math.log10((known.get(int(END), 0) + 1) / (tokens + n_words + 1))
-    end_own = float(np.log10(k.p(np.array([known.get(int(END), 0)])))[0])
-    end_known = int(known.get(int(END), 0) > 0)
-    return sums.select(
-        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + end_known).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("base") + end_base).alias("base_score"), (F.col("score") + end_own).alias("score"),
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc"), train.alias("train"), F.col(text).alias("text"))
+    with recording() as made:
+        segments = materialize(slim.mapInArrow(_segments, "segment bigint, entries bigint, data binary"), "segments")
+        entries, n_segments = segments.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.count(F.lit(1))).first()
+        # A segment has a few distinct words where it has many distinct pairs.
+        buckets = [max(1, math.ceil(entries / ENTRIES / (4 if order == 1 else 1))) for order in range(1, ORDER + 1)]
+        asked = segments.select("segment", "data").mapInArrow(_questions(buckets), "bucket bigint, segment bigint, block binary")
+        answers = materialize(_in_runs(asked, "bucket", "segment", sum(buckets)).mapInArrow(_answers, _ANSWER), "answers")
+        seen: dict[int, dict[int, int]] = {order: {} for order in range(1, ORDER + 1)}
+        for order, r, n in answers.filter("segment IS NULL").groupBy("bucket", "r").agg(F.sum("n")).collect():  # a few rows
+            seen[order][r] = n
+        tokens, words = seen[1].get(0, 0), seen[1].get(-1, 0)
+        k = Constants(tokens, words, [discounts(seen[order]) for order in range(1, ORDER + 1)], 1.0)
+        if tokens:
+            # All words keep together what their counts keep; the unknown word has what is left.
+            *small, back = k.kept[0]
+            lost = sum((r - x) * seen[1].get(r, 0) for r, x in enumerate(small, 1)) + back * (words - sum(seen[1].get(r, 0) for r in range(1, DISCOUNTED + 1)))
+            k.unknown = lost / tokens
+        both = segments.select("segment", F.lit(-1).cast("bigint").alias("bucket"), F.col("data").alias("block")).unionByName(answers.filter("segment IS NOT NULL").select("segment", "bucket", "block"))
+        found = materialize(_in_runs(both, "segment", "bucket", n_segments).mapInArrow(_scores(k), _FOUND), "scored")
+        weights = found.filter(F.col("kind") == WEIGHED).groupBy("order", "key").agg(F.sum("score").alias("keep"), F.sum("base").alias("lower"))
+        weights = materialize(weights, "weights")
+        bow = F.log10((1 - F.col("keep") / F.col("c")) / (1 - F.col("lower")))
+        backed = found.filter(F.col("kind") == ASKED).select("row", "order", "key", "n", "c").join(weights, ["order", "key"]).groupBy("row").agg(F.sum(F.col("n") * bow).alias("score"))
+        pieces = found.filter(F.col("kind") == PIECES).select("row", "doc", "train", "n_tokens", "n_known", "base", "score")
+        every = pieces.unionByName(backed, allowMissingColumns=True).groupBy("row").agg(F.max("doc").alias("doc"), F.bool_and("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+        out = materialize(every, "katz")
+    remove(spark, made[:-1])
+    return out.select(
+        F.col("doc").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"
     )
-
-
-def _whole(it):
-    """A partition as one element; a partition is a bucket or a few."""
-    yield list(it)
-
-
-def _each(it, work):
-    """work(bucket, blocks) for each bucket of a partition."""
-    held: dict[int, list[bytes]] = {}
-    for b, raw in it:
-        held.setdefault(b, []).append(raw)
-    for b in list(held):
-        yield from work(b, held.pop(b))
-        give_back()

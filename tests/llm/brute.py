@@ -129,55 +129,72 @@ def trained(doc_id) -> bool:
 
 
 class Katz:
-    """Bigrams with Katz backoff: pairs seen `keep` times or more are discounted, the rest backs off to words."""
+    """n-grams with Katz backoff, from the formulas alone: Good-Turing up to `most`, an absolute discount above."""
 
-    def __init__(self, docs: list[tuple[int | None, str | None]], keep: int, most: int, discounts):
-        self.keep = keep
-        self.c: Counter = Counter()
-        self.pairs: Counter = Counter()
-        self.history: Counter = Counter()
+    def __init__(self, docs: list[tuple[int | None, str | None]], order: int = 3, most: int = 5):
+        self.order, self.most = order, most
+        self.counts: list[Counter] = [Counter() for _ in range(order + 1)]
+        self.history: list[Counter] = [Counter() for _ in range(order)]
+        self.followers: dict = {}
         for key, t in docs:
             if trained(key):
-                ws = self.tokens(t)
-                self.c.update(ws)
-                for u, v in zip(["<s>", *ws], ws, strict=False):
-                    self.pairs[u, v] += 1
-                    self.history[u] += 1
+                x = self.padded(t)
+                for i in range(order - 1, len(x)):
+                    for n in range(1, order + 1):
+                        h, w = tuple(x[i - n + 1 : i]), x[i]
+                        self.counts[n][h + (w,)] += 1
+                        if n > 1:
+                            self.history[n - 1][h] += 1
+                            self.followers.setdefault(h, set()).add(w)
+        self.c = {g[0]: c for g, c in self.counts[1].items()}
         self.n, self.v = sum(self.c.values()), len(self.c)
-        of = lambda counts: discounts(dict(Counter(counts)), most)
-        self.word_d, self.pair_d = of(self.c.values()), of(self.pairs.values())
-        gain = lambda c, d: c * d[c - 1] if c <= len(d) else c
-        self.gain = gain
-        left = 1 - sum(gain(c, self.word_d) for c in self.c.values()) / self.n if self.n else 1.0
-        self.divisor = self.n
-        if self.n and left <= 1e-12:
-            left, self.divisor = 1 / (self.n + 1), self.n + 1
-        self.unknown = left
-        self.bow: dict = {}
+        self.keeps = [None, *[self.turing(Counter(self.counts[n].values())) for n in range(1, order + 1)]]
+        self.weights: dict = {}
+
+    def padded(self, t):
+        return ["<s>"] * (self.order - 1) + self.tokens(t)
 
     def tokens(self, t):
         return [*words(lower(t)), "</s>"]
 
-    def p(self, v) -> float:
-        return self.gain(self.c[v], self.word_d) / self.divisor if self.c[v] else self.unknown
-
-    def weight(self, u) -> tuple[float, float]:
-        if u not in self.bow:
-            kept = {v: c for (a, v), c in self.pairs.items() if a == u and c >= self.keep}
-            seen, below, c = sum(self.gain(x, self.pair_d) for x in kept.values()), sum(map(self.p, kept)), self.history[u]
-            total = c + 1 if c and c - seen < 1e-6 else max(c, 1)
-            self.bow[u] = total, (1 - seen / total) / max(1 - below, 1e-300) if c else 1.0
-        return self.bow[u]
-
-    def conditional(self, u, v) -> float:
-        total, bow = self.weight(u)
-        c = self.pairs[u, v]
-        return self.gain(c, self.pair_d) / total if c >= self.keep else bow * self.p(v)
+    def turing(self, n):
+        """What a count keeps: r* = (r + 1) n[r + 1] / n[r], with Katz's correction so that counts above `most` are let be."""
+        back = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+
+        def keep(r):
+            if r > self.most or not n[1] or not n[r]:
+                return r - back
+            star = (r + 1) * n[r + 1] / n[r]
+            beyond = (self.most + 1) * n[self.most + 1] / n[1]
+            if beyond >= 1:
+                return r - back
+            d = (star / r - beyond) / (1 - beyond)
+            return r * d if 0 < d < 1 else r - back
+
+        return keep
+
+    def p(self, h: tuple, w) -> float:
+        n = len(h) + 1
+        c = self.counts[n][h + (w,)]
+        if n == 1:
+            return self.keeps[1](c) / self.n if c else 1 - sum(self.keeps[1](x) for x in self.c.values()) / self.n if self.n else 1.0
+        if c:
+            return self.keeps[n](c) / self.history[n - 1][h]
+        if not self.history[n - 1][h]:
+            return self.p(h[1:], w)
+        return self.bow(h) * self.p(h[1:], w)
+
+    def bow(self, h: tuple) -> float:
+        if h not in self.weights:
+            seen = self.followers[h]
+            self.weights[h] = (1 - sum(self.p(h, w) for w in seen)) / (1 - sum(self.p(h[1:], w) for w in seen))
+        return self.weights[h]
 
     def score(self, t) -> tuple[int, int, float, float]:
         ws = self.tokens(t)
-        base = sum(math.log10((self.c[w] + 1) / (self.n + self.v + 1)) for w in ws)
-        return len(ws), sum(self.c[w] > 0 for w in ws), base, sum(math.log10(self.conditional(u, v)) for u, v in zip(["<s>", *ws], ws, strict=False))
+        x = self.padded(t)
+        base = sum(math.log10((self.c.get(w, 0) + 1) / (self.n + self.v + 1)) for w in ws)
+        return len(ws), sum(w in self.c for w in ws), base, sum(math.log10(self.p(tuple(x[i - self.order + 1 : i]), x[i])) for i in range(self.order - 1, len(x)))
 
 
 def contamination(t: str | None, items: list[tuple[str, str | None]], window: int = 10):

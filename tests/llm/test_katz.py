@@ -12,7 +12,7 @@ ODD = [None, "", "  ", "Word", "word", "é É", "x\x00y", "one " * 3000, "never
 
 
 def _check(rows, pairs):
-    model = brute.Katz(pairs, katz.KEEP, katz.DISCOUNTED, katz.discounts)
+    model = brute.Katz(pairs)
     left = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], r["held_out"], r["train_tokens"], r["base_score"], r["score"]) for r in rows))
     right = []
     for key, t in pairs:
@@ -33,21 +33,40 @@ def test_scores_are_brute_force(spark, entries, monkeypatch):
     _check(katz.score(clashing(docs(spark, pairs))).collect(), pairs)
 
 
-def test_many_words(spark, monkeypatch):
-    """Counts of every size, so that Good-Turing discounts hold, and cold histories as well as hot ones."""
-    monkeypatch.setattr(katz, "ENTRIES", 500)
-    monkeypatch.setattr(katz, "HOT", 5)
+def test_long_texts_are_cut(spark, monkeypatch):
+    """Pieces of a text begin with the words before them, so cuts change nothing."""
+    import pickle
+
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(katz, "SEGMENT", 50)
+    monkeypatch.setattr(katz, "PIECE", 7)
+    cloudpickle.register_pickle_by_value(katz)  # so that tasks see these bounds
+    try:
+        pairs = list(enumerate(random_texts(9, 30, words=8, most=60)))
+        _check(katz.score(docs(spark, pairs)).collect(), pairs)
+    finally:
+        cloudpickle.unregister_pickle_by_value(katz)
+
+
+def _corpus():
     import random
 
     r = random.Random(2)
     pool = [f"w{i}" for i in range(300)]
     weight = [1 / (i + 1) for i in range(300)]
-    pairs = [(i, " ".join(r.choices(pool, weight, k=r.randint(0, 60)))) for i in range(150)]
+    return [(i, " ".join(r.choices(pool, weight, k=r.randint(0, 60)))) for i in range(150)]
+
+
+def test_many_words(spark, monkeypatch):
+    """Counts of every size, so that Good-Turing discounts hold."""
+    monkeypatch.setattr(katz, "ENTRIES", 500)
+    pairs = _corpus()
     model = _check(katz.score(docs(spark, pairs)).collect(), pairs)
-    assert all(0 < d < 1 for d in model.word_d + model.pair_d)
+    assert 0 < model.keeps[1](1) < 1
     words = [*model.c, "unknown"]
-    for u in ["<s>", "w0", "w7", "w299", "unknown"]:
-        assert sum(model.conditional(u, v) for v in words) == pytest.approx(1)
+    for h in [("<s>", "<s>"), ("<s>", "w0"), ("w0", "w1"), ("w7", "w0"), ("w299", "w299"), ("unknown", "w0"), ("w0", "unknown")]:
+        assert sum(model.p(h, w) for w in words) == pytest.approx(1)
 
 
 def test_only_held_out_documents(spark):

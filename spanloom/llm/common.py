@@ -32,15 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _recorders: list[list[str]] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation beyond its own tasks. The files go when the driver exits, or by remove()."""
+    executor costs no recomputation beyond its own tasks. The files go when the driver exits, or by remove(); the shuffle
+    files that led to them go at once, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_remove, spark, path)
     for tables in _recorders:
         tables.append(path)

@@ -41,8 +41,8 @@ from .tokens import SPACED, give_back, mix, parts, word_numbers
 ORDER = 3
 #: Counts up to here have a discount of their own.
 DISCOUNTED = 5
-ENTRIES = 2_000_000
-SEGMENT = 6 << 20
+ENTRIES = 1_500_000
+SEGMENT = 5 << 20
 PIECE = 1 << 20
 START, END = np.uint64(1), np.uint64(2)
 PAD = ORDER - 1
@@ -130,50 +130,54 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Grams:
-    """The n-grams of a segment: of each order the sorted keys, for each entry the place of the n-gram that ends there, and
-    for each key the entry of one of its occurrences. Entries too early in a piece for an order have the place of another."""
+    """The n-grams of a segment: of each of some orders the sorted keys, for each entry the place of the n-gram that ends
+    there, and for each key the entry of one of its occurrences. Entries too early in a piece for an order have the place
+    of another."""
 
-    def __init__(self, s: Segment):
+    def __init__(self, s: Segment, orders: range):
         x = s.words[s.entries]
         self.piece = np.repeat(np.arange(len(s.lengths)), s.lengths)
         self.place = np.arange(len(x)) - np.repeat(np.cumsum(s.lengths) - s.lengths, s.lengths)
         self.token = self.place >= PAD
-        self.keys, self.at, self.one = [], [], []
+        self.keys: dict[int, np.ndarray] = {}
+        self.at: dict[int, np.ndarray] = {}
+        self.one: dict[int, np.ndarray] = {}
         key = x
-        for order in range(1, ORDER + 1):
+        for order in range(1, orders[-1] + 1):
             if order > 1:
                 key = np.concatenate([x[:1], _longer(key[:-1], x[1:])])
+            if order not in orders:
+                continue
             whole = np.flatnonzero(self.place >= order - 1)
             by = whole[np.argsort(key[whole])]
             ranked = key[by]
             new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
             at = np.zeros(len(x), np.int64)
             at[by] = np.cumsum(new) - 1
-            self.keys.append(ranked[new]), self.at.append(at), self.one.append(by[new])
+            self.keys[order], self.at[order], self.one[order] = ranked[new], at, by[new]
 
 
-def _questions(buckets: list[int]):
-    """bucket, segment, block (keys, times seen in training, whether outside it) of every segment's n-grams."""
+def _questions(order: int, buckets: int):
+    """bucket, segment, block (keys, times seen in training, whether outside it) of every segment's n-grams of an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for segment, raw in zip(b.column("segment").to_pylist(), b.column("data"), strict=True):
                 s = Segment.unpack(raw.as_py())
-                g = Grams(s)
-                train = s.train[g.piece]
-                counted = train & (g.token | (s.first[g.piece] & (g.place == PAD - 1)))
-                for order, keys, at, n in zip(range(1, ORDER + 1), g.keys, g.at, buckets, strict=True):
-                    mine = g.place >= order - 1
-                    times = np.bincount(at[counted & mine], minlength=len(keys)).astype(np.uint32)
-                    outside = np.zeros(len(keys), np.uint8)
-                    outside[at[mine & ~train]] = 1
-                    cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32), np.arange(n + 1))
-                    for k in range(n):
-                        if cuts[k] < cuts[k + 1]:
-                            part = slice(cuts[k], cuts[k + 1])
-                            block = _squeeze(keys[part], times[part], outside[part])
-                            yield pa.RecordBatch.from_pydict({"bucket": pa.array([(order << _SHIFT) + k], pa.int64()), "segment": pa.array([segment], pa.int64()), "block": pa.array([block], pa.binary())})
-                del s, g
+                g = Grams(s, range(order, order + 1))
+                keys, at = g.keys[order], g.at[order]
+                train, whole = s.train[g.piece].astype(bool), g.place >= order - 1
+                counted = train & whole & (g.token | (s.first[g.piece].astype(bool) & (g.place == PAD - 1)))
+                times = np.bincount(at[counted], minlength=len(keys)).astype(np.uint32)
+                outside = np.zeros(len(keys), np.uint8)
+                outside[at[whole & ~train]] = 1
+                cuts = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+                for k in range(buckets):
+                    if cuts[k] < cuts[k + 1]:
+                        part = slice(cuts[k], cuts[k + 1])
+                        block = _squeeze(keys[part], times[part], outside[part])
+                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([(order << _SHIFT) + k], pa.int64()), "segment": pa.array([segment], pa.int64()), "block": pa.array([block], pa.binary())})
+                del s, g, keys, at, train, whole, counted, times, outside
                 give_back()
 
     return run
@@ -282,25 +286,25 @@ def _scores(k: Constants):
         pads = _pads()
         for _, rows in _runs(batches, "segment"):
             s = Segment.unpack(rows[0][1])
-            g = Grams(s)
-            answers = [np.concatenate([_unsqueeze(raw)[0] for bucket, raw in rows[1:] if bucket >> _SHIFT == order]) for order in range(1, ORDER + 1)]
-            count = [(a >> np.uint64(2)).astype(np.int64) for a in answers]
+            g = Grams(s, range(1, ORDER + 1))
+            answers = {order: np.concatenate([_unsqueeze(raw)[0] for bucket, raw in rows[1:] if bucket >> _SHIFT == order]) for order in range(1, ORDER + 1)}
+            count = {order: (a >> np.uint64(2)).astype(np.int64) for order, a in answers.items()}
             n = len(s.lengths)
             # How often a key's history was seen: of the occurrence at entry i it is the one that ends at i - 1.
-            below = lambda order, i: count[order - 2][g.at[order - 2][i - 1]]  # noqa: B023, E731
+            below = lambda order, i: count[order - 1][g.at[order - 1][i - 1]]  # noqa: B023, E731
             value = np.zeros(len(g.piece))
             open_ = np.flatnonzero(g.token)
             for order in range(ORDER, 1, -1):
-                c, of = count[order - 1][g.at[order - 1][open_]], below(order, open_)
+                c, of = count[order][g.at[order][open_]], below(order, open_)
                 hit = c > 0
                 value[open_[hit]] = np.log10(k.gain(order, c[hit]) / of[hit])
                 open_, of = open_[~hit], of[~hit]
                 i = open_[of > 0] - 1
-                size = len(g.keys[order - 2])
-                pairs, times = np.unique(g.piece[i] * size + g.at[order - 2][i], return_counts=True)
+                size = len(g.keys[order - 1])
+                pairs, times = np.unique(g.piece[i] * size + g.at[order - 1][i], return_counts=True)
                 which = pairs % size
-                yield _found(ASKED, len(pairs), row=s.row[pairs // size], order=np.full(len(pairs), order - 1), key=g.keys[order - 2][which].view(np.int64), n=times, c=count[order - 2][which])
-            c = count[0][g.at[0]]
+                yield _found(ASKED, len(pairs), row=s.row[pairs // size], order=np.full(len(pairs), order - 1), key=g.keys[order - 1][which].view(np.int64), n=times, c=count[order - 1][which])
+            c = count[1][g.at[1]]
             value[open_] = np.log10(k.word(c[open_]))
             base = np.log10((c + 1) / (k.tokens + k.words + 1))
             add = lambda x: np.bincount(g.piece, np.where(g.token, x, 0), n)  # noqa: B023, E731
@@ -308,16 +312,16 @@ def _scores(k: Constants):
                 PIECES, n, row=s.row, doc=pa.array(s.doc, pa.int64(), mask=~s.known.astype(bool)), train=s.train.astype(bool), n_tokens=add(1).astype(np.int64), n_known=add(c > 0).astype(np.int64), base=add(base), score=add(value)
             )
             for order in range(2, ORDER + 1):
-                mine = ((answers[order - 1] & np.uint64(1)) == 1) & (g.keys[order - 1] != pads[order - 1])
-                i = g.one[order - 1][mine]
-                history = g.at[order - 2][i - 1]
-                wanted = (answers[order - 2][history] & np.uint64(2)) > 0
+                mine = ((answers[order] & np.uint64(1)) == 1) & (g.keys[order] != pads[order - 1])
+                i = g.one[order][mine]
+                history = g.at[order - 1][i - 1]
+                wanted = (answers[order - 1][history] & np.uint64(2)) > 0
                 i, history = i[wanted], history[wanted]
-                gain = k.gain(order, count[order - 1][mine][wanted])
-                lower = count[order - 2][g.at[order - 2][i]]
+                gain = k.gain(order, count[order][mine][wanted])
+                lower = count[order - 1][g.at[order - 1][i]]
                 p = k.word(lower) if order == 2 else k.gain(order - 1, lower) / below(order - 1, i)
                 which, group = np.unique(history, return_inverse=True)
-                yield _found(WEIGHED, len(which), order=np.full(len(which), order - 1), key=g.keys[order - 2][which].view(np.int64), score=np.bincount(group, gain, len(which)), base=np.bincount(group, p, len(which)))
+                yield _found(WEIGHED, len(which), order=np.full(len(which), order - 1), key=g.keys[order - 1][which].view(np.int64), score=np.bincount(group, gain, len(which)), base=np.bincount(group, p, len(which)))
             del s, g, answers, count
             give_back()
 
@@ -338,9 +342,12 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
         segments = materialize(slim.mapInArrow(_segments, "segment bigint, entries bigint, data binary"), "segments")
         entries, n_segments = segments.agg(F.coalesce(F.sum("entries"), F.lit(0)), F.count(F.lit(1))).first()
         # A segment has a few distinct words where it has many distinct pairs.
-        buckets = [max(1, math.ceil(entries / ENTRIES / (4 if order == 1 else 1))) for order in range(1, ORDER + 1)]
-        asked = segments.select("segment", "data").mapInArrow(_questions(buckets), "bucket bigint, segment bigint, block binary")
-        answers = materialize(_in_runs(asked, "bucket", "segment", sum(buckets)).mapInArrow(_answers, _ANSWER), "answers")
+        answers = None
+        for order in range(1, ORDER + 1):  # one after another, so that the questions of one order only lie on disk
+            buckets = max(1, math.ceil(entries / ENTRIES / (4 if order == 1 else 1)))
+            asked = segments.select("segment", "data").mapInArrow(_questions(order, buckets), "bucket bigint, segment bigint, block binary")
+            answered = materialize(_in_runs(asked, "bucket", "segment", buckets).mapInArrow(_answers, _ANSWER), f"answers-{order}")
+            answers = answered if answers is None else answers.unionByName(answered)
         seen: dict[int, dict[int, int]] = {order: {} for order in range(1, ORDER + 1)}
         for order, r, n in answers.filter("segment IS NULL").groupBy("bucket", "r").agg(F.sum("n")).collect():  # a few rows
             seen[order][r] = n
@@ -352,7 +359,9 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             lost = sum((r - x) * seen[1].get(r, 0) for r, x in enumerate(small, 1)) + back * (words - sum(seen[1].get(r, 0) for r in range(1, DISCOUNTED + 1)))
             k.unknown = lost / tokens
         both = segments.select("segment", F.lit(-1).cast("bigint").alias("bucket"), F.col("data").alias("block")).unionByName(answers.filter("segment IS NOT NULL").select("segment", "bucket", "block"))
-        found = materialize(_in_runs(both, "segment", "bucket", n_segments).mapInArrow(_scores(k), _FOUND), "scored")
+        before = list(made)
+        found = materialize(_in_runs(both, "segment", "bucket", n_segments).mapInArrow(_scores(k), _FOUND), "scored", compression="zstd")
+        remove(spark, before)
         weights = found.filter(F.col("kind") == WEIGHED).groupBy("order", "key").agg(F.sum("score").alias("keep"), F.sum("base").alias("lower"))
         weights = materialize(weights, "weights")
         bow = F.log10((1 - F.col("keep") / F.col("c")) / (1 - F.col("lower")))

@@ -10,7 +10,7 @@ MINUTE = 60 * SECOND
 BUCKET = 10 * MINUTE
 DAY = 24 * 60 * MINUTE
 
-_UUID7 = "^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\\z"
+_NATIVE_UUID7 = "^[a-z][a-z0-9]*_[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\\z"
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})\z"
 
 
@@ -20,9 +20,11 @@ def micros(ts: Column) -> Column:
 
 
 def uuid7_micros(id_: Column) -> Column:
-    """The time in a lower-case version 7 UUID, to the millisecond; null for anything else."""
-    digits = F.concat(F.substring(id_, 1, 8), F.substring(id_, 10, 4))
-    return F.when(id_.rlike(_UUID7), F.conv(digits, 16, 10).cast("long") * 1000)
+    """The time in a native id, a kind and a lower-case version 7 UUID after an underscore, to the millisecond; null for
+    anything else."""
+    uuid = F.split_part(id_, F.lit("_"), F.lit(2))
+    digits = F.concat(F.substring(uuid, 1, 8), F.substring(uuid, 10, 4))
+    return F.when(id_.rlike(_NATIVE_UUID7), F.conv(digits, 16, 10).cast("long") * 1000)
 
 
 def effective_at(native_id: Column, occurred: Column, observed: Column, received: Column) -> Column:
@@ -78,7 +80,8 @@ def byte_size(text: Column) -> Column:
 
 
 def excerpt(text: Column, most: int = 1024) -> Column:
-    """The longest start of at most `most` UTF-8 bytes that cuts no character."""
+    """The longest start of at most `most` UTF-8 bytes that cuts no character; where three of a character's four bytes would
+    fit, U+FFFD, which has three, stands for it."""
     raw = text.cast("binary")
     # A cut character shows at the first byte left out: it continues one. Step back to where it began.
     continues = lambda at: F.substring(F.hex(F.substring(raw, at + 1, 1)), 1, 1).isin("8", "9", "A", "B")
@@ -88,7 +91,7 @@ def excerpt(text: Column, most: int = 1024) -> Column:
         for k in range(1, back):
             steps &= continues(F.lit(most - k))
         end = F.when(steps & (end == most), F.lit(most - back)).otherwise(end)
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.decode(F.substring(raw, F.lit(1), end), "UTF-8"))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), end), "UTF-8"), F.when(end == most - 3, "\uFFFD").otherwise("")))
 
 
 def truncated(size: Column, shown: Column) -> Column:

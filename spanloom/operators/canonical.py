@@ -5,21 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ("session_id", "logical_event_key", "event_kind")
+from ..functions.expr import effective_at, effective_role
+from .predicates import after_session_start, is_activity, of_versions
+
+KEYS = ("session_id", "scope_key", "normalizer_version", "logical_event_key", "event_kind")
+
+
+def keyed() -> Column:
+    """Events that may represent the same thing as others; without a scope or a key each is its own."""
+    return F.col("scope_key").isNotNull() & F.col("logical_event_key").isNotNull()
 
 
 def preference() -> list[Column]:
     return [F.col("source_priority").desc(), F.col("occurred_at").asc_nulls_last(), F.col("id").asc()]
 
 
-def canonical(events: DataFrame, keys: tuple[str, ...] = KEYS, keyed: str = "logical_event_key", order: list[Column] | None = None) -> DataFrame:
+def canonical(events: DataFrame, keys: tuple[str, ...] = KEYS, order: list[Column] | None = None) -> DataFrame:
     """Unkeyed events, and of keyed ones the preferred of each key.
 
-    Unkeyed events need no comparison, so they skip the shuffle; the filter on the rank lets Spark drop all but the
-    first of a key before it shuffles the rest.
+    One scan and one shuffle: an unkeyed event is a group by its id. The filter on the rank lets Spark drop all but the
+    first of a key before it shuffles.
     """
-    ranked = events.filter(F.col(keyed).isNotNull()).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*(order or preference()))))
-    return events.filter(F.col(keyed).isNull()).unionByName(ranked.filter("__rank = 1").drop("__rank"))
+    alone = F.when(~keyed(), F.col("id"))
+    w = Window.partitionBy(*keys, alone).orderBy(*(order or preference()))
+    return events.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").drop("__rank")
+
+
+def candidates(events: DataFrame, sessions: DataFrame, start: int, read_at: int, versions: tuple[str, ...]) -> DataFrame:
+    """Activity of [start, read_at) with effective_at, its session's started_at, and actor_role as the session makes it
+    (stored_actor_role has what the event says). The window is cut before anything is ranked, so that a key's winner is one
+    of the window's, and a ranking costs the window and not the history."""
+    e = events.filter(is_activity() & of_versions(versions)).withColumn("effective_at", effective_at(F.col("native_item_id"), F.col("occurred_at"), F.col("observed_at"), F.col("received_at")))
+    e = e.filter((F.col("effective_at") >= start) & (F.col("effective_at") < read_at))
+    s = sessions.select("session_id", "started_at", F.col("parent_session_id").isNotNull().alias("__child"))
+    e = e.join(s, "session_id").withColumn("stored_actor_role", F.col("actor_role"))
+    return e.withColumn("actor_role", effective_role(F.col("actor_role"), F.col("__child"))).drop("__child")
+
+
+def activity(events: DataFrame, sessions: DataFrame, start: int, read_at: int, versions: tuple[str, ...]) -> DataFrame:
+    """The canonical activity of a window, without what a session copied from before its start."""
+    return canonical(candidates(events, sessions, start, read_at, versions)).filter(after_session_start(F.col("effective_at"), F.col("started_at")))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

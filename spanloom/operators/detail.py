@@ -5,16 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import semantic_role, uuid7_micros
+from ..sources.scratch import written
+from .canonical import KEYS, canonical, keyed
+from .pairing import ADJACENT_TOLERANCE, PROMPT_TOLERANCE, SOURCE, adjacent_copies, mutual_unique_pairs, submitted_form, without
+from .predicates import is_prompt, of_versions
 
-def interval_work(activity: DataFrame, start: int, end: int, most: int = 200, at: str = "effective_at", text: str = "excerpt") -> DataFrame:
-    """Per person, session and role: first and last time, count, and the first text by (time, id); the first `most`
-    and one more, by which a caller sees that there are too many."""
+
+def summary(at: str = "effective_at", text: str = "content_excerpt") -> Column:
+    """The first shown text that a human or a parent agent submitted."""
+    submitted = (F.col("event_subtype") == "user_message") & (F.col("message_role") == "user") & F.col("message_origin").isin("human", "parent_agent") & F.col(text).isNotNull()
+    return F.min(F.when(submitted, F.struct(at, "id", text)))[text].alias("summary")
+
+
+def work_groups(activity: DataFrame, at: str = "effective_at", text: str = "content_excerpt") -> DataFrame:
+    """Per person, session and semantic role: first and last time, count and summary."""
+    with_role = activity.withColumn("semantic_role", semantic_role(F.col("actor_role")))
+    return with_role.groupBy("person_id", "session_id", "semantic_role").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count(F.lit(1)).alias("n_events"), summary(at, text))
+
+
+def interval_work(activity: DataFrame, start: int, end: int, most: int = 200, at: str = "effective_at", text: str = "content_excerpt") -> DataFrame:
+    """The work of an interval; the first `most` groups and one more, by which a caller sees that there are too many."""
     inside = activity.filter((F.col(at) >= start) & (F.col(at) < end))
-    g = inside.groupBy("person_id", "session_id", "actor_role").agg(
-        F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count(F.lit(1)).alias("n_events"),
-        F.min(F.when(F.col(text).isNotNull(), F.struct(at, "id", text)))[text].alias("summary"),
-    )
-    return g.orderBy("first_at", "session_id", "actor_role").limit(most + 1)
+    return work_groups(inside, at, text).orderBy("first_at", "session_id", "semantic_role").limit(most + 1)
+
+
+def work_detail(activity: DataFrame, session_id: Column, role: str, start: int, end: int, cursor: tuple, size: int, at: str = "effective_at", text: str = "content_excerpt") -> DataFrame:
+    """One session's work in an interval: its header beside each message of the page after the cursor, or alone where the
+    page is empty; the lone header comes first."""
+    inside = activity.filter((F.col(at) >= start) & (F.col(at) < end) & (F.col("session_id") == session_id) & (semantic_role(F.col("actor_role")) == role))
+    said = F.col("event_kind").isin("message", "agent_message") & ((F.col("message_role") == "assistant") | ((F.col("message_role") == "user") & F.col("message_origin").isin("human", "parent_agent")))
+    page = keyset_page(inside.filter(said).select("id", at, "message_role", "content_bytes", text), [at, "id"], cursor, size)
+    return header_and_page(work_groups(inside, at, text), page).orderBy(F.col(at).asc_nulls_first(), F.col("id").asc_nulls_first())
 
 
 def after(cursor: tuple, columns: list[str]) -> Column:
@@ -39,28 +61,68 @@ def header_and_page(header: DataFrame, page: DataFrame) -> DataFrame:
     return header.join(page, F.lit(True), "left")  # one row against a page
 
 
-def ranked_prompts(prompts: DataFrame) -> DataFrame:
+def prompt_candidates(events: DataFrame, start: int, end: int, versions: tuple[str, ...], padding: int = PROMPT_TOLERANCE) -> DataFrame:
+    """Prompts about a window: by their own time or by that of their native id, with the pairing tolerance around it.
+    source_at is the time that the source gives, native_at that of the native id."""
+    e = events.filter(is_prompt() & of_versions(versions))
+    e = e.withColumn("source_at", F.coalesce("occurred_at", "observed_at", "received_at")).withColumn("native_at", uuid7_micros(F.col("native_item_id")))
+    near = lambda c: (F.col(c) >= start - padding) & (F.col(c) < end + padding)
+    return e.filter(near("source_at") | near("native_at"))
+
+
+def copied_prompts(canonical_prompts: DataFrame) -> DataFrame:
+    """id of submitted prompts without key, turn and native id whose record only repeats the one before."""
+    plain = canonical_prompts.filter(submitted_form() & F.col("logical_event_key").isNull() & F.col("turn_id").isNull())
+    same = ["session_id", "event_kind", "event_subtype", "content_sha256", "scope_key"]
+    again = adjacent_copies(plain, "batch_id", "record_index", same, "source_at", ADJACENT_TOLERANCE, "start_offset", "end_offset", ("scope_key",))
+    return plain.join(again, ["batch_id", "record_index"], "left_semi").select("id")
+
+
+def native_pairs(submitted: DataFrame, native: DataFrame) -> DataFrame:
+    """submitted_id, paired_native_id, paired_at: submitted prompts and the one native message that must be the same."""
+    plain = F.col("logical_event_key").isNull() & F.col("turn_id").isNull()
+    # Equality here is SQL's, so rows with a null among the keys have no partner.
+    keys = ["session_id", "content_sha256", *SOURCE]
+    whole = plain
+    for c in keys:
+        whole &= F.col(c).isNotNull()
+    pairs = mutual_unique_pairs(submitted.filter(whole), native.filter(whole), keys, PROMPT_TOLERANCE, left_at="source_at", right_at="source_at")
+    seen = native.select(F.col("id").alias("right_id"), F.col("native_item_id").alias("paired_native_id"), F.coalesce("native_at", "source_at").alias("paired_at"))
+    return pairs.join(seen, "right_id").select(F.col("left_id").alias("submitted_id"), "paired_native_id", "paired_at")
+
+
+def prompt_sources(candidates: DataFrame) -> DataFrame:
+    """The candidates that stand for a prompt, with prompt_identity and prompt_at.
+
+    Of a keyed group the preferred event stands, if any of the group was submitted; its identity is the group's greatest
+    native id of a message, else the key. Of other events submitted ones stand that repeat no record; their identity is
+    their own native id, their pair's, else the event."""
+    group = Window.partitionBy(*KEYS)
+    native = F.when(F.col("event_subtype") == "message", F.col("native_item_id"))
+    held = candidates.withColumn("__native", F.when(keyed(), F.max(native).over(group))).withColumn("__submitted", F.max(F.col("event_subtype").eqNullSafe(F.lit("user_message"))).over(group))
+    chosen = written(canonical(held), "prompts")  # keyed ones, others, their copies and pairs are read from it
+    named = F.concat_ws(":", F.lit("logical"), "scope_key", "normalizer_version", "logical_event_key", "event_kind")
+    a = chosen.filter(keyed() & F.col("__submitted")).withColumn("prompt_identity", F.coalesce(F.concat(F.lit("native:"), "__native"), named)).withColumn("prompt_at", F.coalesce(uuid7_micros(F.col("__native")), F.col("source_at")))
+    loose = without(chosen.filter(~keyed() & (F.col("event_subtype") == "user_message")), copied_prompts(chosen), ["id"])
+    pairs = native_pairs(loose, candidates.filter((F.col("event_subtype") == "message") & F.col("native_item_id").isNotNull()))
+    b = loose.join(pairs, F.col("id") == F.col("submitted_id"), "left")
+    b = b.withColumn("prompt_identity", F.coalesce(F.concat(F.lit("native:"), F.coalesce("native_item_id", "paired_native_id")), F.concat(F.lit("event:"), F.col("id").cast("string"))))
+    b = b.withColumn("prompt_at", F.coalesce("native_at", "paired_at", "source_at"))
+    return a.drop("__native", "__submitted").unionByName(b.drop("__native", "__submitted", "submitted_id", "paired_native_id", "paired_at"))
+
+
+def ranked_prompts(sources: DataFrame) -> DataFrame:
     """The first of each person's prompts with one identity, across sessions."""
-    w = Window.partitionBy("person_id", "prompt_identity").orderBy("observed_at", F.col("occurred_at").asc_nulls_last(), "id")
-    return prompts.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    w = Window.partitionBy("person_id", "prompt_identity").orderBy("prompt_at", "source_at", "id")
+    return sources.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def prompt_identity(prompts: DataFrame) -> DataFrame:
-    """prompts with prompt_identity: of a keyed group its largest native id, else its key; of others their own native
-    id, their pair's (paired_native_id), else the event."""
-    group = Window.partitionBy("session_id", "logical_event_key", "event_kind")
-    keyed = prompts.filter(F.col("logical_event_key").isNotNull()).withColumn("__native", F.max("native_item_id").over(group))
-    a = keyed.withColumn("prompt_identity", F.coalesce(F.concat(F.lit("native:"), "__native"), F.concat_ws(":", F.lit("logical"), F.col("session_id").cast("string"), "logical_event_key", "event_kind"))).drop("__native")
-    b = prompts.filter(F.col("logical_event_key").isNull()).withColumn("prompt_identity", F.coalesce(F.concat(F.lit("native:"), F.coalesce("native_item_id", "paired_native_id")), F.concat(F.lit("event:"), F.col("id").cast("string"))))
-    return a.unionByName(b)
+def prompts(events: DataFrame, start: int, end: int, versions: tuple[str, ...]) -> DataFrame:
+    """A window's prompts, one for each identity of a person."""
+    inside = (F.col("prompt_at") >= start) & (F.col("prompt_at") < end)
+    return ranked_prompts(prompt_sources(prompt_candidates(events, start, end, versions))).filter(inside)
 
 
 def visible(df: DataFrame, snapshot: Column, commit: str = "commit_id") -> DataFrame:
     """Rows committed at or before a snapshot: appends carry growing commit numbers."""
     return df.filter(F.col(commit) <= snapshot)
-
-
-def visible_to(df: DataFrame, xmin: int, xmax: int, running: tuple[int, ...] = (), commit: str = "commit_id") -> DataFrame:
-    """Rows of commits that a snapshot with commits still running has seen."""
-    seen = (F.col(commit) < xmin) | ((F.col(commit) < xmax) & ~F.col(commit).isin(*running)) if running else F.col(commit) < xmax
-    return df.filter(seen)

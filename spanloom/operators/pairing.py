@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,13 +29,13 @@ def mutual_unique_pairs(left: DataFrame, right: DataFrame, keys: list[str], tole
     return once("left_id", "right_id").join(once("right_id", "left_id"), ["left_id", "right_id"])
 
 
-def adjacent_copies(records: DataFrame, batch: str, index: str, same: list[str], at: str | None = None, tolerance: int = 100_000, start: str | None = None, end: str | None = None) -> DataFrame:
-    """batch, index of records that repeat the one just before: next index, equal `same` columns and, where named,
-    contiguous byte ranges and times within the tolerance."""
+def adjacent_copies(records: DataFrame, batch: str, index: str, same: list[str], at: str | None = None, tolerance: int = 100_000, start: str | None = None, end: str | None = None, null_safe: tuple[str, ...] = ()) -> DataFrame:
+    """batch, index of records that repeat the one just before: next index, equal `same` columns (nulls are equal in those
+    of null_safe) and, where named, contiguous byte ranges and times within the tolerance."""
     before = records.select(F.col(batch).alias("__batch"), (F.col(index) + 1).alias("__index"), *[F.col(c).alias(f"__{c}") for c in same], *([F.col(at).alias("__at")] if at else []), *([F.col(end).alias("__end")] if end else []))
     on = (F.col(batch) == F.col("__batch")) & (F.col(index) == F.col("__index"))
     for c in same:
-        on &= F.col(c) == F.col(f"__{c}")
+        on &= F.col(c).eqNullSafe(F.col(f"__{c}")) if c in null_safe else F.col(c) == F.col(f"__{c}")
     if at:
         on &= F.abs(F.col(at) - F.col("__at")) <= tolerance
     if start and end:
@@ -43,5 +43,18 @@ def adjacent_copies(records: DataFrame, batch: str, index: str, same: list[str],
     return records.join(before, on).select(batch, index)
 
 
+# How far apart two records of one thing may be, in microseconds.
+PROMPT_TOLERANCE, ASSISTANT_TOLERANCE, ADJACENT_TOLERANCE = 2_000_000, 3_000_000, 100_000
+#: What two forms of one message have in common besides their time.
+CONTEXT = ["person_id", "session_id", "actor_role", "stored_actor_role", "content_sha256", "scope_key", "collector_key", "source_kind", "source_stream_key", "generation_key", "generation_seq"]
+#: The place of a record among its stream's.
+SOURCE = ["collector_key", "source_kind", "source_stream_key", "generation_key", "generation_seq"]
+
+
+def submitted_form() -> Column:
+    """The form in which a client reports a submitted message, without an id of its own."""
+    return (F.col("event_subtype") == "user_message") & (F.col("native_type") == "event_msg") & (F.col("native_payload_type") == "user_message") & F.col("native_item_id").isNull()
+
+
 def without(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")

@@ -2,63 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import DAY, MINUTE, SECOND, bucket_start
+from ..sources.scratch import written
 from . import grid
-from .canonical import canonical
-from .detail import prompt_identity
-from .pairing import adjacent_copies, mutual_unique_pairs, without
-from .predicates import after_session_start, is_activity, is_prompt
+from .canonical import activity, latest_per_key
+from .detail import prompt_candidates, prompt_sources
+from .pairing import ADJACENT_TOLERANCE, ASSISTANT_TOLERANCE, CONTEXT, PROMPT_TOLERANCE, adjacent_copies, submitted_form, tolerance_pairs, without
+from .predicates import is_conversation_source
 from .revisions import latest_revision
 
 COVERED = 26 * 60 * MINUTE
 PADDING = 6 * SECOND
 
 EVIDENCE_KEYS = ["evidence_kind", "source_event_id"]
-EVIDENCE_VALUES = ["person_id", "session_id", "observed_at", "actor_role", "event_kind", "event_subtype", "prompt_identity", "is_summary_candidate"]
-
-
-def is_conversation_source() -> Column:
-    """Messages without a key or turn that carry content: what one source may say twice in two forms."""
-    return F.col("logical_event_key").isNull() & F.col("turn_id").isNull() & F.col("content_sha256").isNotNull() & F.col("event_kind").isin("message", "agent_message")
-
-
-def representation_copies(events: DataFrame, at: str = "effective_at", user_tolerance: int = 2 * SECOND, assistant_tolerance: int = 3 * SECOND) -> DataFrame:
-    """id of events that only repeat another: the one form of a message whose only partner of the other form has the
-    same content and about the same time, and the second of two neighbouring records with equal content."""
-    e = events.filter(is_conversation_source()).select("id", "person_id", "session_id", "batch_id", "record_index", "event_subtype", "actor_role", "message_role", "content_sha256", F.col(at).alias("at"))
-    keys = ["person_id", "session_id", "actor_role", "content_sha256"]
-    typed, plain = F.col("event_subtype").isin("user_message", "agent_message"), F.col("event_subtype") == "message"
-    pairs = [
-        mutual_unique_pairs(e.filter(typed & (F.col("message_role") == role)), e.filter(plain & (F.col("message_role") == role)), keys, tolerance).select(F.col("left_id" if role == "assistant" else "right_id").alias("id"))
-        for role, tolerance in (("user", user_tolerance), ("assistant", assistant_tolerance))
-    ]
-    near = adjacent_copies(e, "batch_id", "record_index", ["session_id", "content_sha256", "event_subtype"], at="at")
-    neighbours = e.join(near, ["batch_id", "record_index"], "left_semi").select("id")
-    return pairs[0].unionByName(pairs[1]).unionByName(neighbours).distinct()
-
-
-def evidence(events: DataFrame, sessions: DataFrame, start: int, end: int, at: str = "effective_at") -> DataFrame:
+EVIDENCE_VALUES = ["person_id", "session_id", "anchor_observed_at", "observed_at", "actor_role", "event_kind", "event_subtype", "message_role", "message_origin", "prompt_identity", "is_summary_candidate"]
+
+
+def representation_copies(events: DataFrame, at: str = "effective_at") -> DataFrame:
+    """id of activity that only repeats other activity.
+
+    A message recorded in two forms within the tolerance is one: if each has no other partner, the assistant's announced
+    form and the user's structured form go. Of two neighbouring records of one submitted message the second goes."""
+    e = events.filter(is_conversation_source()).withColumn("said_at", F.col(at))
+    structured = lambda role: (F.col("event_kind") == "message") & (F.col("event_subtype") == "message") & (F.col("message_role") == role) & (F.col("native_type") == "response_item") & (F.col("native_payload_type") == "message")
+    announced = (F.col("event_kind") == "agent_message") & (F.col("event_subtype") == "agent_message") & (F.col("message_role") == "assistant") & (F.col("native_type") == "event_msg") & (F.col("native_payload_type") == "agent_message") & F.col("native_item_id").isNull()
+    submitted = (F.col("event_kind") == "message") & (F.col("message_role") == "user") & submitted_form()
+    # Both kinds of pairs are one join: a form's role is a key, and so is how many slots of the tolerance apart they may be.
+    of = lambda cond, role: e.filter(cond).select("id", "said_at", *CONTEXT, F.lit(role).alias("__role"))
+    exact = [c for c in CONTEXT if c != "scope_key"]
+    whole = F.lit(True)
+    for c in exact:
+        whole &= F.col(c).isNotNull()
+    keys = [*CONTEXT, "__role"]
+    pair = lambda left, right, tolerance: tolerance_pairs(left.filter(whole), right.filter(whole), keys, tolerance, "said_at", "said_at")
+    assistant = pair(of(announced, "assistant"), of(structured("assistant"), "assistant"), ASSISTANT_TOLERANCE).withColumn("gone", F.col("left_id"))
+    user = pair(of(submitted, "user"), of(structured("user"), "user"), PROMPT_TOLERANCE).withColumn("gone", F.col("right_id"))
+    pairs = assistant.unionByName(user)
+    degree = lambda side: F.count(F.lit(1)).over(Window.partitionBy(side))
+    twice = pairs.withColumn("a", degree("left_id")).withColumn("b", degree("right_id")).filter("a = 1 AND b = 1").select(F.col("gone").alias("id"))
+    said = e.filter(submitted)
+    same = ["person_id", "session_id", "actor_role", "stored_actor_role", "content_sha256", "scope_key"]
+    again = adjacent_copies(said, "batch_id", "record_index", same, "said_at", ADJACENT_TOLERANCE, "start_offset", "end_offset", ("scope_key",))
+    return twice.unionByName(said.join(again, ["batch_id", "record_index"], "left_semi").select("id")).distinct()
+
+
+def evidence(events: DataFrame, sessions: DataFrame, start: int, end: int, versions: tuple[str, ...]) -> DataFrame:
     """Activity and prompts of [start, end): EVIDENCE_KEYS and EVIDENCE_VALUES.
 
-    Winners are chosen over the padded window before anything is cut by session start or window, so that what lies just
-    outside still takes part in the choice. Prompts are told apart by identity within their session.
+    Winners are chosen over the padded window, then session starts and copies cut, and the window last, so that what lies
+    just outside still takes part in the choice. Prompts are told apart within a session here, across sessions by readers.
     """
-    near = events.filter((F.col(at) >= start - PADDING) & (F.col(at) < end + PADDING))
-    started = sessions.select("session_id", "started_at")
-    active = canonical(near.filter(is_activity())).join(started, "session_id", "left")
-    active = active.filter(F.col("started_at").isNull() | after_session_start(F.col("observed_at"), F.col("started_at"))).drop("started_at")
-    active = without(active, representation_copies(active, at), ["id"])
-    prompts = prompt_identity(near.filter(is_prompt()))
-    first = prompts.groupBy("session_id", "prompt_identity").agg(F.min(F.struct("observed_at", "id"))["id"].alias("id"))
-    prompts = prompts.join(first.select("id"), "id", "left_semi")
-    inside = (F.col(at) >= start) & (F.col(at) < end)
-    common = ["person_id", "session_id", F.col(at).alias("observed_at"), "actor_role", "event_kind", "event_subtype"]
-    a = active.filter(inside).select(F.lit("activity").alias("evidence_kind"), F.col("id").alias("source_event_id"), *common, F.lit(None).cast("string").alias("prompt_identity"), F.coalesce(F.col("content_sha256").isNotNull(), F.lit(False)).alias("is_summary_candidate"))
-    p = prompts.filter(inside).select(F.lit("prompt").alias("evidence_kind"), F.col("id").alias("source_event_id"), *common, "prompt_identity", F.lit(False).alias("is_summary_candidate"))
-    return a.unionByName(p)
+    active = written(activity(events, sessions, start - PADDING, end + PADDING, versions), "activity")  # it is read for copies too
+    active = without(active, representation_copies(active), ["id"]).filter((F.col("effective_at") >= start) & (F.col("effective_at") < end))
+    submitted = (F.col("event_subtype") == "user_message") & (F.col("message_role") == "user") & F.col("message_origin").isin("human", "parent_agent") & F.col("content_excerpt").isNotNull()
+    said = prompt_sources(prompt_candidates(events, start, end, versions, PADDING)).filter((F.col("prompt_at") >= start) & (F.col("prompt_at") < end))
+    row = lambda kind, anchor, at, identity, candidate: [F.lit(kind).alias("evidence_kind"), F.col("id").alias("source_event_id"), "person_id", "session_id", F.col(anchor).alias("anchor_observed_at"), F.col(at).alias("observed_at"), "actor_role", "event_kind", "event_subtype", "message_role", "message_origin", identity.alias("prompt_identity"), F.coalesce(candidate, F.lit(False)).alias("is_summary_candidate")]
+    a = active.select(row("activity", "effective_at", "effective_at", F.lit(None).cast("string"), submitted))
+    return a.unionByName(said.select(row("prompt", "source_at", "prompt_at", F.col("prompt_identity"), F.lit(False))))
+
+
+def projection_run(coordinates: DataFrame, receipts: DataFrame, now: int, projector: str) -> tuple[DataFrame, DataFrame]:
+    """(sessions that may be projected, receipts to append) from source coordinates (session_id, last_id, n,
+    last_future_id) and the receipts so far. A session with an event in the future is refused until its time has come; a
+    receipt that says what the last one said is not written again."""
+    start, end = covered(now)
+    ready = coordinates.filter(F.col("last_future_id").isNull())
+    want = ready.select("session_id", "last_id", "n", F.lit(projector).alias("projector_version"), F.lit(start).alias("covered_from"), F.lit(end).alias("covered_through"))
+    values = [c for c in want.columns if c != "session_id"]
+    last = latest_per_key(receipts.select("session_id", "receipt_id", *values), ["session_id"], ["receipt_id"]).select("session_id", F.struct(*values).alias("__last"))
+    fresh = want.join(last, "session_id", "left").filter(~F.struct(*values).eqNullSafe(F.col("__last"))).drop("__last")
+    return ready.select("session_id"), fresh
 
 
 def covered(now: int) -> tuple[int, int]:

@@ -6,14 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import expr as X
 from spanloom.operators import canonical, checks, detail, freshness, grid, intervals, jobs, pairing, predicates, revisions, sessions
-
-S = X.SECOND
-EVENT = "id long, person_id long, session_id long, event_kind string, event_subtype string, actor_role string, logical_event_key string, source_priority int, occurred_at long, observed_at long, is_replay boolean"
-
-
-def event(id_, **more):
-    row = {"id": id_, "person_id": 1, "session_id": 1, "event_kind": "message", "event_subtype": "user_message", "actor_role": "primary", "logical_event_key": None, "source_priority": 100, "occurred_at": id_ * S, "observed_at": id_ * S, "is_replay": False} | more
-    return tuple(row[c.split()[0]] for c in EVENT.split(", "))
+from .events import EVENT, STRUCTURED, S, event, native
 
 
 def ids(df, column="id"):
@@ -21,21 +14,46 @@ def ids(df, column="id"):
 
 
 def test_canonical_prefers_priority_then_time_then_id(spark):
-    rows = [event(1, logical_event_key="k", source_priority=50), event(2, logical_event_key="k"), event(3, logical_event_key="k", occurred_at=None), event(4), event(5, logical_event_key="other"), event(6, logical_event_key="k", event_kind="usage"), event(7, logical_event_key="k", session_id=2)]
+    k = {"logical_event_key": "k"}
+    rows = [
+        event(1, source_priority=50, **k), event(2, **k), event(3, occurred_at=None, **k), event(4), event(5, logical_event_key="other"), event(6, event_kind="usage", **k), event(7, session_id=2, **k),
+        event(8, scope_key=None, **k), event(9, scope_key=None, **k), event(10, scope_key="stream:1", **k), event(11, normalizer_version="v2", **k),
+    ]
     for order in (rows, rows[::-1]):
-        assert ids(canonical.canonical(spark.createDataFrame(order, EVENT))) == [2, 4, 5, 6, 7]
+        assert ids(canonical.canonical(spark.createDataFrame(order, EVENT))) == [2, 4, 5, 6, 7, 8, 9, 10, 11]
 
 
 def test_canonical_ties(spark):
-    rows = [event(8, logical_event_key="k", occurred_at=None), event(7, logical_event_key="k", occurred_at=100), event(9, logical_event_key="k", occurred_at=100)]
+    k = {"logical_event_key": "k"}
+    rows = [event(8, occurred_at=None, **k), event(7, occurred_at=100, **k), event(9, occurred_at=100, **k)]
     assert ids(canonical.canonical(spark.createDataFrame(rows, EVENT))) == [7]
 
 
 def test_eligibility(spark):
-    rows = [event(1), event(2, is_replay=True), event(3, actor_role="automation"), event(4, actor_role=None), event(5, event_kind="error"), event(6, event_kind="lifecycle", event_subtype="hook"), event(7, event_kind="lifecycle", event_subtype="task_started"), event(8, actor_role="worker")]
+    rows = [
+        event(1), event(2, is_replay=True), event(3, actor_role="automation"), event(4, actor_role=None), event(5, event_kind="error"), event(6, event_kind="lifecycle", event_subtype="hook"), event(7, event_kind="lifecycle", event_subtype="task_started"),
+        event(8, actor_role="worker"), event(9, event_kind="usage"), event(10, event_kind="agent_message"), event(11, event_kind="agent_spawn"), event(12, **STRUCTURED), event(13, native_item_id="i", **STRUCTURED), event(14, event_kind="plan"),
+    ]
     df = spark.createDataFrame(rows, EVENT)
-    assert ids(df.filter(predicates.is_activity())) == [1, 7, 8]
-    assert ids(df.filter(predicates.is_prompt())) == [1]
+    assert ids(df.filter(predicates.is_activity())) == [1, 5, 7, 8, 10, 11, 13]
+    more = [event(20, message_origin="parent_agent"), event(21, message_role="assistant"), event(22, content_sha256=None), event(23, content_bytes=0), event(24, error_code="e"), event(25, content_bytes=None)]
+    assert ids(spark.createDataFrame([*rows, *more], EVENT).filter(predicates.is_prompt())) == [1, 12, 13]
+
+
+def test_activity_leaves_out_what_a_session_copied_from_before_its_start(spark):
+    """A child's records from before its start are its parent's history; winners are chosen first, so a key whose winner
+    is such a copy is gone. The start counts to the millisecond, and native ids tell when a record was made."""
+    m = lambda n: n * 60 * S
+    copied = lambda i, session, at, seen, **more: event(i, session_id=session, at=seen, native_item_id=native(at, i), **more)
+    key = {"logical_event_key": "same", "scope_key": "session:7"}
+    rows = [
+        copied(1, 1, m(10), m(10)), copied(2, 2, m(20), m(61), actor_role="worker"), copied(3, 3, m(120), m(122), actor_role="worker"), copied(4, 4, m(30), m(62), actor_role="unknown"), event(5, session_id=4, at=m(70), actor_role="unknown"),
+        event(6, session_id=5, at=m(65), actor_role="worker"), copied(7, 6, m(40), m(40) + 1000, actor_role="guardian"), copied(8, 7, m(50), m(63), **key), event(9, session_id=7, at=m(80), source_priority=10, **key),
+        event(10, session_id=8, at=m(90), actor_role="unknown"), event(11, session_id=9, at=m(100), actor_role="automation"), event(12, session_id=1, at=m(200)), event(13, session_id=1, at=m(11), normalizer_version="v0"),
+    ]
+    sessions = [(1, 0, None), (2, m(60), 1), (3, m(121), 1), (4, m(60), 1), (5, m(60), 1), (6, m(40) + 500, 1), (7, m(60), None), (8, m(60), None), (9, m(60), None)]
+    got = canonical.activity(spark.createDataFrame(rows, EVENT), spark.createDataFrame(sessions, "session_id long, started_at long, parent_session_id long"), 0, m(150), ("v1",))
+    assert {r["id"]: r["actor_role"] for r in got.collect()} == {1: "primary", 5: "worker", 6: "worker", 7: "guardian", 10: "unknown"}
 
 
 def test_roster(spark):
@@ -150,13 +168,9 @@ def test_grid_is_dense(spark):
     assert [r["person_id"] for r in grid.ranked(grid.person_metrics(g), "active_seconds", "person_id").orderBy("rank").collect()] == [1, 2]
 
 
-def test_prompt_identity_and_cross_session_rank(spark):
-    more = EVENT + ", native_item_id string, paired_native_id string"
-    rows = [event(1, logical_event_key="k") + ("n2", None), event(2, logical_event_key="k") + ("n1", None), event(3, logical_event_key="z") + (None, None), event(4) + (None, "p9"), event(5) + (None, None), event(6, session_id=2) + (None, "p9")]
-    p = detail.prompt_identity(spark.createDataFrame(rows, more))
-    got = {r["id"]: r["prompt_identity"] for r in p.collect()}
-    assert got == {1: "native:n2", 2: "native:n2", 3: "logical:1:z:message", 4: "native:p9", 5: "event:5", 6: "native:p9"}
-    assert ids(detail.ranked_prompts(p)) == [1, 3, 4, 5]
+def test_one_prompt_for_each_identity_across_sessions(spark):
+    rows = [event(1, native_item_id="n", content_sha256="a"), event(2, session_id=2, native_item_id="n", content_sha256="b"), event(3, content_sha256="c"), event(4, at=2000 * S), event(5, person_id=2, native_item_id="n", content_sha256="d")]
+    assert ids(detail.prompts(spark.createDataFrame(rows, EVENT), 0, 1000 * S, ("v1",))) == [1, 3, 5]
 
 
 def test_pages(spark):
@@ -175,7 +189,15 @@ def test_pages(spark):
 
 def test_visible_commits(spark):
     df = spark.createDataFrame([(i,) for i in range(10)], "commit_id long")
-    assert ids(detail.visible_to(df, 3, 7, (4, 5)), "commit_id") == [0, 1, 2, 3, 6]
+    assert ids(detail.visible(df, F.lit(3)), "commit_id") == [0, 1, 2, 3]
+
+
+def test_work_detail(spark):
+    a = spark.createDataFrame([event(1), event(2, **STRUCTURED), event(3, event_kind="tool_call"), event(4, session_id=2), event(5, actor_role="worker"), event(6, event_kind="reasoning", content_excerpt=None)], EVENT).withColumn("effective_at", F.col("observed_at"))
+    page = detail.work_detail(a, F.lit(1), "agent", 0, 100 * S, (0, 0), 1).collect()
+    assert [(r["n_events"], r["id"]) for r in page] == [(4, 1), (4, 2)] and page[0]["summary"] == "words"
+    rest = detail.work_detail(a, F.lit(1), "agent", 0, 100 * S, (2 * S, 2), 1).collect()
+    assert [(r["n_events"], r["id"]) for r in rest] == [(4, None)]
 
 
 def test_sessions(spark):

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: White space between words, and its complement, as Java and RE2 both read them.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,35 +22,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _recorders: list[list[str]] = []
 
 
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no recomputation beyond its own tasks. The files go when the driver exits, or by remove(); the shuffle
-    files that led to them go at once, as nothing reads them again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    atexit.register(_remove, spark, path)
+    """df, written once in the shared folder and read back. The files go when the driver exits, or by remove()."""
+    path = scratch.write(df, label, compression)
     for tables in _recorders:
         tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
@@ -67,18 +46,10 @@ def recording() -> Iterator[list[str]]:
 
 def remove(spark: SparkSession, tables: list[str]) -> None:
     for path in tables:
-        _remove(spark, path)
+        scratch.delete(spark, path)
     tables.clear()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone; the folder's owner removes it
-        pass
-
-
 def pack(docs: DataFrame, **named: str | Column) -> DataFrame:
     """All columns of docs as one struct, `row`, beside the named ones: whatever else docs has, no name clashes."""
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[(docs[c] if isinstance(c, str) else c).alias(k) for k, c in named.items()])

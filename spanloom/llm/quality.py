@@ -2,7 +2,7 @@
 each rule is right, and a document is kept when its posterior probability of being good reaches a half.
 
 Everything is DataFrame functions. Rules look at one text each, so features need no shuffle. Votes have at
-most 3 ** len(RULES) patterns; the corpus is folded to one count per pattern by a map-side combined
+most 3 ** len(RULES) (59 049) patterns; the corpus is folded to one count per pattern by a map-side combined
 aggregation, expectation-maximisation runs over that bounded table, and the verdicts come back by a join on
 the pattern's number.
 
@@ -23,26 +23,26 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 ROUNDS = 25
 #: Documents added to what is counted, for good and for bad ones: votes against, votes for. They say which class is the
-#: good one and keep every probability off 0.
-PRIOR_VOTES = ((0.02, 0.98), (0.2, 0.8))
-PRIOR_GOOD = 0.8
-#: Rules are written as alarms: at most this share of good documents sets one off, and at least this share of bad
-#: ones does. Without the bounds the two classes can settle on any other split of the corpus, such as documents with
-#: and without repeats.
-FALSE_ALARMS, CAUGHT = 0.002, 0.05
-
-#: name, bad where true, good where true; otherwise the rule abstains. SQL over the features below.
+#: good one, as rules are better than chance, and keep every probability off 0; the data soon outweigh them.
+PRIOR_VOTES = ((0.5, 9.5), (4.0, 6.0))
+PRIOR_GOOD, PRIOR_SIZE = 0.8, 10.0
+
+#: name, bad where true, good where true; otherwise the rule abstains. SQL over the features below. Several rules look at
+#: one property from different sides, so that a class shows in rules that agree and one rule alone decides little.
 RULES = [
     ("symbols", "n_symbols * 10 > n_words", "n_symbols * 100 <= n_words"),
-    ("repeats", "n_repeat_words * 100 > 30 * n_words", "n_repeat_words * 100 <= 10 * n_words"),
-    ("lines", "n_dup_lines * 2 > n_lines", "n_dup_lines * 100 <= 10 * n_lines"),
-    ("length", "word_chars > 12 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 9 * n_words"),
-    ("capitals", "n_upper * 100 > 40 * word_chars", "n_upper * 100 <= 15 * word_chars"),
-    ("shouting", "n_exclaims * 100 > 40 * n_words", "n_exclaims * 100 <= 10 * n_words"),
-    ("variety", "n_words >= 50 AND n_distinct * 100 < 20 * n_words", "n_distinct * 100 >= 40 * n_words"),
+    ("density", "n_symbols * 20 > word_chars", "n_symbols * 200 <= word_chars"),
+    ("marked", "n_marked * 10 > n_words", "n_marked * 50 <= n_words"),
+    ("letters", "n_letters * 10 < 8 * word_chars", "n_letters * 10 >= 9 * word_chars"),
+    ("length", "word_chars > 7 * n_words OR word_chars < 2 * n_words", "word_chars * 2 BETWEEN 6 * n_words AND 13 * n_words"),
+    ("repeats", "n_repeat_words * 100 > 15 * n_words", "n_repeat_words * 100 <= 5 * n_words"),
+    ("lines", "n_dup_lines * 100 > 20 * n_lines", "n_dup_lines * 100 <= 5 * n_lines"),
+    ("variety", "n_words >= 50 AND n_distinct * 100 < 30 * n_words", "n_distinct * 100 >= 50 * n_words"),
+    ("capitals", "n_upper * 100 > 20 * word_chars", "n_upper * 100 <= 10 * word_chars"),
+    ("shouting", "n_exclaims * 100 > 10 * n_words", "n_exclaims * 100 <= 2 * n_words"),
 ]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = [*BASE, "n_lines", "n_upper", "n_exclaims", "n_distinct"]
+FEATURES = [*BASE, "n_lines", "n_upper", "n_exclaims", "n_distinct", "n_letters", "n_marked"]
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -102,6 +102,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         count(r"\p{Lu}").alias("n_upper"),
         (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
         F.size(F.array_distinct("__h")).cast("long").alias("n_distinct"),
+        count(r"\p{L}").alias("n_letters"),
+        F.size(F.filter("__w", lambda w: w.rlike("[#*$%&|<>]"))).cast("long").alias("n_marked"),
     )
 
 
@@ -115,7 +117,8 @@ def _pattern() -> Column:
 
 def label_model(patterns: DataFrame) -> DataFrame:
     """pattern, posterior from (pattern, n). A rule that votes does so against a document with one probability for good and
-    another for bad documents; `alarm` holds them, good first, and `aggregate` refines it over the collected pattern table, whose size 3 ** len(RULES) bounds."""
+    another for bad documents; `alarm` holds them, good first, and `aggregate` refines it over the collected pattern table,
+    whose size 3 ** len(RULES) bounds."""
     k = len(RULES)
     votes = F.array(*[F.floor(F.col("pattern") / 3 ** (k - 1 - j)).cast("int") % 3 - 1 for j in range(k)])
     table = patterns.select("pattern", F.col("n").cast("double").alias("n"), votes.alias("v")).agg(F.sort_array(F.collect_list(F.struct("pattern", "n", "v"))).alias("t"))
@@ -141,13 +144,13 @@ def label_model(patterns: DataFrame) -> DataFrame:
             mine = [lambda x: x["n"] * x["p"], lambda x: x["n"] * (1 - x["p"])]
             cast = lambda y, j, v: PRIOR_VOTES[y][v > 0] + add(lambda x: F.when(F.get(x["v"], F.lit(j)) == v, mine[y](x)).otherwise(0.0))
             share = lambda y, j: cast(y, j, -1) / (cast(y, j, -1) + cast(y, j, 1))
-            alarm = F.array(*[F.least(share(0, j), F.lit(FALSE_ALARMS)) for j in range(k)], *[F.greatest(share(1, j), F.lit(CAUGHT)) for j in range(k)])
-            good = (PRIOR_GOOD + add(mine[0])) / (1 + add(lambda x: x["n"]))
+            alarm = F.array(*[share(y, j) for y in (0, 1) for j in range(k)])
+            good = (PRIOR_GOOD * PRIOR_SIZE + add(mine[0])) / (PRIOR_SIZE + add(lambda x: x["n"]))
             return F.struct(alarm.alias("alarm"), good.alias("good"))
 
         return F.get(F.transform(F.array(scored), refit), F.lit(0))
 
-    start = F.struct(F.array(*[F.lit(min(FALSE_ALARMS, PRIOR_VOTES[0][0]))] * k, *[F.lit(PRIOR_VOTES[1][0])] * k).alias("alarm"), F.lit(PRIOR_GOOD).alias("good"))
+    start = F.struct(F.array(*[F.lit(a / (a + b)) for a, b in PRIOR_VOTES for _ in range(k)]).alias("alarm"), F.lit(PRIOR_GOOD).alias("good"))
     fitted = table.select("t", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step).alias("m"))
     return fitted.select(F.explode(F.transform("t", lambda x: F.struct(x["pattern"].alias("pattern"), posterior(x["v"], F.col("m")).alias("posterior")))).alias("x")).select("x.*")
 
@@ -160,8 +163,9 @@ def assess(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
     cols = docs.columns if keep is None else keep
     judged = features(docs, text).withColumn("pattern", _pattern()).select(*cols, *FEATURES, "pattern")
     judged = materialize(judged, "quality")
-    model = label_model(judged.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    # What fails the base has its verdict, so it is no example of what the rules are for; it gets a posterior all the same.
+    model = label_model(judged.groupBy("pattern").agg(F.count_if(~failed).alias("n")))
     return (
         judged.join(F.broadcast(model), "pattern")  # at most 3 ** len(RULES) rows
         .withColumn("base_failed", failed)

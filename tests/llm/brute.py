@@ -121,6 +121,7 @@ def quality(t: str | None) -> dict:
         "n_words": len(ws), "word_chars": sum(map(len, ws)), "n_symbols": sum(c in "#*$%&|<>" for c in t or ""),
         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines),
         "n_upper": sum(c.isupper() and c.isalpha() for c in t or ""), "n_exclaims": (t or "").count("!"), "n_distinct": len(set(ws)),
+        "n_letters": sum(c.isalpha() for c in t or ""), "n_marked": sum(any(c in "#*$%&|<>" for c in w) for w in ws),
     }
 
 

@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SMOOTH = 0.3
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_INSIDE = re.compile(r"[<>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role|data-content)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _MARK = re.compile(r"""data-content\s*=\s*["']?([01])""")
-_RAW = {"script", "style"}
+_RAW = {name: re.compile(f"</{name}", re.IGNORECASE) for name in ("script", "style")}
 _BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav noscript object ol option p pre search section select summary svg table tbody td template textarea tfoot th thead title tr ul".split())
 _VOID = {"hr"}
 #: Elements that an opening tag ends, and where the search for them stops.
@@ -48,6 +49,63 @@ _KIND_OF_NAME = [
 _SHOWN_TAGS = {"p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "section", "article", "main", "nav", "footer", "header", "aside", "form", "td", "table", "blockquote", "pre", "body", "html", "head", "title", "figure", "figcaption", "dd", "dt"}
 
 
+def tags(source: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, name, closes, attributes) of each tag in order, and what is left with the name "". Comments and
+    declarations have no name either.
+
+    Every step goes on from where the last one ended, so the work grows with the page however it is broken. A quote opens a
+    value after = only. A tag whose quote is never closed ends at the next > or <, any other at > or before the next <.
+    """
+    last = {q: source.rfind(q) for q in "\"'"}
+    at = begin = 0
+    while (at := source.find("<", at)) >= 0:
+        text = source[begin:at]
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            yield text, "", False, ""
+            at = begin = len(source) if end < 0 else end + 3
+            continue
+        if source.startswith(("<!", "<?"), at):
+            end = source.find(">", at)
+            yield text, "", False, ""
+            at = begin = len(source) if end < 0 else end + 1
+            continue
+        m = _NAME.match(source, at + 1)
+        if not m:  # not a tag but text
+            at += 1
+            continue
+        i = first = m.end()
+        while True:
+            found = _INSIDE.search(source, i)
+            if not found:
+                end = begin = len(source)
+                break
+            i = found.start()
+            c = source[i]
+            if c == ">":
+                end, begin = i, i + 1
+                break
+            if c == "<":
+                end = begin = i
+                break
+            if source[max(first, i - 16) : i].rstrip().endswith("="):
+                if last[c] > i:
+                    i = source.find(c, i + 1) + 1
+                    continue
+                rest = re.compile("[<>]").search(source, i + 1)
+                end = rest.start() if rest else len(source)
+                begin = end + 1 if rest and rest[0] == ">" else end
+                break
+            i += 1
+        name, closes = m[1].lower(), source[at + 1] == "/"
+        yield text, name, closes, source[first:end]
+        if name in _RAW and not closes:  # up to its end nothing is a tag
+            found = _RAW[name].search(source, begin)
+            begin = found.start() if found else len(source)
+        at = begin
+    yield source[begin:], "", False, ""
+
+
 class Page:
     """Block elements of a page: parents come before children; blocks are (element, text) in page order."""
 
@@ -56,6 +114,7 @@ class Page:
         self.length, self.linked, self.stops = [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, parts, links = [0], [], 0
+        open_: dict[str, list[int]] = {}  # where in the stack the elements of a name are
 
         def flush() -> None:
             if parts:
@@ -69,48 +128,37 @@ class Page:
                     self.stops[at] += sum(text.count(c) for c in ".!?。")
                 parts.clear()
 
-        at = 0
-        while True:
-            m = _TOKEN.search(source, at)
-            text = source[at : m.start() if m else len(source)]
+        def leave(depth: int) -> None:
+            while len(stack) > depth:
+                open_[self.tag[stack.pop()]].pop()
+
+        def innermost(names) -> int:
+            return max((open_[name][-1] for name in names if open_.get(name)), default=0)
+
+        for text, name, close, attributes in tags(source):
             if text:
                 parts.append((entities.unescape(text), links > 0))
-            if not m:
-                break
-            at = m.end()
-            close, name, attributes = m.groups()
-            if not name:
-                continue
-            name = name.lower()
             if name == "a":
                 links = max(0, links + (-1 if close else 1))
-            elif name in ("br", "img", "wbr", "input"):
-                parts.append((" ", links > 0))
-            elif name in _RAW:
-                if not close:
-                    end = re.compile(rf"</{name}", re.IGNORECASE).search(source, at)
-                    at = end.start() if end else len(source)
+            elif name in ("br", "img", "wbr", "input") or name in _RAW:
                 parts.append((" ", links > 0))
             elif name in _BLOCKS:
                 flush()
                 links = 0
                 if close:
-                    if name in (self.tag[i] for i in stack):
-                        while self.tag[stack.pop()] != name:
-                            pass
+                    if open_.get(name):
+                        leave(open_[name][-1])
                     continue
                 if self.tag[stack[-1]] == "p":
-                    stack.pop()
+                    leave(len(stack) - 1)
                 ends, until = _ENDS.get(name, ((), ()))
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] in until:
-                        break
-                    if self.tag[stack[depth]] in ends:
-                        del stack[depth:]
-                        break
+                depth = innermost(ends)
+                if depth > innermost(until):
+                    leave(depth)
                 i = len(self.tag)
                 self._add(name, stack[-1], attributes)
                 if name not in _VOID:
+                    open_.setdefault(name, []).append(len(stack))
                     stack.append(i)
         flush()
 

@@ -57,6 +57,53 @@ def test_broken_pages(scores, source):
     assert isinstance(H.extract(source, scores), str)
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a '", '<a b="', "<p title=\"x>", "</b></i>", "<li></li>", "<!--", "<script>", "<", "<ul><li>", "</div>", '<a b="<', "<td>x", "&amp", "<dl><dt>"])
+def test_hostile_pages_take_time_in_proportion(scores, unit):
+    """The work of a page grows with its bytes, whatever it repeats, alone or below many open elements."""
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        source = "<div>" * n + unit * n
+        began = time.perf_counter()
+        H.Page(source)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.3
+
+
+def test_broken_tags_leave_no_markup(scores):
+    assert [t for _, t in H.Page('<article><p title="x>Hello world.').blocks] == ["Hello world."]
+    assert [t for _, t in H.Page("<article><p class=a <b>Bold</b> text.</p>").blocks] == ["Bold text."]
+    assert [t for _, t in H.Page('<p title="a > b" x=\'<i>\'>One</p>1 < 2 and 3 > 2').blocks] == ["One", "1 < 2 and 3 > 2"]
+    assert [t for _, t in H.Page("<style>p > a{}</style><script>if (a<b) '</p>' </script>x<SCRIPT></Script >y").blocks] == ["x y"]
+
+
+#: Pages by hand, of other makes than the training's: (html, article).
+BY_HAND = [
+    ("<!doctype html><html lang=en><head><meta charset=utf-8><title>Harbour to reopen</title></head><body class=site><div id=masthead><a href=/>The Courier</a><div class=tagline>All the coast's news</div></div>"
+     "<div id=nav-main><ul><li><a href=/a>Local</a><li><a href=/b>Sea</a></ul></div><div id=wrap><div class=entry-content><h1>Harbour to reopen in May</h1><p>The old harbour will open again after two years of repairs, the council said on Friday.</p>"
+     "<p>Fishing boats return first. Ferries follow in June, once the pier has been tested.</p></div><div class=sidebar-right><h4>Most read</h4><ol><li><a href=/1>Storm warning lifted</a></li></ol></div></div><div class=site-footer><p>Courier Media Ltd.</p></div></body></html>",
+     ["Harbour to reopen in May", "The old harbour will open again after two years of repairs, the council said on Friday.", "Fishing boats return first. Ferries follow in June, once the pier has been tested."]),
+    ("<body><header role=banner><a href=/>Kitchen notes</a></header><nav role=navigation><a href=/r>Recipes</a> | <a href=/t>Tips</a></nav><main><article class=recipe><header><h2>Plain bread</h2></header><section><p>Mix flour, water, salt and yeast. Leave the dough overnight in a cool place.</p>"
+     "<ul><li>500 g of flour</li><li>350 g of water</li></ul><p>Bake it hot for forty minutes, until the crust is dark.</p></section></article></main><section id=comments><p>Lovely, thanks! Mine was a little flat.</p></section><footer role=contentinfo>Write to us.</footer></body>",
+     ["Plain bread", "Mix flour, water, salt and yeast. Leave the dough overnight in a cool place.", "500 g of flour", "350 g of water", "Bake it hot for forty minutes, until the crust is dark."]),
+    ("<html><body><table class=layout><tr><td class=menu><a href=1>Start</a><br><a href=2>Archive</a></td><td class=maintext><h3>A walk in the hills</h3><p>We set out before dawn, when the valley still lay in fog. The path climbs slowly at first.</p><p>At noon we reached the top, ate our bread, and looked at the sea.</p></td></tr></table>"
+     "<div class=cookie-bar>This site uses cookies. <button>Fine</button></div></body></html>",
+     ["A walk in the hills", "We set out before dawn, when the valley still lay in fog. The path climbs slowly at first.", "At noon we reached the top, ate our bread, and looked at the sea."]),
+]
+
+
+def test_pages_by_hand(scores):
+    """Not from the training's generator: share of blocks judged right."""
+    right = total = 0
+    for source, want in BY_HAND:
+        got = H.extract(source, scores).split("\n")
+        for _, text in H.Page(source).blocks:
+            total += 1
+            right += (text in got) == (text in want)
+    assert right / total >= 0.9, (right, total)
+
+
 def test_held_out_accuracy(spark):
     """Trained on half of the labelled shapes, blocks of the other half come out right."""
     pages = H.labelled_pages()

@@ -11,14 +11,30 @@ from spanloom.llm.mixing import mix
 from spanloom.llm.quality import quality_filter
 from spanloom.llm.simhash import near_dedup
 
-#: name, function of (spark, docs, sf_dir). What a stage writes for itself stays until its caller has written the result:
-#: run() removes it then, else it goes when the driver ends.
+#: For each folder of tables, what the stage before wrote for itself. Its result has been written when the next stage
+#: begins, unless that reads these tables still.
+_scratch: dict[str, list[str]] = {}
+
+
+def _stage(work):
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        reads = "\n".join(docs.inputFiles())
+        remove(spark, [t for t in _scratch.pop(sf_dir, []) if t.rsplit("/", 1)[-1] not in reads])
+        with recording() as made:
+            out = work(spark, docs, sf_dir)
+        _scratch[sf_dir] = made
+        return out
+
+    return stage
+
+
+#: name, function of (spark, docs, sf_dir).
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality_filter(docs)),
-    ("line dedup", lambda spark, docs, sf_dir: line_dedup(docs)),
-    ("SimHash near-dedup", lambda spark, docs, sf_dir: near_dedup(docs)),
-    ("benchmark decontamination", lambda spark, docs, sf_dir: decontaminate(docs, read(spark, sf_dir, "benchmark"))),
-    ("mixing sources to target weights", lambda spark, docs, sf_dir: mix(docs)),
+    ("quality rules", _stage(lambda spark, docs, sf_dir: quality_filter(docs))),
+    ("line dedup", _stage(lambda spark, docs, sf_dir: line_dedup(docs))),
+    ("SimHash near-dedup", _stage(lambda spark, docs, sf_dir: near_dedup(docs))),
+    ("benchmark decontamination", _stage(lambda spark, docs, sf_dir: decontaminate(docs, read(spark, sf_dir, "benchmark")))),
+    ("mixing sources to target weights", _stage(lambda spark, docs, sf_dir: mix(docs))),
 ]
 #: Components of near duplicates are not said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -28,8 +44,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     before: list[str] = []
     for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
         with recording() as made:
-            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        remove(spark, [*before, *made[:-1]])
-        before = made[-1:]
+            docs = materialize(out, name.replace(" ", "-"))
+        remove(spark, [*before, *_scratch.pop(sf_dir, [])])
+        before = made
     return docs

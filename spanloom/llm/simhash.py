@@ -385,7 +385,9 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seg
     roots = components(edges)
     hot = met.filter("hot").drop("hot", "b")
     if hot.limit(1).count():
-        classed = hot.join(roots, F.col("a") == F.col("node"), "left").select("at", "a", "f", "g", F.coalesce("root", "a").alias("root"))
+        # A row for each node, with the hot keys that it is in (128 at most), meets its class.
+        own = hot.groupBy("a").agg(F.collect_list("at").alias("keys"), F.first("f").alias("f"), F.first("g").alias("g"))
+        classed = own.join(roots, F.col("a") == F.col("node"), "left").select(F.explode("keys").alias("at"), "a", "f", "g", F.coalesce("root", "a").alias("root"))
         more = by_key(classed, "a").mapInArrow(_across(distance), "a bigint, b bigint").distinct()
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         roots = components(edges.unionByName(materialize(_similar(more, texts), "similar")))

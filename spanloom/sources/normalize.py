@@ -6,7 +6,7 @@ one stream's rows. Output is one row per event, in the order of (record_index, p
 
 Two shapes of records are known. In a thread a record has `type` and `payload`, and one says what the session is. In a
 transcript a record has `uuid`, `parentUuid` and `message`, whose content blocks become events of their own. Everything is
-expressions over VARIANT, so a record is parsed once and nothing leaves the JVM. A record whose JSON names a key twice does
+expressions over VARIANT, so nothing leaves the JVM; members are looked up where they are used. A record whose JSON names a key twice does
 not parse and counts as malformed.
 """
 

@@ -122,8 +122,9 @@ def has_token(text: Column, token: str) -> Column:
 
 
 def recency(latest: Column, now: Column) -> Column:
+    """How recent a time is; one after now is an error."""
     age = now - latest
-    return F.when(age <= 10 * MINUTE, "active").when(age <= 30 * MINUTE, "recent").otherwise("inactive")
+    return F.when(age < 0, F.raise_error(F.lit("a time lies after now")).cast("string")).when(age <= 10 * MINUTE, "active").when(age <= 30 * MINUTE, "recent").otherwise("inactive")
 
 
 def cumulative_usage(total_input: Column, cached: Column, total_output: Column, reasoning: Column, total: Column) -> Column:

@@ -51,6 +51,14 @@ def keyset_page(df: DataFrame, order: list[str], cursor: tuple | None, size: int
     return df.orderBy(*order).limit(size + 1)
 
 
+def capped(df: DataFrame, order: list[str | Column], most: int) -> DataFrame:
+    """df in order; an error where it has more than `most` rows. Only one row more than that is looked at."""
+    first = df.orderBy(*order).limit(most + 1)
+    if first.count() > most:
+        raise ValueError(f"more than {most} rows")
+    return first
+
+
 def with_payload(page: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     """Payload columns for the rows of a page: ids are chosen first, and texts are fetched for those only."""
     return payload.join(F.broadcast(page), key)  # a page has at most its size + 1 rows

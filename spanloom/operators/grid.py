@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import BUCKET, bucket_start, semantic_role
+from ..sources.scratch import written
 
 ROLES = {"agents": "agent", "subagents": "subagent", "others": "unclassified"}
 
@@ -59,8 +60,24 @@ def global_peak(grid: DataFrame) -> DataFrame:
 
 
 def ranked(people: DataFrame, metric: str, index: str = "roster_index") -> DataFrame:
-    """people by metric, ties in roster order. A roster is bounded, and one window orders all of it."""
-    return people.withColumn("rank", F.row_number().over(Window.orderBy(F.col(metric).desc(), F.col(index))))
+    """people by metric, ties in roster order."""
+    return numbered(people, [F.col(metric).desc(), F.col(index).asc()], "rank").withColumn("rank", F.col("rank").cast("int"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name: 1, 2, ... in an order without ties. Ranges of the order are dealt to tasks, and each row is numbered
+    within its range, beyond what lies in the ranges before; no task holds all rows."""
+    dealt = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each task
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn(name, own).join(F.broadcast(offsets), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
+
+
+def axis_ticks(start: int, end: int, parts: int = 12) -> Column:
+    """The times that divide a span into equal parts, both ends included."""
+    return F.sequence(F.lit(start), F.lit(end), F.lit((end - start) // parts))
 
 
 def day_payload(grid: DataFrame) -> DataFrame:

@@ -43,6 +43,13 @@ def next_state(status: Column, outcome: Column, attempts: Column, claimed_genera
     )
 
 
+def with_oldest_live(jobs: DataFrame) -> DataFrame:
+    """jobs with oldest_live_at: when the first of its stream's ready live jobs began. Folded per stream before it is joined
+    back, so no window holds a stream."""
+    live = (F.col("status") == "ready") & (F.col("workload_class") == "live")
+    return jobs.join(jobs.groupBy("stream").agg(F.min(F.when(live, F.col("start_at"))).alias("oldest_live_at")), "stream")
+
+
 def stream_heads(files: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Of each stream the file to send next, by generation, range and name; failed streams block."""
     if failed is not None:

@@ -34,6 +34,19 @@ def diff_revisions(desired: DataFrame, latest: DataFrame, keys: list[str], value
     return out.select(*[F.coalesce(f"__k_{k}", f"__h_{k}").alias(k) for k in keys], *[F.col(f"__want.{v}").alias(v) for v in values], (F.col("action") == "tombstone").alias("is_tombstone"), "action")
 
 
+def receipt_totals(changes: DataFrame) -> DataFrame:
+    """One row of what a run appends: how many revisions of each action, and in all."""
+    n = lambda action: F.count(F.when(F.col("action") == action, 1))
+    return changes.agg(n("insert").alias("n_inserted"), n("correct").alias("n_corrected"), n("tombstone").alias("n_tombstoned"), F.count(F.lit(1)).alias("n_appended"))
+
+
+def refuse_future(events: DataFrame, until: int, at: str = "observed_at") -> DataFrame:
+    """events; a row later than `until` fails the job that meets it, so a run never records a state that it can't have seen
+    whole."""
+    late = F.raise_error(F.concat(F.lit("an event lies after the run's time: "), F.col(at).cast("string")))
+    return events.withColumn(at, F.when(F.col(at) > until, late.cast("long")).otherwise(F.col(at)))
+
+
 def duplicate_keys(desired: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that a desired state names twice; it must be empty."""
     return desired.groupBy(*keys).count().filter("count > 1")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 MAX_RECORDS = 20_000
 FRAGMENT = 4 << 20
@@ -36,8 +37,24 @@ def batches(records: DataFrame, key: str, most: int = MAX_RECORDS) -> DataFrame:
 
 
 def chunks(records: DataFrame, key: str, size: int = 512 << 10) -> DataFrame:
-    """records with chunk: a new one begins with the record that crosses a multiple of the size, so chunks end on a newline and a record longer than that stays whole."""
-    return records.withColumn("chunk", F.floor(F.col("start") / size))
+    """records with chunk: a file's records are packed in order, and one that would end more than `size` bytes after its
+    chunk began begins the next. So chunks end on a newline, and a record longer than that is a chunk of its own. Where a
+    chunk begins depends on all before it, so a file is one sequential pass, sorted by Spark; it holds three numbers."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, begin, n = object(), 0, 0
+        for b in it:
+            out = []
+            for k, s, e in zip(b.column(key).to_pylist(), b.column("start").to_pylist(), b.column("end").to_pylist(), strict=True):
+                if k != file:
+                    file, begin, n = k, s, 0
+                elif e - begin > size:
+                    begin, n = s, n + 1
+                out.append(n)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    schema = StructType([*records.schema.fields, StructField("chunk", LongType())])
+    return records.repartition(key).sortWithinPartitions(key, "start").mapInArrow(run, schema)
 
 
 def fragment_plan(records: DataFrame, keys: list[str], size: str, piece: int = FRAGMENT, whole_up_to: int | None = None) -> DataFrame:

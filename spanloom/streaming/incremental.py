@@ -2,15 +2,16 @@
 
 Events are appended as files; a batch's sessions, and those below them, are recomputed from all of their events and held
 against the last revisions, so what is appended is exactly the difference. A late event makes a correction, a batch that
-is delivered twice makes nothing. The revision store is append-only Parquet, partitioned by the batch that wrote it, so a
-batch that runs again replaces its own partition and no other.
+is delivered twice makes nothing. Events and revisions are append-only Parquet, partitioned by a hash of the session and
+the batch that wrote them: a batch reads the slots of its sessions only, and one that runs again replaces its own partitions
+and no other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -19,12 +20,21 @@ from ..operators.revisions import diff_revisions, latest_revision
 from ..operators.sessions import affected
 
 
-def read_store(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """All rows of a store; none where nothing has been written yet."""
+SLOTS = 256  # sessions are dealt to so many folders; a store's number never changes
+
+
+def slot(session: Column) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(SLOTS)).cast("int")
+
+
+def read_store(spark: SparkSession, path: str, schema: StructType | str, slots: list[int] | None = None) -> DataFrame:
+    """All rows of a store, or those of some slots; none where nothing has been written yet."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    wanted = spark.createDataFrame([], schema).schema
+    rows = spark.read.schema(StructType(wanted.fields).add("slot", "integer")).parquet(path)
+    return (rows if slots is None else rows.filter(F.col("slot").isin(slots))).select(wanted.names)
 
 
 def append_revisions(desired: DataFrame, history: DataFrame, keys: list[str], values: list[str], batch_id: int, path: str, touched: DataFrame | None = None, touched_key: str = "session_id") -> None:
@@ -35,7 +45,8 @@ def append_revisions(desired: DataFrame, history: DataFrame, keys: list[str], va
         before = before.join(touched, touched_key, "left_semi")
     last = latest_revision(before.withColumnRenamed("batch_id", "revision_id"), keys, drop_tombstones=False)
     changes = diff_revisions(desired, last, keys, values).drop("action")
-    changes.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(path)
+    placed = changes.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("slot", slot(F.col(touched_key)))
+    placed.write.mode("overwrite").partitionBy("slot", "batch_id").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def keep_current(
@@ -52,13 +63,17 @@ def keep_current(
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").partitionBy("batch_id").option("partitionOverwriteMode", "dynamic").parquet(events_path)
-        every = read_store(spark, events_path, StructType(schema.fields).add("batch_id", "long")).filter(F.col("batch_id") <= batch_id)
-        touched = every.filter(F.col("batch_id") == batch_id).select("session_id").distinct()
+        placed = rows.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("slot", slot(F.col("session_id")))
+        placed.write.mode("overwrite").partitionBy("slot", "batch_id").option("partitionOverwriteMode", "dynamic").parquet(events_path)
+        stored = StructType(schema.fields).add("batch_id", "long")
+        touched = read_store(spark, events_path, stored).filter(F.col("batch_id") == batch_id).select("session_id").distinct()
         if parents is not None:
             touched = touched.union(affected(parents(spark), touched)).distinct()
-        mine = every.drop("batch_id").dropDuplicates(["id"]).join(touched, "session_id", "left_semi")
-        append_revisions(reduce(mine), read_store(spark, store_path, store_schema), keys, values, batch_id, store_path, touched)
+        touched = touched.persist()
+        slots = [r["slot"] for r in touched.select(slot(F.col("session_id")).alias("slot")).distinct().collect()]  # at most SLOTS
+        mine = read_store(spark, events_path, stored, slots).filter(F.col("batch_id") <= batch_id).drop("batch_id").dropDuplicates(["id"]).join(touched, "session_id", "left_semi")
+        append_revisions(reduce(mine), read_store(spark, store_path, store_schema, slots), keys, values, batch_id, store_path, touched)
+        touched.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="2 seconds")).start()

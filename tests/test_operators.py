@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from spanloom.functions import expr as X
@@ -249,3 +251,23 @@ def test_freshness(spark):
 def test_broken_rows(spark):
     df = spark.createDataFrame([(1, 0, 5, 5, "a" * 64), (2, 5, 5, 0, "a" * 64), (3, 0, 5, 4, "x"), (4, None, 5, 5, "b" * 64)], "id long, start long, end long, n_bytes long, sha256 string")
     assert {r["id"]: r["broken"] for r in checks.broken(df, checks.RANGES).collect()} == {2: ["positive range"], 3: ["size", "hash"], 4: ["positive range", "size"]}
+
+
+def test_numbered_follows_the_order_over_all_ranges(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("x")).repartition(5)
+    rows = grid.numbered(df, [F.col("x").desc()], "n").collect()
+    assert [r["x"] for r in sorted(rows, key=lambda r: r["n"])] == sorted((r["x"] for r in rows), reverse=True)
+    assert sorted(r["n"] for r in rows) == list(range(1, 1001))
+    assert grid.numbered(df.limit(0), [F.col("x").desc()], "n").count() == 0
+
+
+def test_bounds_are_errors(spark):
+    df = spark.range(5).withColumnRenamed("id", "observed_at")
+    assert [r[0] for r in detail.capped(df, ["observed_at"], 5).collect()] == [0, 1, 2, 3, 4]
+    with pytest.raises(ValueError, match="more than 4"):
+        detail.capped(df, ["observed_at"], 4)
+    assert revisions.refuse_future(df, 4).agg(F.sum("observed_at")).first()[0] == 10
+    with pytest.raises(Exception, match="an event lies after"):
+        revisions.refuse_future(df, 3).collect()
+    with pytest.raises(Exception, match="a time lies after now"):
+        df.select(X.recency(F.col("observed_at"), F.lit(2))).collect()

@@ -20,7 +20,11 @@ def test_locators_chunks_and_batches(spark):
     assert [r["parse_status"] for r in rows] == ["ok", "malformed", "malformed", "ok", "malformed"]
     df = spark.createDataFrame([(i, i * 10) for i in range(10)], "record_index long, start long")
     assert [r["batch_seq"] for r in R.batches(df, "k", 4).orderBy("record_index").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
-    assert [r["chunk"] for r in R.chunks(df, "k", 25).orderBy("record_index").collect()] == [0, 0, 0, 1, 1, 2, 2, 2, 3, 3]
+    # Chunks are packed from where the last one ended, so two records of ten bytes fit into 25 whatever their offsets.
+    sized = df.select(F.lit("f").alias("k"), "record_index", "start", (F.col("start") + 10).alias("end"))
+    assert [r["chunk"] for r in R.chunks(sized, "k", 25).orderBy("record_index").collect()] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    long = spark.createDataFrame([("f", 0, 10), ("f", 10, 90), ("f", 90, 95), ("g", 0, 99), (None, 0, 5)], "k string, start long, end long")
+    assert sorted((r["k"] or "", r["start"], r["chunk"]) for r in R.chunks(long, "k", 25).collect()) == [("", 0, 0), ("f", 0, 0), ("f", 10, 1), ("f", 90, 2), ("g", 0, 0)]
 
 
 def test_fragments_round_trip(spark):

@@ -6,8 +6,9 @@ one stream's rows. Output is one row per event, in the order of (record_index, p
 
 Two shapes of records are known. In a thread a record has `type` and `payload`, and one says what the session is. In a
 transcript a record has `uuid`, `parentUuid` and `message`, whose content blocks become events of their own. Everything is
-expressions over VARIANT, so nothing leaves the JVM; members are looked up where they are used. A record whose JSON names a key twice does
-not parse and counts as malformed.
+expressions over VARIANT, so nothing leaves the JVM. What a transcript's record says is read once and written as plain columns;
+a thread's members are looked up where they are used. A record whose JSON names a key twice does not parse and counts as
+malformed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import content_hash, cumulative_usage, excerpt, message_usage
+from .scratch import written
 
 # Native types by the kind of event that they are.
 LIFECYCLE = ("task_started", "task_complete", "turn_started", "turn_complete")
@@ -33,10 +35,9 @@ EVENT = [
 def text(v: Column, path: str) -> Column:
     """A member that is a string with more than white space, trimmed; null for anything else. Casts alone would take
     numbers and booleans for strings."""
-    found = F.try_variant_get(v, path, "variant")
-    s = F.try_variant_get(found, "$", "string")
-    s = F.regexp_replace(s, r"^\s+|\s+$", "")
-    return F.when((F.schema_of_variant(found) == "STRING") & (s != ""), s)
+    s = F.try_variant_get(v, path, "string")
+    is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+    return F.when(is_text & s.rlike(r"\S"), F.regexp_replace(s, r"^\s+|\s+$", ""))
 
 
 def member(v: Column, path: str) -> Column:
@@ -190,14 +191,31 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("scope_key", scope).select("stream", "record_index", "session_id", "scope_key", F.coalesce("actor_role", F.lit("unknown")).alias("actor_role"), "occurred_at", "e.*").select(EVENT)
 
 
-def transcript_sessions(parsed: DataFrame) -> DataFrame:
+def transcript_fields(parsed: DataFrame) -> DataFrame:
+    """What a record's JSON says, as plain columns of a written table: sessions, turns and events all read this one."""
+    v, m, used = F.col("v"), F.col("m"), F.col("used")
+    either = lambda x, *paths: F.coalesce(*[text(x, p) for p in paths])
+    # Each step is read several times by the next, so Spark keeps them apart and works each out once.
+    first = parsed.withColumn("m", member(v, "$.message"))
+    second = first.withColumn("content", F.try_variant_get("m", "$.content", "variant")).withColumn("used", member(m, "$.usage"))
+    of_block = lambda b: F.struct(text(b, "$.type").alias("kind"), text(b, "$.id").alias("id"), text(b, "$.name").alias("name"), text(b, "$.tool_use_id").alias("of"), flag(b, "$.is_error").alias("failed"))
+    f = second.select(
+        "stream", "record_index", "parse_status", "occurred_at", "seen_session_id", "seen_parent_id", v.isNotNull().alias("ok"), m.isNotNull().alias("has_message"), used.isNotNull().alias("has_usage"),
+        text(v, "$.uuid").alias("uuid"), either(v, "$.parentUuid", "$.parent_uuid").alias("parent"), text(v, "$.type").alias("native"), text(v, "$.subtype").alias("subtype"), flag(v, "$.isMeta").alias("is_meta"), flag(v, "$.isSidechain").alias("side"),
+        either(v, "$.promptId", "$.prompt_id").alias("prompt"), either(v, "$.requestId", "$.request_id").alias("request"), either(v, "$.sessionId", "$.session_id").alias("declared"), either(v, "$.agentId", "$.agent_id").alias("agent"),
+        text(v, "$.customTitle").alias("title"), text(v, "$.cwd").alias("cwd"), text(v, "$.gitBranch").alias("branch"),
+        text(m, "$.id").alias("message_id"), text(m, "$.role").alias("message_role"), text(m, "$.model").alias("model"), either(m, "$.stop_reason", "$.stopReason").alias("stop"),
+        message_text(F.col("content")).alias("said"), F.transform(blocks(F.col("content")), of_block).alias("blocks"),
+        whole(used, "$.input_tokens").alias("plain"), whole_or_zero(used, "$.cache_read_input_tokens").alias("read"), whole_or_zero(used, "$.cache_creation_input_tokens").alias("made"), whole(used, "$.output_tokens").alias("out"),
+    )
+    return written(f, "records")
+
+
+def transcript_sessions(fields: DataFrame) -> DataFrame:
     order = F.col("record_index")
-    v = F.col("v")
-    declared, agent = F.coalesce(text(v, "$.sessionId"), text(v, "$.session_id")), F.coalesce(text(v, "$.agentId"), text(v, "$.agent_id"))
-    head = F.when(v.isNotNull(), F.struct(declared.alias("declared"), agent.alias("agent"), flag(v, "$.isSidechain").alias("side"), text(v, "$.customTitle").alias("title")))
-    model = F.when(text(v, "$.type") == "assistant", text(v, "$.message.model"))
-    s = parsed.groupBy("stream").agg(
-        _first(head, order).alias("h"), _first(model, order).alias("session_model"), _last(text(v, "$.cwd"), order).alias("cwd"), _last(text(v, "$.gitBranch"), order).alias("branch"),
+    head = F.when(F.col("ok"), F.struct("declared", "agent", "side", "title"))
+    s = fields.groupBy("stream").agg(
+        _first(head, order).alias("h"), _first(F.when(F.col("native") == "assistant", F.col("model")), order).alias("session_model"), _last(F.col("cwd"), order).alias("cwd"), _last(F.col("branch"), order).alias("branch"),
         F.max("seen_session_id").alias("seen"), F.max("seen_parent_id").alias("seen_parent"),
     )
     own = F.coalesce("seen", "h.agent", "h.declared")
@@ -230,18 +248,15 @@ def inherited(nodes: DataFrame, part: str = "stream", node: str = "node", parent
     return known.select(F.col("part").alias(part), F.col("node").alias(node), F.coalesce("near", "top").alias("value"))
 
 
-def turn_ids(parsed: DataFrame, prefix: str) -> DataFrame:
+def turn_ids(fields: DataFrame, prefix: str) -> DataFrame:
     """stream, uuid, turn_id: the prompt that a record names or inherits; without one its request, or itself if it is a
     submitted message."""
-    v = F.col("v")
-    content = F.try_variant_get(v, "$.message.content", "variant")
-    result = F.exists(blocks(content), lambda b: F.coalesce(text(b, "$.type") == "tool_result", F.lit(False)))
-    submitted = (text(v, "$.type") == "user") & ~flag(v, "$.isMeta") & message_text(content).isNotNull() & ~result
+    result = F.exists("blocks", lambda b: F.coalesce(b["kind"] == "tool_result", F.lit(False)))
+    submitted = (F.col("native") == "user") & ~F.col("is_meta") & F.col("said").isNotNull() & ~result
     name = lambda kind, c: F.concat(F.lit(f"{prefix}:{kind}:"), c)
-    uuid = text(v, "$.uuid")
-    nodes = parsed.filter(uuid.isNotNull()).select(
-        "stream", "record_index", uuid.alias("node"), F.coalesce(text(v, "$.parentUuid"), text(v, "$.parent_uuid")).alias("parent"), name("prompt", F.coalesce(text(v, "$.promptId"), text(v, "$.prompt_id"))).alias("named"),
-        F.coalesce(name("request", F.coalesce(text(v, "$.requestId"), text(v, "$.request_id"))), F.when(submitted, name("prompt", uuid))).alias("own"),
+    nodes = fields.filter("uuid IS NOT NULL").select(
+        "stream", "record_index", F.col("uuid").alias("node"), "parent", name("prompt", F.col("prompt")).alias("named"),
+        F.coalesce(name("request", F.col("request")), F.when(submitted, name("prompt", F.col("uuid")))).alias("own"),
     )
     last = Window.partitionBy("stream", "node").orderBy(F.desc("record_index"))
     return inherited(nodes.withColumn("n", F.row_number().over(last)).filter("n = 1")).select("stream", F.col("node").alias("uuid"), F.col("value").alias("turn_id"))
@@ -250,49 +265,43 @@ def turn_ids(parsed: DataFrame, prefix: str) -> DataFrame:
 def normalize_transcripts(records: DataFrame, prefix: str = "transcript") -> DataFrame:
     """Events of each record: its message, its reasoning and tool blocks, its usage, its end of turn; records with none of
     these become one event too. prefix begins logical keys and turn ids, and tells sources of records apart."""
-    parsed = _parsed(records)
-    v = F.col("v")
-    turns = turn_ids(parsed, prefix)
-    joined = parsed.join(transcript_sessions(parsed), "stream", "left").withColumn("uuid", text(v, "$.uuid")).join(turns, ["stream", "uuid"], "left")
-    native, message = text(v, "$.type"), member(v, "$.message")
-    content = F.try_variant_get(message, "$.content", "variant")
-    own, message_id = F.coalesce(F.col("uuid"), text(message, "$.id")), text(message, "$.id")
-    role = F.coalesce(text(message, "$.role"), native)
-    stop = F.coalesce(text(message, "$.stop_reason"), text(message, "$.stopReason"))
+    fields = transcript_fields(_parsed(records))
+    turns = turn_ids(fields, prefix)
+    sessions = transcript_sessions(fields).select("stream", "session_id", "actor_role", "session_model")
+    joined = fields.join(sessions, "stream", "left").join(turns, ["stream", "uuid"], "left")
+    native, message_id, stop, said = F.col("native"), F.col("message_id"), F.col("stop"), F.col("said")
+    own, role = F.coalesce("uuid", "message_id"), F.coalesce("message_role", "native")
     named = lambda kind, c, *rest: F.concat(F.lit(f"{prefix}:{kind}:"), c, *rest)
-    base = {"native_item_id": own, "parent_item_id": F.coalesce(text(v, "$.parentUuid"), text(v, "$.parent_uuid")), "turn_id": F.col("turn_id"), "model": F.coalesce(text(message, "$.model"), F.col("session_model")), "source_priority": 100}
+    base = {"native_item_id": own, "parent_item_id": F.col("parent"), "turn_id": F.col("turn_id"), "model": F.coalesce("model", "session_model"), "source_priority": 100}
     event = lambda **c: _event(**(base | c))
 
-    said = message_text(content)
-    fields = _content(said, F.lit(True))
-    fields.pop("empty")
-    origin = F.when(role != "user", assistant_origin(F.col("actor_role"))).when(flag(v, "$.isMeta"), "system").when(F.col("actor_role") == "primary", "human").otherwise("parent_agent")
-    spoken = F.when(said.isNotNull(), event(event_kind="message", event_subtype=F.when(native == "user", "user_message").otherwise("message"), message_role=role, message_origin=origin, logical_event_key=named("message", own), **fields))
+    content = _content(said, F.lit(True))
+    content.pop("empty")
+    origin = F.when(role != "user", assistant_origin(F.col("actor_role"))).when(F.col("is_meta"), "system").when(F.col("actor_role") == "primary", "human").otherwise("parent_agent")
+    spoken = F.when(said.isNotNull(), event(event_kind="message", event_subtype=F.when(native == "user", "user_message").otherwise("message"), message_role=role, message_origin=origin, logical_event_key=named("message", own), **content))
 
     def of_block(b: Column, i: Column) -> Column:
-        kind = text(b, "$.type")
+        kind = b["kind"]
         return (
             F.when(kind.isin(*THOUGHTS), event(event_kind="reasoning", event_subtype=kind, logical_event_key=named("reasoning", own, F.lit(":block:"), i.cast("string"))))
-            .when(kind == "tool_use", event(event_kind="tool_call", event_subtype=kind, tool_call_id=text(b, "$.id"), tool_name=text(b, "$.name")))
-            .when(kind == "tool_result", event(event_kind="tool_result", event_subtype=kind, tool_call_id=text(b, "$.tool_use_id"), tool_status=F.when(flag(b, "$.is_error"), "failed").otherwise("completed")))
+            .when(kind == "tool_use", event(event_kind="tool_call", event_subtype=kind, tool_call_id=b["id"], tool_name=b["name"]))
+            .when(kind == "tool_result", event(event_kind="tool_result", event_subtype=kind, tool_call_id=b["of"], tool_status=F.when(b["failed"], "failed").otherwise("completed")))
         )
 
-    used = member(message, "$.usage")
-    plain, read, made, out = whole(used, "$.input_tokens"), whole_or_zero(used, "$.cache_read_input_tokens"), whole_or_zero(used, "$.cache_creation_input_tokens"), whole(used, "$.output_tokens")
-    u = message_usage(plain, read, made, out)
+    u = message_usage(*map(F.col, ("plain", "read", "made", "out")))
     counted = F.struct(u["input"].alias("input"), u["cached"].alias("cached"), u["output"].alias("output"), F.lit(0).cast("long").alias("reasoning"), u["total"].alias("total"))
-    usage = F.when(used.isNotNull() & u["total"].isNotNull(), event(event_kind="usage", event_subtype="message_usage", usage=counted, logical_event_key=named("usage", message_id), source_priority=F.when(stop.isNull(), 100).otherwise(110)))
+    usage = F.when(F.col("has_usage") & u["total"].isNotNull(), event(event_kind="usage", event_subtype="message_usage", usage=counted, logical_event_key=named("usage", message_id), source_priority=F.when(stop.isNull(), 100).otherwise(110)))
     ended = F.when(stop != "tool_use", event(event_kind="lifecycle", event_subtype="turn_complete", logical_event_key=named("lifecycle", own, F.lit(":turn_complete"))))
-    several = F.array_compact(F.concat(F.array(spoken), F.transform(blocks(content), of_block), F.array(usage, ended)))
+    several = F.array_compact(F.concat(F.array(spoken), F.transform("blocks", of_block), F.array(usage, ended)))
     nothing = F.array(event(event_kind="ignored", event_subtype=F.concat(native, F.lit(":empty_content"))))
 
-    subtype = text(v, "$.subtype")
+    ok, subtype = F.col("ok"), F.col("subtype")
     other = F.array(event(
-        event_kind=F.when(v.isNotNull() & native.isin("system", "progress"), "lifecycle").otherwise("unknown"),
+        event_kind=F.when(ok & native.isin("system", "progress"), "lifecycle").otherwise("unknown"),
         event_subtype=F.when((native == "system") & (subtype == "turn_duration"), "turn_complete").otherwise(F.coalesce(subtype, native)),
-        error_code=F.when(v.isNull(), F.concat(F.lit("native_"), F.when(F.col("parse_status") == "ok", "malformed").otherwise(F.col("parse_status")))),
+        error_code=F.when(~ok, F.concat(F.lit("native_"), F.when(F.col("parse_status") == "ok", "malformed").otherwise(F.col("parse_status")))),
     ))
-    is_message = v.isNotNull() & native.isin("user", "assistant") & message.isNotNull()
+    is_message = ok & native.isin("user", "assistant") & F.col("has_message")
     found = F.when(F.coalesce(is_message, F.lit(False)), F.when(F.size(several) > 0, several).otherwise(nothing)).otherwise(other)
     each = joined.select("stream", "record_index", "session_id", "actor_role", "occurred_at", F.posexplode(found).alias("i", "x"))
     return _flat(each.withColumn("e", F.col("x").withField("projection_index", F.col("i"))))

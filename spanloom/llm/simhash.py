@@ -390,7 +390,8 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seg
         classed = own.join(roots, F.col("a") == F.col("node"), "left").select(F.explode("keys").alias("at"), "a", "f", "g", F.coalesce("root", "a").alias("root"))
         more = by_key(classed, "a").mapInArrow(_across(distance), "a bigint, b bigint").distinct()
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        roots = components(edges.unionByName(materialize(_similar(more, texts), "similar")))
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(known.unionByName(materialize(_similar(more, texts), "similar")))
     known = nodes.join(roots, "node", "left").select("set", F.coalesce("root", "node").alias("root"))
     return sets.join(known, "set").select("doc_id", "hash", "root")
 

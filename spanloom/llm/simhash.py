@@ -335,8 +335,22 @@ def _ahead(distance: int, most: int):
     return run
 
 
-def _across(distance: int):
-    """Candidate pairs a, b of different classes in each key; the key's largest class is not compared with itself."""
+def _first_shared(key: int, f: np.ndarray, g: np.ndarray, segments: int) -> np.ndarray:
+    """Whether no key before this one is shared too, for pairs that share this one; f and g are the bits that differ."""
+    edges = [int(x) for x in np.linspace(0, 128, segments + 1)]
+    first = np.ones(len(f), bool)
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        mask = (1 << hi) - (1 << lo)
+        apart = np.bitwise_count(f & np.uint64(mask & (1 << 64) - 1)) + np.bitwise_count(g & np.uint64(mask >> 64))
+        if key < hi:
+            return first & ((apart > 0) | (key == lo))
+        first &= apart > 1
+    raise ValueError(f"no segment has key {key}")
+
+
+def _across(distance: int, segments: int):
+    """Candidate pairs a, b of different classes, each once: in the first key that both have. If that key is not hot the
+    pair has come before. The key's largest class is not compared with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_keys(batches, ["at", "a", "f", "g", "root"], 1):
@@ -345,13 +359,17 @@ def _across(distance: int):
                 at, node, f, g, root = (x[lo:hi] for x in columns)
                 roots, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
                 n, f, g = at & 0xFFFFFFFF, f.view(np.uint64), g.view(np.uint64)
-                others = np.flatnonzero(of != sizes.argmax())
+                most = of == sizes.argmax()
+                others = np.flatnonzero(~most)
                 step = max(1, (1 << 20) // len(at))
                 for k in range(0, len(others), step):
                     x = others[k : k + step, None]
                     near = np.bitwise_count(f[x] ^ f) + np.bitwise_count(g[x] ^ g) <= distance
+                    near &= most | (np.arange(len(at)) > x)
                     i, j = np.nonzero(near & (root[x] != root) & (np.maximum(n[x], n) <= _reach(np.minimum(n[x], n))))
-                    a, b = node[others[k + i]], node[j]
+                    i = others[k + i]
+                    first = _first_shared(int(at[0] >> 52), f[i] ^ f[j], g[i] ^ g[j], segments)
+                    a, b = node[i[first]], node[j[first]]
                     yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
@@ -388,7 +406,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seg
         # A row for each node, with the hot keys that it is in (128 at most), meets its class.
         own = hot.groupBy("a").agg(F.collect_list("at").alias("keys"), F.first("f").alias("f"), F.first("g").alias("g"))
         classed = own.join(roots, F.col("a") == F.col("node"), "left").select(F.explode("keys").alias("at"), "a", "f", "g", F.coalesce("root", "a").alias("root"))
-        more = by_key(classed, "a").mapInArrow(_across(distance), "a bigint, b bigint").distinct()
+        more = by_key(classed, "a").mapInArrow(_across(distance, segments), "a bigint, b bigint")
         more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         roots = components(known.unionByName(materialize(_similar(more, texts), "similar")))

@@ -144,3 +144,19 @@ def test_query_over_whole_table(spark, sf):
     roots = brute.linked(fps)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op6_simhash(spark, sf).collect()}
     assert got == {i: (f"{fps[k]:016x}", ids[roots[k]]) for k, i in enumerate(ids)}
+
+
+def test_a_pair_has_one_first_shared_key():
+    import numpy as np
+
+    from spanloom.llm.simhash import SEGMENTS, _first_shared
+
+    edges = [int(x) for x in np.linspace(0, 128, SEGMENTS + 1)]
+    rng = np.random.default_rng(5)
+    for count in (0, 1, 5, 14, 20, 23):
+        for _ in range(50):
+            apart = {int(x) for x in rng.choice(128, count, replace=False)}
+            shared = [k for lo, hi in zip(edges[:-1], edges[1:], strict=True) for k in range(lo, hi) if not (apart & set(range(lo, hi))) - {k}]
+            bits = sum(1 << x for x in apart)
+            f, g = (np.array([x], np.uint64) for x in (bits & (1 << 64) - 1, bits >> 64))
+            assert [k for k in shared if _first_shared(k, f, g, SEGMENTS)[0]] == shared[:1]

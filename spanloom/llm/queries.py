@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, katz, licenses, lines, mixing, quality, simhash, suffixes, urls
+from . import decontaminate, divergence, html, katz, licenses, lines, mixing, quality, simhash, substrings, suffixes, urls
 from .common import read
 
 
@@ -54,10 +54,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(read(spark, sf_dir, "pages"), html.default_model(spark))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_dedup, op2_line_dedup, op3_url_filters, op4_mixing, op5_license_scan, op6_simhash,
-        op7_quality_rules, op8_katz_scores, op9_decontamination, op10_html_extraction,
+        op7_quality_rules, op8_katz_scores, op9_decontamination, op10_html_extraction, op12_substring_dedup, op13_source_divergence,
     )
     return {f.__name__: f for f in every}
 
@@ -69,4 +77,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_mixing": mixing.ORACLE_SQL,
         "op5_license_scan": licenses.ORACLE_SQL,
         "op9_decontamination": decontaminate.ORACLE_SQL,
+        "op12_substring_dedup": substrings.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, html, katz, licenses, lines, mixing, quality, simhash, substrings, suffixes, urls
+from . import alignment, decontaminate, divergence, html, katz, licenses, lines, mixing, quality, simhash, substrings, suffixes, urls
 from .common import read
 
 
@@ -54,6 +54,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(read(spark, sf_dir, "pages"), html.default_model(spark))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(read(spark, sf_dir, "documents"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(read(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_suffix_dedup, op2_line_dedup, op3_url_filters, op4_mixing, op5_license_scan, op6_simhash,
-        op7_quality_rules, op8_katz_scores, op9_decontamination, op10_html_extraction, op12_substring_dedup, op13_source_divergence,
+        op7_quality_rules, op8_katz_scores, op9_decontamination, op10_html_extraction, op11_token_alignment, op12_substring_dedup, op13_source_divergence,
     )
     return {f.__name__: f for f in every}
 

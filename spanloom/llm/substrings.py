@@ -4,10 +4,11 @@ A window is WINDOW consecutive words of one document, known by two Rabin-Karp ha
 with different bases, each from two prefix sums. Windows are counted in Spark, and those whose words also start in a
 document with a smaller id merge into maximal removal intervals.
 
-Most windows stand once, and that can be told without counting each: equal windows have equal least GRAM-word hashes, so a
-window whose least hash stands in no other document has no equal there. These least hashes change about every twenty words;
-runs of windows that share one are counted first (`_anchors`), and only windows of runs whose hash is shared go on. That
-loses nothing, whatever the texts are.
+Most windows need not be counted one by one. Equal windows have equal least GRAM-word hashes, and these change about every
+twenty words, so windows come in runs of one least hash (`_anchors`). A run whose hash stands in no other document has no
+equal window there. Runs are then compared whole, by a Rabin-Karp hash of all their words: if an earlier document has the same
+run, all its windows go at once, and what else equals them equals that earlier run as well. What is left, the runs of the first
+document of each kind where documents differ in kinds, is counted window by window. That loses nothing, whatever the texts are.
 
 The order of documents is doc_id, null last; rows that agree in doc_id, or are both null, aren't smaller than each other, so
 nothing of theirs goes because of the other. Null text has no words and is kept as it is; a text of fewer than WINDOW words
@@ -52,10 +53,16 @@ def rabin_karp(numbers: np.ndarray, size: int, base: int = _BASES[0]) -> np.ndar
     """A hash of numbers[i : i + size] for each i that has so many."""
     if len(numbers) < size:
         return np.zeros(0, np.uint64)
-    up, down = _powers(base, 1 << (len(numbers) - 1).bit_length())
+    starts = np.arange(len(numbers) - size + 1)
+    return _between(numbers, starts, starts + size, base)
+
+
+def _between(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASES[1]) -> np.ndarray:
+    """A hash of numbers[start : end] for each start and end."""
+    up, down = _powers(base, 1 << len(numbers).bit_length())
     sums = np.zeros(len(numbers) + 1, np.uint64)
     np.cumsum(numbers * up[: len(numbers)], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[: len(numbers) - size + 1])
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -73,7 +80,7 @@ def _columns(batch: pa.RecordBatch, rows: np.ndarray) -> dict[str, pa.Array]:
 
 
 def _anchors(window: int, gram: int):
-    """Runs of windows with one least hash: id, hash, gram, first and last start."""
+    """Runs of windows with one least hash: id, hash, gram, whole (a hash of all its words), first and last start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "text", PART):
@@ -88,10 +95,13 @@ def _anchors(window: int, gram: int):
                 if not len(starts):
                     continue
                 new = np.flatnonzero(np.append(True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])))
-                last = np.append(new[1:], len(starts)) - 1
+                first, last, own = starts[new], starts[np.append(new[1:], len(starts)) - 1], row[new]
                 yield pa.RecordBatch.from_pydict(
-                    _columns(batch, row[new])
-                    | {"gram": pa.array(least[new].view(np.int64)), "first": pa.array((starts[new] - begins[row[new]]).astype(np.int32)), "last": pa.array((starts[last] - begins[row[new]]).astype(np.int32))}
+                    _columns(batch, own)
+                    | {
+                        "gram": pa.array(least[new].view(np.int64)), "whole": pa.array(_between(some, first - at, last - at + window).view(np.int64)),
+                        "first": pa.array((first - begins[own]).astype(np.int32)), "last": pa.array((last - begins[own]).astype(np.int32)),
+                    }
                 )
 
     return run
@@ -123,16 +133,19 @@ def _windows(window: int):
 
 
 def _merged(window: int):
-    """Starts of windows as maximal intervals of words."""
+    """Ranges of starts as maximal intervals of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            firsts, lengths, sizes = [], [], [0]
+            firsts, lengths, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [0]
             for i in range(batch.num_rows):
-                s = np.sort(batch.column("starts")[i].values.to_numpy())
-                new = np.flatnonzero(np.append(True, s[1:] > s[:-1] + window))
-                firsts.append(s[new])
-                lengths.append(s[np.append(new[1:], len(s)) - 1] + window - s[new])
+                ranges = batch.column("ranges")[i].values
+                first, last = (ranges.field(c).to_numpy() for c in ("first", "last"))
+                order = np.argsort(first, kind="stable")
+                first, end = first[order], np.maximum.accumulate(last[order] + window)
+                new = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+                firsts.append(first[new])
+                lengths.append(end[np.append(new[1:], len(first)) - 1] - first[new])
                 sizes.append(sizes[-1] + len(new))
             spans = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int32)) for x in (firsts, lengths)], ["first", "length"])
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "hash": batch.column("hash"), "spans": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans)})
@@ -140,9 +153,9 @@ def _merged(window: int):
     return run
 
 
-def _shared() -> Column:
+def _shared(doc: str = "id") -> Column:
     """Whether rows of several documents are in a group."""
-    return (F.min("id") < F.max("id")) | ((F.count("id") > 0) & (F.count("id") < F.count(F.lit(1))))
+    return (F.min(doc) < F.max(doc)) | ((F.count(doc) > 0) & (F.count(doc) < F.count(F.lit(1))))
 
 
 def removal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -152,18 +165,24 @@ def removal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     has one row per key, so Spark can split the other.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
+    same_row = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))
+    earlier = F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("least") < F.col("id")))
     with recording() as made:
-        runs = materialize(slim.mapInArrow(_anchors(window, gram), "id bigint, hash bigint, gram bigint, first int, last int"), "runs")
+        runs = materialize(slim.mapInArrow(_anchors(window, gram), "id bigint, hash bigint, gram bigint, whole bigint, first int, last int"), "runs")
         shared = materialize(runs.groupBy("gram").agg(_shared().alias("shared")).filter("shared").select("gram"), "shared")
-        wanted = runs.join(shared, "gram").groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-        wanted = materialize(wanted.select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "runs"), "wanted")
-        own = slim.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))).select("id", "hash", "text", "runs")
+        runs = materialize(runs.join(shared, "gram").withColumn("n", F.col("last") - F.col("first")), "runs")
+        kinds = materialize(runs.groupBy("gram", "whole", "n").agg(F.min("id").alias("least")), "kinds")
+        runs = materialize(runs.join(kinds, ["gram", "whole", "n"]).select("id", "hash", "gram", "first", "last", earlier.alias("gone")), "runs")
+        gone = runs.filter("gone").select("id", "hash", "first", "last")
+        # Those of the first document of their kind, where other documents have other kinds.
+        several = materialize(kinds.groupBy("gram").agg(_shared("least").alias("shared")).filter("shared").select("gram"), "several")
+        wanted = runs.filter("NOT gone").join(several, "gram").groupBy(F.col("id").alias("of_id"), F.col("hash").alias("of_hash")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        own = slim.join(materialize(wanted, "wanted"), same_row).select("id", "hash", "text", "runs")
         windows = materialize(own.mapInArrow(_windows(window), "id bigint, hash bigint, start int, w0 bigint, w1 bigint"), "windows")
         repeated = windows.groupBy("w0", "w1").agg(F.min("id").alias("least"), _shared().alias("shared")).filter("shared").drop("shared")
-        repeated = materialize(repeated, "repeated")
-        gone = windows.join(repeated, ["w0", "w1"]).filter("id IS NULL OR least < id")
-        starts = gone.groupBy("id", "hash").agg(F.collect_list("start").alias("starts"))
-        spans = materialize(starts.mapInArrow(_merged(window), "id bigint, hash bigint, spans array<struct<first: int, length: int>>"), "spans")
+        single = windows.join(materialize(repeated, "repeated"), ["w0", "w1"]).filter(earlier).select("id", "hash", F.col("start").alias("first"), F.col("start").alias("last"))
+        ranges = gone.unionByName(single).groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+        spans = materialize(ranges.mapInArrow(_merged(window), "id bigint, hash bigint, spans array<struct<first: int, length: int>>"), "spans")
     remove(docs.sparkSession, made[:-1])
     return spans
 

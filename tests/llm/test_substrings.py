@@ -60,6 +60,9 @@ def test_shared_passages_and_copies(spark):
     passage, short = fresh(70), fresh(49)
     rows = [(9, fresh(30) + " " + passage + "\n" + fresh(20)), (3, passage), (4, fresh(5) + "\t" + passage + " " + fresh(3) + " " + passage), (5, short), (6, short), (3, passage + " extra"), (None, passage), (None, fresh(60))]
     rows += [(7, fresh(4000) + " " + passage + " " + fresh(4000)), (8, "Case " + passage.upper())]
+    # Within a document a passage stands twice, and part of it in an earlier one.
+    twice = fresh(75)
+    rows += [(20, fresh(9) + " " + " ".join(twice.split()[10:65]) + " " + fresh(9)), (21, f"{twice} {fresh(8)} {twice}"), (22, twice)]
     want = {(k, n): removed for k, n, removed, *_ in check(spark, rows)}
     assert want["4", 148] == 140 and want["9", 120] == 70 and want["None", 70] == 70 and want["3", 70] == 0 and want["6", 49] == 0 and want["8", 71] == 0
 

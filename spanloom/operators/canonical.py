@@ -42,8 +42,21 @@ def candidates(events: DataFrame, sessions: DataFrame, start: int, read_at: int,
     return e.withColumn("actor_role", effective_role(F.col("actor_role"), F.col("__child"))).drop("__child")
 
 
-def activity(events: DataFrame, sessions: DataFrame, start: int, read_at: int, versions: tuple[str, ...]) -> DataFrame:
-    """The canonical activity of a window, without what a session copied from before its start."""
+def relevant_sessions(events: DataFrame, start: int, end: int, versions: tuple[str, ...], padding: int = 6_000_000) -> DataFrame:
+    """session_id of sessions with something that counts as activity in a frame or `padding` (two hops of pairing) about it. No
+    other session can add to what the frame shows, so a question about it ranks these only. One narrow scan, combined before
+    it shuffles."""
+    e = events.filter(is_activity() & of_versions(versions))
+    at = effective_at(F.col("native_item_id"), F.col("occurred_at"), F.col("observed_at"), F.col("received_at"))
+    return e.filter((at >= start - padding) & (at < end + padding)).select("session_id").distinct()
+
+
+def activity(events: DataFrame, sessions: DataFrame, start: int, read_at: int, versions: tuple[str, ...], frame: tuple[int, int] | None = None) -> DataFrame:
+    """The canonical activity of a window, without what a session copied from before its start; with a frame, of the sessions
+    that are active in it only, sessions' own rows included."""
+    if frame is not None:
+        relevant = relevant_sessions(events, *frame, versions)
+        events, sessions = events.join(relevant, "session_id", "left_semi"), sessions.join(relevant, "session_id", "left_semi")
     return canonical(candidates(events, sessions, start, read_at, versions)).filter(after_session_start(F.col("effective_at"), F.col("started_at")))
 
 

@@ -66,8 +66,9 @@ def ranked(people: DataFrame, metric: str, index: str = "roster_index") -> DataF
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with name: 1, 2, ... in an order without ties. Ranges of the order are dealt to tasks, and each row is numbered
-    within its range, beyond what lies in the ranges before; no task holds all rows."""
-    dealt = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    within its range, beyond what lies in the ranges before; no task holds all rows. df is written first, as finding the
+    ranges reads it once more."""
+    dealt = written(written(df, "unnumbered").repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each task
     earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))

@@ -10,7 +10,7 @@ import sys
 
 import pytest
 
-from spanloom.plans import catalog, ingest  # noqa: F401  (its queries join the catalog's)
+from spanloom.plans import catalog, ingest, upkeep  # noqa: F401  (their queries join the catalog's)
 
 SF = "/root/testdata/sf0.001"
 

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import semantic_role, uuid7_micros
-from ..sources.scratch import written
 from .canonical import KEYS, canonical, keyed
-from .pairing import ADJACENT_TOLERANCE, PROMPT_TOLERANCE, SOURCE, adjacent_copies, mutual_unique_pairs, submitted_form, without
+from .pairing import ADJACENT_TOLERANCE, PROMPT_TOLERANCE, SOURCE, submitted_form
 from .predicates import is_prompt, of_versions
 
 
@@ -78,25 +77,40 @@ def prompt_candidates(events: DataFrame, start: int, end: int, versions: tuple[s
     return e.filter(near("source_at") | near("native_at"))
 
 
-def copied_prompts(canonical_prompts: DataFrame) -> DataFrame:
-    """id of submitted prompts without key, turn and native id whose record only repeats the one before."""
-    plain = canonical_prompts.filter(submitted_form() & F.col("logical_event_key").isNull() & F.col("turn_id").isNull())
-    same = ["session_id", "event_kind", "event_subtype", "content_sha256", "scope_key"]
-    again = adjacent_copies(plain, "batch_id", "record_index", same, "source_at", ADJACENT_TOLERANCE, "start_offset", "end_offset", ("scope_key",))
-    return plain.join(again, ["batch_id", "record_index"], "left_semi").select("id")
+def _plain() -> Column:
+    return F.col("logical_event_key").isNull() & F.col("turn_id").isNull()
 
 
-def native_pairs(submitted: DataFrame, native: DataFrame) -> DataFrame:
-    """submitted_id, paired_native_id, paired_at: submitted prompts and the one native message that must be the same."""
-    plain = F.col("logical_event_key").isNull() & F.col("turn_id").isNull()
-    # Equality here is SQL's, so rows with a null among the keys have no partner.
+def _repeats() -> Column:
+    """Whether a submitted prompt without key, turn and native id is what the record before it says, right before it."""
+    form = submitted_form() & _plain()
+    before = lambda c: F.lag(c).over(Window.partitionBy("batch_id").orderBy("record_index", "id"))
+    same = F.struct("session_id", "event_kind", "content_sha256", "scope_key", form.alias("form"))
+    follows = (before("record_index") + 1 == F.col("record_index")) & (before("end_offset") == F.col("start_offset"))
+    return F.coalesce(form & before(same).eqNullSafe(same) & follows & (F.abs(F.col("source_at") - before("source_at")) <= ADJACENT_TOLERANCE), F.lit(False))
+
+
+def _paired(prompts: DataFrame, native: DataFrame) -> DataFrame:
+    """prompts with paired_native_id and paired_at: of a loose prompt, the one native message that must be the same.
+
+    Partners are counted in a range of time on either side, so pairs are never listed: a prompt with one native message in
+    range, which has one prompt in its range, is paired with it. Both lie in one partition of the keys, and both windows share
+    its shuffle. Equality is SQL's, so rows with a null among the keys have no partner."""
     keys = ["session_id", "content_sha256", *SOURCE]
-    whole = plain
+    whole = _plain()
     for c in keys:
         whole &= F.col(c).isNotNull()
-    pairs = mutual_unique_pairs(submitted.filter(whole), native.filter(whole), keys, PROMPT_TOLERANCE, left_at="source_at", right_at="source_at")
-    seen = native.select(F.col("id").alias("right_id"), F.col("native_item_id").alias("paired_native_id"), F.coalesce("native_at", "source_at").alias("paired_at"))
-    return pairs.join(seen, "right_id").select(F.col("left_id").alias("submitted_id"), "paired_native_id", "paired_at")
+    sides = prompts.withColumn("__asks", F.col("__loose") & whole).withColumn("__named", F.lit(None).cast("string")).withColumn("__named_at", F.lit(None).cast("long"))
+    offers = native.filter(whole).select(*keys, "source_at", F.lit(False).alias("__asks"), F.col("native_item_id").alias("__named"), F.coalesce("native_at", "source_at").alias("__named_at"))
+    both = sides.unionByName(offers, allowMissingColumns=True)
+    near = Window.partitionBy(*keys).orderBy("source_at").rangeBetween(-PROMPT_TOLERANCE, PROMPT_TOLERANCE)
+    counted = both.withColumns({
+        "__n_named": F.count("__named").over(near), "__n_asking": F.count(F.when(F.col("__asks"), 1)).over(near), "paired_native_id": F.max("__named").over(near), "paired_at": F.max("__named_at").over(near),
+    })
+    back = F.max(F.when(F.col("__named").isNotNull(), F.col("__n_asking"))).over(near)
+    found = counted.withColumn("__back", back).filter("__named IS NULL")
+    one = F.col("__asks") & (F.col("__n_named") == 1) & (F.col("__back") == 1)
+    return found.withColumns({c: F.when(one, F.col(c)) for c in ("paired_native_id", "paired_at")}).drop("__asks", "__named", "__named_at", "__n_named", "__n_asking", "__back")
 
 
 def prompt_sources(candidates: DataFrame) -> DataFrame:
@@ -104,19 +118,19 @@ def prompt_sources(candidates: DataFrame) -> DataFrame:
 
     Of a keyed group the preferred event stands, if any of the group was submitted; its identity is the group's greatest
     native id of a message, else the key. Of other events submitted ones stand that repeat no record; their identity is
-    their own native id, their pair's, else the event."""
+    their own native id, their pair's, else the event. Windows only: by key, by batch and by source."""
     group = Window.partitionBy(*KEYS)
     native = F.when(F.col("event_subtype") == "message", F.col("native_item_id"))
-    held = candidates.withColumn("__native", F.when(keyed(), F.max(native).over(group))).withColumn("__submitted", F.max(F.col("event_subtype").eqNullSafe(F.lit("user_message"))).over(group))
-    chosen = written(canonical(held), "prompts")  # keyed ones, others, their copies and pairs are read from it
-    named = F.concat_ws(":", F.lit("logical"), "scope_key", "normalizer_version", "logical_event_key", "event_kind")
-    a = chosen.filter(keyed() & F.col("__submitted")).withColumn("prompt_identity", F.coalesce(F.concat(F.lit("native:"), "__native"), named)).withColumn("prompt_at", F.coalesce(uuid7_micros(F.col("__native")), F.col("source_at")))
-    loose = without(chosen.filter(~keyed() & (F.col("event_subtype") == "user_message")), copied_prompts(chosen), ["id"])
-    pairs = native_pairs(loose, candidates.filter((F.col("event_subtype") == "message") & F.col("native_item_id").isNotNull()))
-    b = loose.join(pairs, F.col("id") == F.col("submitted_id"), "left")
-    b = b.withColumn("prompt_identity", F.coalesce(F.concat(F.lit("native:"), F.coalesce("native_item_id", "paired_native_id")), F.concat(F.lit("event:"), F.col("id").cast("string"))))
-    b = b.withColumn("prompt_at", F.coalesce("native_at", "paired_at", "source_at"))
-    return a.drop("__native", "__submitted").unionByName(b.drop("__native", "__submitted", "submitted_id", "paired_native_id", "paired_at"))
+    submitted = F.col("event_subtype").eqNullSafe(F.lit("user_message"))
+    held = candidates.withColumn("__native", F.when(keyed(), F.max(native).over(group))).withColumn("__submitted", F.max(submitted).over(group))
+    chosen = canonical(held).withColumn("__loose", ~keyed() & submitted & ~_repeats())
+    e = _paired(chosen, candidates.filter((F.col("event_subtype") == "message") & F.col("native_item_id").isNotNull()))
+    stands = e.filter(F.when(keyed(), F.col("__submitted")).otherwise(F.col("__loose")))
+    own = F.when(keyed(), F.col("__native")).otherwise(F.coalesce("native_item_id", "paired_native_id"))
+    key = F.concat_ws(":", F.lit("logical"), "scope_key", "normalizer_version", "logical_event_key", "event_kind")
+    identity = F.coalesce(F.concat(F.lit("native:"), own), F.when(keyed(), key).otherwise(F.concat(F.lit("event:"), F.col("id").cast("string"))))
+    at = F.coalesce(F.when(keyed(), uuid7_micros(F.col("__native"))).otherwise(F.coalesce("native_at", "paired_at")), F.col("source_at"))
+    return stands.withColumns({"prompt_identity": identity, "prompt_at": at}).drop("__native", "__submitted", "__loose", "paired_native_id", "paired_at")
 
 
 def ranked_prompts(sources: DataFrame) -> DataFrame:

@@ -29,6 +29,19 @@ def day_totals(activity: DataFrame, start: int, end: int, at: str = "effective_a
     return sessions_by_role(inside, ["person_id"], "day_")
 
 
+def day_facts(activity: DataFrame, prompts: DataFrame, start: int, end: int, width: int = BUCKET, at: str = "effective_at") -> DataFrame:
+    """person_id, bucket_at, agents, subagents, others, prompts: a row for each bucket of a person with any, and one without a
+    bucket for the person's day. Activity is read once: it is folded to a row for each session and role, with the set of its
+    buckets (a day's number of them bounds it), and that row counts once in each of them and once in the day."""
+    own = bucket_start(F.col(at), width, start)
+    inside = activity.filter((F.col(at) >= start) & (F.col(at) < end))
+    once = inside.groupBy("person_id", "session_id", semantic_role(F.col("actor_role")).alias("role")).agg(F.collect_set(own).alias("buckets"))
+    counted = once.select("person_id", "role", F.lit(1).cast("long").alias("n"), F.explode(F.array_append("buckets", F.lit(None).cast("long"))).alias("bucket_at"))
+    said = prompts.groupBy("person_id", bucket_start(F.col("prompt_at"), width, start).alias("bucket_at")).agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.lit("prompt"))
+    total = lambda role, name: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("n"))), F.lit(0)).alias(name)
+    return counted.unionByName(said).groupBy("person_id", "bucket_at").agg(*[total(r, n) for n, r in ROLES.items()], total("prompt", "prompts"))
+
+
 def latest_activity(activity: DataFrame, read_at: int, at: str = "effective_at") -> DataFrame:
     return activity.filter(F.col(at) <= read_at).groupBy("person_id").agg(F.max(at).alias("latest_at"))
 

@@ -162,7 +162,7 @@ def removal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     """id, hash (of the text) and spans (first word, number of words; sorted, none touch) of each text that loses words.
 
     A window or run may stand in any share of the documents: counts combine before they shuffle, and in each join one side
-    has one row per key, so Spark can split the other.
+    has one row per key, so Spark can split the other. All of them grow with the texts, so none is broadcast at any size.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
     same_row = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash"))
@@ -170,17 +170,17 @@ def removal_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     with recording() as made:
         runs = materialize(slim.mapInArrow(_anchors(window, gram), "id bigint, hash bigint, gram bigint, whole bigint, first int, last int"), "runs")
         shared = materialize(runs.groupBy("gram").agg(_shared().alias("shared")).filter("shared").select("gram"), "shared")
-        runs = materialize(runs.join(shared, "gram").withColumn("n", F.col("last") - F.col("first")), "runs")
+        runs = materialize(runs.join(shared.hint("merge"), "gram").withColumn("n", F.col("last") - F.col("first")), "runs")
         kinds = materialize(runs.groupBy("gram", "whole", "n").agg(F.min("id").alias("least")), "kinds")
-        runs = materialize(runs.join(kinds, ["gram", "whole", "n"]).select("id", "hash", "gram", "first", "last", earlier.alias("gone")), "runs")
+        runs = materialize(runs.join(kinds.hint("merge"), ["gram", "whole", "n"]).select("id", "hash", "gram", "first", "last", earlier.alias("gone")), "runs")
         gone = runs.filter("gone").select("id", "hash", "first", "last")
         # Those of the first document of their kind, where other documents have other kinds.
         several = materialize(kinds.groupBy("gram").agg(_shared("least").alias("shared")).filter("shared").select("gram"), "several")
-        wanted = runs.filter("NOT gone").join(several, "gram").groupBy(F.col("id").alias("of_id"), F.col("hash").alias("of_hash")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-        own = slim.join(materialize(wanted, "wanted"), same_row).select("id", "hash", "text", "runs")
+        wanted = runs.filter("NOT gone").join(several.hint("merge"), "gram").groupBy(F.col("id").alias("of_id"), F.col("hash").alias("of_hash")).agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+        own = slim.join(materialize(wanted, "wanted").hint("merge"), same_row).select("id", "hash", "text", "runs")
         windows = materialize(own.mapInArrow(_windows(window), "id bigint, hash bigint, start int, w0 bigint, w1 bigint"), "windows")
         repeated = windows.groupBy("w0", "w1").agg(F.min("id").alias("least"), _shared().alias("shared")).filter("shared").drop("shared")
-        single = windows.join(materialize(repeated, "repeated"), ["w0", "w1"]).filter(earlier).select("id", "hash", F.col("start").alias("first"), F.col("start").alias("last"))
+        single = windows.join(materialize(repeated, "repeated").hint("merge"), ["w0", "w1"]).filter(earlier).select("id", "hash", F.col("start").alias("first"), F.col("start").alias("last"))
         ranges = gone.unionByName(single).groupBy("id", "hash").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
         spans = materialize(ranges.mapInArrow(_merged(window), "id bigint, hash bigint, spans array<struct<first: int, length: int>>"), "spans")
     remove(docs.sparkSession, made[:-1])
@@ -216,7 +216,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_spans(docs: DataFrame, text: str, doc_id: str, window: int) -> DataFrame:
     spans = removal_spans(docs, text, doc_id, window).select(F.col("id").alias("of_id"), F.col("hash").alias("of_hash"), "spans")
     packed = pack(docs, id=docs[doc_id].cast("bigint"), hash=F.xxhash64(F.coalesce(docs[text], F.lit(""))), text=text)
-    return packed.join(spans, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").select("row", "id", "text", "spans")
+    return packed.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")), "left").select("row", "id", "text", "spans")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 #: Name, and SQL that is true of a good row.
 RANGES = {"positive range": "start < end", "size": "n_bytes = end - start", "hash": "sha256 RLIKE '^[0-9a-f]{64}$'"}
 EVENTS = {
@@ -30,3 +32,35 @@ def incomplete_people(grid: DataFrame, buckets: int = 144) -> DataFrame:
 def beyond_day(grid: DataFrame) -> DataFrame:
     """Buckets that count more sessions of a role than their whole day."""
     return grid.filter("agents > day_agents OR subagents > day_subagents OR others > day_others")
+
+
+#: What a day grid's rows keep.
+GRID = {
+    "bucket within day": "agents <= day_agents AND subagents <= day_subagents AND others <= day_others",
+    "counts": "least(agents, subagents, others, prompts) >= 0",
+    "named": "person_id IS NOT NULL AND display_name IS NOT NULL",
+}
+
+
+class BrokenRules(ValueError):
+    """Rules that a result breaks; counts has how many rows break each, -1 for one about the whole."""
+
+    def __init__(self, counts: dict[str, int]):
+        super().__init__("broken: " + ", ".join(sorted(counts)))
+        self.counts = counts
+
+
+def published(df: DataFrame, label: str, rules: dict[str, str], whole: dict[str, str] | None = None) -> DataFrame:
+    """df, written once and read from there, if all its rows keep `rules` (SQL) and it keeps `whole` (SQL over aggregates); else
+    what was written goes, and BrokenRules is raised. Rows are checked as they are written, so nothing is read twice, and
+    no one sees a result that breaks a rule."""
+    seen, whole = Observation(), whole or {}
+    bad = [F.count_if(~F.coalesce(F.expr(rule), F.lit(False))).alias(f"r{i}") for i, rule in enumerate(rules.values())]
+    kept = [F.coalesce(F.expr(rule), F.lit(False)).alias(f"w{i}") for i, rule in enumerate(whole.values())]
+    path = scratch.write(df.observe(seen, *bad, *kept), label)
+    found = seen.get
+    counts = {name: found[f"r{i}"] for i, name in enumerate(rules) if found[f"r{i}"]} | {name: -1 for i, name in enumerate(whole) if not found[f"w{i}"]}
+    if counts:
+        scratch.delete(df.sparkSession, path)
+        raise BrokenRules(counts)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import SECOND
+from ..sources.scratch import written
 
 SPAN = ["span_kind", "start_at", "end_at", "start_id", "end_id", "state", "basis"]
 
@@ -30,6 +31,37 @@ def fifo_pairs(events: DataFrame, part: str, at: str, id_: str, is_start: Column
     return paired.drop("__k")
 
 
+def fifo_pairs_spread(events: DataFrame, part: str, at: str, id_: str, is_start: Column) -> DataFrame:
+    """As fifo_pairs, for parts that may hold any share of the rows: no task sees more of a part than one range of its order.
+
+    Ranges of the whole order are dealt to tasks. What a range must know of those before it in its part is three numbers, and
+    they combine: starts, completions, and the least that the running balance reached. A part's ranges are as few as tasks, so
+    one window passes these numbers on. Within a range the balance goes on from there; since each completion without a start
+    takes the least balance down by one, that least also counts them, and so it numbers the others.
+    """
+    columns = [part, at, id_, "__s"]
+    dealt = written(events.withColumn("__s", is_start).select(*columns).repartitionByRange(part, at, id_).withColumn("__range", F.spark_partition_id()), "fifo")
+    step = F.when(F.col("__s"), 1).otherwise(-1).cast("long")
+    w = Window.partitionBy(part, "__range").orderBy(at, id_)
+    e = dealt.withColumn("__balance", F.sum(step).over(w)).withColumn("__low", F.min("__balance").over(w)).withColumn("__starts", F.sum(F.col("__s").cast("long")).over(w)).withColumn("__n", F.row_number().over(w))
+    of = e.groupBy(part, "__range").agg(F.sum(step).alias("__b"), F.min("__balance").alias("__l"), F.sum(F.col("__s").cast("long")).alias("__st"), F.count(F.lit(1)).alias("__rows"))
+    before = Window.partitionBy(part).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    of = of.withColumn("__b0", none(F.sum("__b").over(before))).withColumn("__s0", none(F.sum("__st").over(before))).withColumn("__n0", none(F.sum("__rows").over(before)))
+    of = of.withColumn("__l0", F.least(F.lit(0), none(F.min(F.col("__b0") + F.col("__l")).over(before))))
+    of = of.select(F.col(part).alias("__part"), F.col("__range").alias("__r"), "__b0", "__s0", "__n0", "__l0")
+    e = e.join(of, F.col(part).eqNullSafe(F.col("__part")) & (F.col("__range") == F.col("__r")))
+    least = F.least(F.col("__l0"), F.col("__b0") + F.col("__low"))
+    e = e.withColumn("__least", least).withColumn("__was", F.coalesce(F.lag("__least").over(w), F.col("__l0")))
+    starts = F.col("__s0") + F.col("__starts")
+    ends = F.col("__n0") + F.col("__n") - starts
+    k = F.when(F.col("__s"), starts).when(F.col("__least") < F.col("__was"), F.col("__least")).otherwise(ends + F.col("__least"))
+    side = lambda cond, c: F.max(F.when(cond, F.col(c)))
+    return e.withColumn("__k", k).groupBy(part, "__k").agg(
+        side(F.col("__s"), id_).alias("start_id"), side(F.col("__s"), at).alias("start_at"), side(~F.col("__s"), id_).alias("end_id"), side(~F.col("__s"), at).alias("end_at")
+    ).drop("__k")
+
+
 def turn_spans(events: DataFrame, keys: list[str], at: str = "at", id_: str = "id") -> DataFrame:
     """A span per turn. It begins with the first start event, else the first human message, else the first event, and
     ends with the last completion or final answer that is not a human's. Without an end it is an open second; an end

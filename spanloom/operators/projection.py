@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import DAY, MINUTE, SECOND, bucket_start
@@ -11,8 +11,9 @@ from . import grid
 from .canonical import activity, latest_per_key
 from .detail import prompt_candidates, prompt_sources
 from .pairing import ADJACENT_TOLERANCE, ASSISTANT_TOLERANCE, CONTEXT, PROMPT_TOLERANCE, adjacent_copies, submitted_form, tolerance_pairs, without
-from .predicates import is_conversation_source
-from .revisions import latest_revision
+from .predicates import is_conversation_source, of_versions
+from .revisions import diff_revisions, latest_revision
+from .sessions import coordinates
 
 COVERED = 26 * 60 * MINUTE
 PADDING = 6 * SECOND
@@ -77,6 +78,61 @@ def projection_run(coordinates: DataFrame, receipts: DataFrame, now: int, projec
     return ready.select("session_id"), fresh
 
 
+RECEIPT = "session_id long, last_id long, n long, projector_version string, covered_from long, covered_through long, receipt_id long"
+REVISION = "evidence_kind string, source_event_id long, person_id long, session_id long, anchor_observed_at long, observed_at long, actor_role string, event_kind string, event_subtype string, message_role string, message_origin string, prompt_identity string, is_summary_candidate boolean, is_tombstone boolean, revision_id long"
+
+
+def _store(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if before is None else rows.filter(F.col(schema.split()[-2]) < before)
+
+
+def evidence_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Receipts and revisions of a store. A revision counts once its run has a receipt, so a run that was lost halfway through
+    shows nothing."""
+    receipts = _store(spark, f"{path}/receipts", RECEIPT)
+    done = receipts.select(F.col("receipt_id").alias("revision_id"), "session_id").distinct()
+    return receipts, _store(spark, f"{path}/revisions", REVISION).join(done, ["revision_id", "session_id"], "left_semi").select(*[x.strip().split()[0] for x in REVISION.split(",")])
+
+
+def run_projection(events: DataFrame, sessions: DataFrame, path: str, now: int, versions: tuple[str, ...], run: int, projector: str = "frame.v1") -> DataFrame:
+    """One run over all sessions: the receipts that it appends to the store at path, whose run number they bear.
+
+    Sessions with an event after what the run covers are refused until their time has come; one whose last receipt says the
+    same is left alone. Of the others the evidence of the covered window is held against the last revisions of that window,
+    and what has changed, is new or has gone is appended: first the revisions, then the receipts that make them count. A run
+    that is done again replaces its own rows and no other, so it writes the same.
+    """
+    spark = events.sparkSession
+    start, end = covered(now)
+    known = events.filter(of_versions(versions))
+    read, _ = evidence_store(spark, path)
+    read = read.filter(F.col("receipt_id") < run)
+    at = coordinates(known, until=end + PADDING)
+    _, fresh = projection_run(at, read, now, projector)
+    fresh = written(fresh, "fresh")
+    mine = lambda df: df.join(fresh.select("session_id"), "session_id", "left_semi")
+    desired = evidence(mine(events), sessions, start, end, versions)
+    before = _store(spark, f"{path}/revisions", REVISION, run).join(read.select(F.col("receipt_id").alias("revision_id"), "session_id").distinct(), ["revision_id", "session_id"], "left_semi")
+    last = latest_revision(mine(before), EVIDENCE_KEYS, drop_tombstones=False)
+    last = last.filter((F.col("observed_at") >= start) & (F.col("observed_at") < end))
+    changes = diff_revisions(desired, last, EVIDENCE_KEYS, EVIDENCE_VALUES)
+    # A tombstone says what it ends, so that it is found by session and window.
+    ended = last.select(*[F.col(k).alias(f"__{k}") for k in EVIDENCE_KEYS], F.col("session_id").alias("__session"), F.col("observed_at").alias("__at"), F.col("person_id").alias("__person"))
+    on = F.col("is_tombstone")
+    for k in EVIDENCE_KEYS:
+        on &= F.col(k) == F.col(f"__{k}")
+    changes = changes.join(ended, on, "left")
+    changes = changes.withColumns({"session_id": F.coalesce("session_id", "__session"), "observed_at": F.coalesce("observed_at", "__at"), "person_id": F.coalesce("person_id", "__person"), "revision_id": F.lit(run).cast("long")})
+    put = lambda df, name: df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(f"{path}/{name}")
+    put(changes.select(*[F.col(x.strip().split()[0]).cast(x.strip().split()[1]) for x in REVISION.split(",")]), "revisions")
+    put(fresh.withColumn("receipt_id", F.lit(run).cast("long")).select(*[F.col(x.strip().split()[0]).cast(x.strip().split()[1]) for x in RECEIPT.split(",")]), "receipts")
+    return _store(spark, f"{path}/receipts", RECEIPT).filter(F.col("receipt_id") == run)
+
+
 def covered(now: int) -> tuple[int, int]:
     """The window that a projection run answers for: the last 26 hours up to the bucket that holds `now`."""
     end = now - now % (10 * MINUTE) + 10 * MINUTE

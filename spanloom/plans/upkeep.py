@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forest, revisions, search
+from ..operators import forest, projection, revisions, search
 from ..sources import bytelines, scratch
 from ..sources import testdata as T
 from ..streaming import state
-from .catalog import _FIRST, _IS_KEYED, _PARTS, EV, _events, query
+from .catalog import _FIRST, _IS_KEYED, _PARTS, COPIES, DAY_END, EV, VERSIONS, _activity_sql, _events, _prompt_sql, query
 
 
 def _place(spark: SparkSession, label: str) -> str:
@@ -135,3 +135,25 @@ def byte_locators(spark, sf_dir):
     lines.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "line").write.partitionBy("part").text(path)
     found = bytelines.locate(bytelines.read_records(spark, path))
     return found.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part"), "record_index", "start", "record_sha256", "parse_status", "native_payload_type")
+
+
+_NOW = DAY_END - 1
+_FROM, _TO = projection.covered(_NOW)
+#: The events that had arrived by the end of the covered window.
+_ARRIVED = EV.replace("ev AS (", "every AS (", 1) + f", ev AS (SELECT * FROM every WHERE observed_at < {_TO})"
+
+
+@query(f"""WITH {_activity_sql(_FROM - projection.PADDING, _TO + projection.PADDING).replace(EV, _ARRIVED)}, {COPIES}, {_prompt_sql(_FROM, _TO, projection.PADDING)},
+e AS (SELECT 'activity' AS evidence_kind, id AS source_event_id, person_id, session_id, effective_at AS observed_at, CAST(NULL AS VARCHAR) AS prompt_identity FROM cac WHERE effective_at BETWEEN {_FROM} AND {_TO} - 1
+  UNION ALL SELECT 'prompt', id, person_id, session_id, prompt_at, prompt_identity FROM standing WHERE prompt_at BETWEEN {_FROM} AND {_TO} - 1)
+SELECT * FROM e""")
+def projection_runs(spark, sf_dir):
+    """What two runs leave: one while a third of the events had not come, one when all had; a third finds nothing to do."""
+    e = _events(spark, sf_dir).filter(F.col("observed_at") < _TO)
+    sessions, path = T.activity_sessions(e), _place(spark, "evidence")
+    projection.run_projection(e.filter("id % 3 <> 1"), sessions, path, _NOW, VERSIONS, 1)
+    projection.run_projection(e, sessions, path, _NOW, VERSIONS, 2)
+    if not projection.run_projection(e, sessions, path, _NOW, VERSIONS, 3).isEmpty():
+        raise AssertionError("a run over the same events has written receipts")
+    _, rows = projection.evidence_store(spark, path)
+    return revisions.latest_revision(rows, projection.EVIDENCE_KEYS).select("evidence_kind", "source_event_id", "person_id", "session_id", "observed_at", "prompt_identity")

@@ -35,17 +35,21 @@ _VOID = {"hr"}
 #: Elements that an opening tag ends, and where the search for them stops.
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 _KIND_OF_TAG = {"nav": "menu", "menu": "menu", "footer": "edge", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "select": "form", "option": "form", "textarea": "form", "label": "form", "head": "never", "title": "never", "noscript": "never", "template": "never", "iframe": "never", "object": "never", "svg": "never", "dialog": "notice", "article": "main", "main": "main"}
-#: Words in class, id and role attributes; the first kind with a match counts.
+#: Whole words in class, id and role attributes, between separators or changes of case; the first kind with a match counts.
 _KIND_OF_NAME = [
-    ("ad", re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|promo\w*|sponsor\w*|banner)(?=$|[\s_-])")),
-    ("comments", re.compile(r"comment|disqus|repl(?:y|ies)|respond")),
-    ("notice", re.compile(r"cookie|consent|notice|popup|modal|overlay|newsletter|subscri|alert|gdpr|paywall")),
-    ("menu", re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumbs?|pagination|pager|tabs|toc|share\w*|social\w*|tags?)(?=$|[\s_-])")),
-    ("side", re.compile(r"sidebar|aside|related|recommend|widget|complementary|trending|popular")),
-    ("edge", re.compile(r"(?:^|[\s_-])(?:footer|header|masthead|topbar|bottom|copyright|colophon|contentinfo)(?=$|[\s_-])")),
-    ("form", re.compile(r"(?:^|[\s_-])(?:form|search|login|signup)(?=$|[\s_-])")),
-    ("main", re.compile(r"article|content|(?:^|[\s_-])(?:post|story|entry|main|text|body)(?=$|[\s_-])")),
+    (kind, re.compile(rf"(?:^|[\s_-])(?:{words})(?=$|[\s_-])"))
+    for kind, words in [
+        ("ad", r"ads?|advert\w*|promos?|promoted|promotions?|promobox|sponsor(?:s|ed|ship)?|banners?"),
+        ("comments", r"comments?(?:list|form|section|area|box|thread|body|wrap\w*)?|disqus\w*|repl(?:y|ies)|respond"),
+        ("notice", r"cookies?(?:bar|box|banner|notice|consent)?|consent\w*|notices?|popups?|modal|overlay|newsletters?(?:box|form)?|subscri(?:be|bers?|ption|ptions)\w*|alerts?|gdpr\w*|paywall\w*"),
+        ("menu", r"nav\w*|menus?|menubar|breadcrumbs?|pagination|pager|tabs|toc|share\w*|social\w*|tags?"),
+        ("side", r"sidebars?\w*|aside|related(?:posts|articles|stories|links)?|recommend(?:s|ations?)?|widgets?|complementary|trending|popular"),
+        ("edge", r"footer|header|masthead|topbar|bottom|copyright|colophon|contentinfo"),
+        ("form", r"form|search|login|signup"),
+        ("main", r"articles?\w*|contents?|post|story|entry|main|text|body"),
+    ]
 ]
+_CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SHOWN_TAGS = {"p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "div", "section", "article", "main", "nav", "footer", "header", "aside", "form", "td", "table", "blockquote", "pre", "body", "html", "head", "title", "figure", "figcaption", "dd", "dt"}
 
 
@@ -168,7 +172,7 @@ class Page:
         if attributes.strip():
             if found := _MARK.search(attributes):
                 mark = int(found[1])
-            names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(attributes)).lower()
+            names = _CASE.sub("-", " ".join(next(filter(None, x), "") for x in _NAMES.findall(attributes))).lower()
             if kind in ("none", "main") and names:
                 kind = next((k for k, pattern in _KIND_OF_NAME if pattern.search(names)), kind)
         self.tag.append(name), self.parent.append(parent), self.kind.append(kind), self.mark.append(mark)

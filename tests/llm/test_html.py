@@ -144,3 +144,13 @@ def test_query_over_whole_table(spark, sf):
         blocks = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|h2|li|ul)\b[^>]*>", inner))
         assert got[k]["text"] == "\n".join(filter(None, blocks))
         assert got[k]["n_chars"] == len(got[k]["text"])
+
+
+NAMES = ["commentary", "article alerting", "post-replying", "story recommended", "widgetized-content", "postBody", "relatedness", "replica news"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_counts_whole(scores, name):
+    body = "<h1>The new bridge</h1><p>The bridge opened on Monday after two years of work. Many people came to see it.</p>"
+    page = f'<html><body><nav><a href="/">Home</a></nav><div class="{name}">{body}</div><div class="comment-list"><p>I do not like it. Not at all.</p></div><footer>c</footer></body></html>'
+    assert H.extract(page, scores) == "The new bridge\nThe bridge opened on Monday after two years of work. Many people came to see it."

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forest, projection, revisions, search
-from ..sources import bytelines, scratch
+from ..sources import bytelines, objects, scratch
 from ..sources import testdata as T
 from ..streaming import state
 from .catalog import _FIRST, _IS_KEYED, _PARTS, COPIES, DAY_END, EV, VERSIONS, _activity_sql, _events, _prompt_sql, query
@@ -157,3 +157,21 @@ def projection_runs(spark, sf_dir):
         raise AssertionError("a run over the same events has written receipts")
     _, rows = projection.evidence_store(spark, path)
     return revisions.latest_revision(rows, projection.EVIDENCE_KEYS).select("evidence_kind", "source_event_id", "person_id", "session_id", "observed_at", "prompt_identity")
+
+
+@query("""WITH b AS (SELECT conv_id, string_agg(concat('{"role":"', role, '","turn":', turn, '}', chr(10)), '' ORDER BY turn) AS body FROM conversations GROUP BY 1)
+SELECT concat('workspaces/w1/collectors/c', conv_id % 4, '/thread/conv-', conv_id, '/generations/0-g/0-', strlen(body), '-', sha256(body), '.jsonl.gz') AS object, sha256(body) AS source_sha256 FROM b""")
+def stored_objects(spark, sf_dir):
+    """Each conversation as an object that was written, written again, and read back whole."""
+    c = T.table(spark, sf_dir, "conversations")
+    line = F.concat(F.lit('{"role":"'), "role", F.lit('","turn":'), F.col("turn").cast("string"), F.lit("}\n"))
+    b = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "").cast("binary").alias("body"))
+    b = b.select(
+        F.lit("w1").alias("workspace_id"), F.concat(F.lit("c"), (F.col("conv_id") % 4).cast("string")).alias("collector_key"), F.lit("thread").alias("source_kind"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("source_stream_key"),
+        F.lit(0).alias("generation_seq"), F.lit("g").alias("generation_key"), F.lit(0).alias("start_offset"), F.octet_length("body").alias("end_offset"), "body",
+    )
+    path = _place(spark, "objects")
+    for _ in range(2):
+        objects.write_objects(b, path)
+    found = objects.read_objects(spark, path)
+    return found.select(F.regexp_extract("path", "(workspaces/.*)$", 1).alias("object"), F.sha2("body", 256).alias("source_sha256"))

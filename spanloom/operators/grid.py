@@ -89,9 +89,11 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return dealt.withColumn(name, own).join(F.broadcast(offsets), "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")
 
 
-def axis_ticks(start: int, end: int, parts: int = 12) -> Column:
-    """The times that divide a span into equal parts, both ends included."""
-    return F.sequence(F.lit(start), F.lit(end), F.lit((end - start) // parts))
+def axis_ticks(start: Column | int, end: Column | int, parts: int = 12) -> Column:
+    """The times that divide a span into equal parts, both ends included; times are whole multiples of `parts` apart."""
+    start, end = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
+    width = F.call_function("div", end - start, F.lit(parts))
+    return F.transform(F.sequence(F.lit(0), F.lit(parts)), lambda i: start + width * i)
 
 
 def day_payload(grid: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import detail, grid, intervals, jobs, revisions, sessions
 from ..sources import normalize, records
 from ..sources import testdata as T
 from . import catalog as C
-from .catalog import CAN, CURSOR, DAY_END, DAY_START, EV, query
+from .catalog import CAN, CURSOR, EV, query
 
 # Records of byte streams. The SQL pieces are CTEs.
 
@@ -182,6 +182,10 @@ def routing_keys(spark, sf_dir):
     )
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS tick, {DAY_START} + i * {(DAY_END - DAY_START) // 12} AS at FROM range(13) t(i)")
+@query(f"""WITH {EV}, a AS (SELECT person_id, max(observed_at) // {X.BUCKET} * {X.BUCKET} AS z FROM ev GROUP BY 1)
+SELECT person_id, CAST(i AS INTEGER) AS tick, z - {X.DAY} + i * {X.DAY // 12} AS at FROM a, range(13) t(i)""")
 def axis_ticks(spark, sf_dir):
-    return spark.range(1).select(F.posexplode(grid.axis_ticks(DAY_START, DAY_END)).alias("tick", "at"))
+    """Of the day up to each person's last bucket."""
+    end = X.bucket_start(F.max("observed_at"))
+    last = T.activity_events(spark, sf_dir).groupBy("person_id").agg(end.alias("z"))
+    return last.select("person_id", F.posexplode(grid.axis_ticks(F.col("z") - X.DAY, F.col("z"))).alias("tick", "at"))

@@ -3,12 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing: Counter[int] = Counter()
+_before: dict[int, str] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go once a query has ended, as long as any thread of the session is within this."""
+    key = id(spark)
+    with _lock:
+        _writing[key] += 1
+        if _writing[key] == 1:
+            _before[key] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[key] -= 1
+            if not _writing[key]:
+                spark.conf.set(_CLEANUP, _before.pop(key))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +54,8 @@ def write(df: DataFrame, label: str, compression: str = "snappy") -> str:
     files go when the driver exits; the shuffle files that led to them go at once, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path, compression=compression)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     atexit.register(delete, spark, path)
     return path
 

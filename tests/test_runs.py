@@ -95,3 +95,23 @@ def test_revisions_without_a_receipt_do_not_count(spark, tmp_path):
     run(spark, path, [event(1, at=at)], 1)
     spark.read.parquet(f"{path}/revisions").withColumn("revision_id", F.lit(9).cast("long")).withColumn("source_event_id", F.lit(77).cast("long")).withColumn("run", F.lit(9)).write.mode("append").partitionBy("run").parquet(f"{path}/revisions")
     assert ("activity", 77) not in shown(spark, path)
+
+
+def test_threads_that_write_leave_the_setting_as_it_was(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from spanloom.sources import scratch
+
+    before = spark.conf.get(scratch._CLEANUP, "false")
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda n: scratch.written(spark.range(n), "threads").count(), range(1, 9)))
+    assert counts == list(range(1, 9)) and spark.conf.get(scratch._CLEANUP, "false") == before
+
+
+def test_a_frame_ranks_its_sessions_only(spark):
+    from spanloom.operators.canonical import activity
+
+    e = spark.createDataFrame([event(1, at=0), event(2, at=50 * S, session_id=2), event(3, at=200 * S, session_id=3), event(4, at=210 * S, session_id=1), event(5, at=95 * S, session_id=3)], EVENT)
+    framed = activity(e, sessions(spark), 0, 1000 * S, ("v1",), frame=(100 * S, 205 * S))
+    assert sorted(r["id"] for r in framed.collect()) == [1, 3, 4, 5]  # session 1 by its event within the padding, all of its own
+    assert "LeftSemi" in framed._jdf.queryExecution().optimizedPlan().toString()

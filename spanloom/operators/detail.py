@@ -50,6 +50,11 @@ def keyset_page(df: DataFrame, order: list[str], cursor: tuple | None, size: int
     return df.orderBy(*order).limit(size + 1)
 
 
+def people_page(people: DataFrame, after_id: str | None, size: int = 20, id_: str = "person_id") -> DataFrame:
+    """The next page of people by id, and one more by which a caller sees that there is another page."""
+    return keyset_page(people, [id_], None if after_id is None else (after_id,), size)
+
+
 def capped(df: DataFrame, order: list[str | Column], most: int) -> DataFrame:
     """df in order; an error where it has more than `most` rows. Only one row more than that is looked at."""
     first = df.orderBy(*order).limit(most + 1)

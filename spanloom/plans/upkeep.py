@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import forest, projection, revisions, search
-from ..sources import bytelines, objects, scratch
+from ..operators import detail, forest, projection, revisions, search
+from ..sources import bytelines, objects, scratch, tokens
 from ..sources import testdata as T
 from ..streaming import state
 from .catalog import _FIRST, _IS_KEYED, _PARTS, COPIES, DAY_END, EV, VERSIONS, _activity_sql, _events, _prompt_sql, query
@@ -175,3 +175,15 @@ def stored_objects(spark, sf_dir):
         objects.write_objects(b, path)
     found = objects.read_objects(spark, path)
     return found.select(F.regexp_extract("path", "(workspaces/.*)$", 1).alias("object"), F.sha2("body", 256).alias("source_sha256"))
+
+
+_UUID = "concat('0190a1b2-0000-7000-8000-', lpad(lower(hex({})), 12, '0'))"
+
+
+@query(f"""WITH p AS (SELECT {_UUID.format('c_custkey')} AS person_id, c_name AS name FROM customer), f AS (SELECT * FROM p ORDER BY person_id LIMIT 20) SELECT person_id, name FROM p WHERE person_id > (SELECT max(person_id) FROM f) ORDER BY person_id LIMIT 21""")
+def people_pages(spark, sf_dir):
+    """The second page of people, by the cursor that the first one gives."""
+    p = T.table(spark, sf_dir, "customer").select(F.expr(_UUID.format("c_custkey")).alias("person_id"), F.col("c_name").alias("name"))
+    first = detail.people_page(p, tokens.decode_people_cursor("")).collect()  # a page
+    more = tokens.encode_people_cursor(first[tokens.PEOPLE_PAGE - 1]["person_id"]) if len(first) > tokens.PEOPLE_PAGE else None
+    return detail.people_page(p, tokens.decode_people_cursor(more)) if more else p.limit(0)

@@ -88,6 +88,39 @@ def decode_cursor(token: str) -> tuple[int, int]:
     return at, id_
 
 
+#: People on a page, and the longest cursor of one.
+PEOPLE_PAGE, LONGEST_PEOPLE = 20, 128
+
+
+def encode_people_cursor(person_id: str) -> str:
+    return "u1." + base64.urlsafe_b64encode(identifier(person_id).encode()).decode().rstrip("=")
+
+
+def decode_people_cursor(token: str | None) -> str | None:
+    """The person after whom a page begins; None for the first page."""
+    if not token:
+        return None
+    version, _, body = token.partition(".") if isinstance(token, str) and len(token) <= LONGEST_PEOPLE else ("", "", "")
+    if version != "u1" or not re.fullmatch(r"[A-Za-z0-9_-]+", body):
+        raise RequestError("invalid", "not a cursor of people")
+    try:
+        found = base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)).decode()
+    except ValueError as e:
+        raise RequestError("invalid", "a cursor that can't be read") from e
+    if encode_people_cursor(found) != token:
+        raise RequestError("invalid", "a cursor in another than its canonical form")
+    return found
+
+
+def pinned(snapshot: Snapshot, raw: Any, projected: dict[str, Any]) -> Any:
+    """What answers questions about a snapshot: of one that names a projection that projection only, of another the raw events.
+    Where it isn't there, nothing else steps in."""
+    found = raw if snapshot.projection is None else projected.get(snapshot.projection)
+    if found is None:
+        raise RequestError("unavailable", "what the snapshot was read from is not there")
+    return found
+
+
 def bucket_of(start: int, snapshot: Snapshot) -> tuple[int, int]:
     """The bucket that a request names; it must be one of the snapshot's day."""
     end = snapshot.read_at - snapshot.read_at % BUCKET

@@ -51,3 +51,25 @@ def test_identifiers():
     assert T.identifier("0190a1b2-0000-7000-8000-000000000001")
     with pytest.raises(T.RequestError):
         T.identifier("0190A1B2-0000-7000-8000-000000000001")
+
+
+UUID = "0190a1b2-0000-7000-8000-00000000000a"
+
+
+def test_people_cursors():
+    token = T.encode_people_cursor(UUID)
+    assert T.decode_people_cursor(token) == UUID and T.decode_people_cursor("") is None and T.decode_people_cursor(None) is None
+    for bad in (token + "=", token + ".x", token.replace("u1", "v1"), "u1.", "u1.!!", "u1._w", "u1." + "A" * 200, T.encode("u1", UUID), 7):
+        with pytest.raises(T.RequestError):
+            T.decode_people_cursor(bad)
+    with pytest.raises(T.RequestError):
+        T.encode_people_cursor("me")
+
+
+def test_a_snapshot_is_answered_by_what_it_was_read_from():
+    raw, projections = object(), {"f2": object()}
+    assert T.pinned(T.Snapshot(NOW, 1, 2), raw, projections) is raw
+    assert T.pinned(T.Snapshot(NOW, 1, 2, (), "f2"), raw, projections) is projections["f2"]
+    with pytest.raises(T.RequestError) as e:
+        T.pinned(T.Snapshot(NOW, 1, 2, (), "f1"), raw, projections)
+    assert e.value.status == 503

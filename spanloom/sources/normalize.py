@@ -6,8 +6,8 @@ one stream's rows. Output is one row per event, in the order of (record_index, p
 
 Two shapes of records are known. In a thread a record has `type` and `payload`, and one says what the session is. In a
 transcript a record has `uuid`, `parentUuid` and `message`, whose content blocks become events of their own. Everything is
-expressions over VARIANT, so nothing leaves the JVM. What a transcript's record says is read once and written as plain columns;
-a thread's members are looked up where they are used. A record whose JSON names a key twice does not parse and counts as
+expressions over VARIANT, so nothing leaves the JVM. What a record says is read once and written as plain columns, as the rules
+below read most of them several times. A record whose JSON names a key twice does not parse and counts as
 malformed.
 """
 
@@ -112,13 +112,34 @@ def _content(t: Column, wanted: Column) -> dict[str, Column]:
     }
 
 
+def thread_fields(parsed: DataFrame) -> DataFrame:
+    """What a record's JSON says, as plain columns of a written table: sessions and events both read this one. A description and a
+    context stay JSON, as few records are one."""
+    v, p, total, native, kind = F.col("v"), F.col("p"), F.col("total"), F.col("native"), F.col("kind")
+    # Each step is read several times by the next, so Spark keeps them apart and works each out once.
+    first = parsed.withColumn("p", member(v, "$.payload")).withColumn("native", text(v, "$.type"))
+    second = first.withColumn("kind", text(p, "$.type")).withColumn("content", F.try_variant_get(p, "$.content", "variant")).withColumn("total", F.when((native == "event_msg") & (text(p, "$.type") == "token_count"), member(p, "$.info.total_token_usage")))
+    event = v.isNotNull() & (native == "event_msg")
+    f = second.select(
+        "stream", "record_index", "parse_status", "occurred_at", "seen_session_id", "seen_parent_id", v.isNotNull().alias("ok"), "native", "kind",
+        text(p, "$.role").alias("said_role"), F.when(event, text(p, "$.message")).otherwise(message_text(F.col("content"))).alias("said"),
+        text(p, "$.turn_id").alias("turn"), text(p, "$.id").alias("own"), text(p, "$.phase").alias("said_phase"), text(p, "$.call_id").alias("call"), text(p, "$.name").alias("name"), text(p, "$.status").alias("status"),
+        F.when(event & (kind == "error"), text(p, "$.code")).alias("code"), F.when(native.isin("session_meta", "turn_context"), text(p, "$.model")).alias("model"),
+        whole(total, "$.input_tokens").alias("input"), whole_or_zero(total, "$.cached_input_tokens").alias("cached"), whole(total, "$.output_tokens").alias("output"), whole_or_zero(total, "$.reasoning_output_tokens").alias("thought"), whole(total, "$.total_tokens").alias("total"),
+        F.when(native == "session_meta", F.to_json(p)).alias("meta"), F.when(native == "turn_context", F.to_json(p)).alias("context"),
+    )
+    return written(f, "records")
+
+
 def thread_sessions(parsed: DataFrame) -> DataFrame:
     """What a batch's first description and last context say of its session."""
+    return _described(thread_fields(parsed))
+
+
+def _described(fields: DataFrame) -> DataFrame:
     order = F.col("record_index")
-    kind, payload = text(F.col("v"), "$.type"), member(F.col("v"), "$.payload")
-    meta, context = F.when(kind == "session_meta", payload), F.when(kind == "turn_context", payload)
-    s = parsed.groupBy("stream").agg(
-        _first(F.to_json(meta), order).alias("meta"), _last(F.to_json(context), order).alias("context"), F.max("seen_session_id").alias("seen"), F.max("seen_parent_id").alias("seen_parent"),
+    s = fields.groupBy("stream").agg(
+        _first(F.col("meta"), order).alias("meta"), _last(F.col("context"), order).alias("context"), F.max("seen_session_id").alias("seen"), F.max("seen_parent_id").alias("seen_parent"),
     )
     m, c = F.try_parse_json("meta"), F.try_parse_json("context")
     source = F.try_variant_get(m, "$.source", "variant")
@@ -142,19 +163,16 @@ def thread_sessions(parsed: DataFrame) -> DataFrame:
 
 def normalize_threads(records: DataFrame) -> DataFrame:
     """One event per record."""
-    parsed = _parsed(records)
-    joined = parsed.join(thread_sessions(parsed), "stream", "left")
-    v, p = F.col("v"), member(F.col("v"), "$.payload")
-    native, kind = text(v, "$.type"), text(p, "$.type")
-    ok = v.isNotNull()
+    fields = thread_fields(_parsed(records))
+    ok, native, kind = F.col("ok"), F.col("native"), F.col("kind")
     event, item = ok & (native == "event_msg"), ok & (native == "response_item")
-    role = F.when(event & (kind == "user_message"), "user").when(event & (kind == "agent_message"), "assistant").when(item & (kind == "message") & text(p, "$.role").isin("user", "assistant"), text(p, "$.role"))
+    role = F.when(event & (kind == "user_message"), "user").when(event & (kind == "agent_message"), "assistant").when(item & (kind == "message") & F.col("said_role").isin("user", "assistant"), F.col("said_role"))
+    joined = fields.join(_described(fields), "stream", "left").withColumn("role", role)
+    role, said = F.col("role"), F.col("said")
     is_message = role.isNotNull()
-    said = F.when(event, text(p, "$.message")).otherwise(message_text(F.try_variant_get(p, "$.content", "variant")))
-    turn, own, phase = text(p, "$.turn_id"), text(p, "$.id"), F.when(item & is_message, text(p, "$.phase"))
+    turn, own, phase = F.col("turn"), F.col("own"), F.when(item & is_message, F.col("said_phase"))
     key = F.when(is_message & turn.isNotNull(), F.when(role == "user", F.concat(F.lit("message:user:"), turn)).otherwise(F.concat(F.lit("message:assistant:"), turn, F.lit(":"), F.coalesce(own, phase))))
-    total = member(p, "$.info.total_token_usage")
-    usage = F.when(event & (kind == "token_count"), cumulative_usage(whole(total, "$.input_tokens"), whole_or_zero(total, "$.cached_input_tokens"), whole(total, "$.output_tokens"), whole_or_zero(total, "$.reasoning_output_tokens"), whole(total, "$.total_tokens")))
+    usage = F.when(event & (kind == "token_count"), cumulative_usage(*map(F.col, ("input", "cached", "output", "thought", "total"))))
     kinds = (
         F.when(ok & native.isin("session_meta", "turn_context"), "lifecycle")
         .when(event & (kind == "agent_message"), "agent_message")
@@ -169,18 +187,18 @@ def normalize_threads(records: DataFrame) -> DataFrame:
         .when(item & kind.isin(*TOOL_RESULTS), "tool_result")
         .otherwise("unknown")
     )
-    subtype = F.when(ok & native.isin("session_meta", "turn_context"), native).when(item & (kind == "message") & ~is_message, F.concat(F.lit("message:"), F.coalesce(text(p, "$.role"), F.lit("unknown")))).otherwise(F.coalesce(kind, native))
+    subtype = F.when(ok & native.isin("session_meta", "turn_context"), native).when(item & (kind == "message") & ~is_message, F.concat(F.lit("message:"), F.coalesce("said_role", F.lit("unknown")))).otherwise(F.coalesce(kind, native))
     content = _content(said, is_message)
     error = (
         F.when(~ok, F.concat(F.lit("native_"), F.when(F.col("parse_status") == "ok", "malformed").otherwise(F.col("parse_status"))))
         .when(event & (kind == "token_count") & usage.isNull(), "invalid_token_count")
-        .when(event & (kind == "error"), F.coalesce(text(p, "$.code"), F.lit("native_error")))
+        .when(event & (kind == "error"), F.coalesce("code", F.lit("native_error")))
         .otherwise(content.pop("empty"))
     )
     e = _event(
         projection_index=0, logical_event_key=key, source_priority=F.when(item & is_message & (role == "user"), 50).otherwise(100), event_kind=kinds, event_subtype=subtype, phase=phase, native_item_id=own, turn_id=turn,
-        tool_call_id=text(p, "$.call_id"), tool_name=F.when(item & kind.isin(*TOOL_CALLS), F.coalesce(text(p, "$.name"), kind)).when(item & kind.isin(*TOOL_RESULTS), text(p, "$.name")), tool_status=text(p, "$.status"), message_role=role,
-        message_origin=F.when(role == "user", "human").when(role == "assistant", assistant_origin(F.col("actor_role"))), model=F.coalesce(F.when(ok & native.isin("session_meta", "turn_context"), text(p, "$.model")), F.col("session_model")),
+        tool_call_id=F.col("call"), tool_name=F.when(item & kind.isin(*TOOL_CALLS), F.coalesce("name", kind)).when(item & kind.isin(*TOOL_RESULTS), F.col("name")), tool_status=F.col("status"), message_role=role,
+        message_origin=F.when(role == "user", "human").when(role == "assistant", assistant_origin(F.col("actor_role"))), model=F.coalesce(F.when(ok & native.isin("session_meta", "turn_context"), F.col("model")), F.col("session_model")),
         usage=usage, error_code=error, **content,
     )
     return _flat(joined.withColumn("e", e))
@@ -313,31 +331,41 @@ END_REASONS = ("clear", "resume", "logout", "prompt_input_exit", "bypass_permiss
 _SHA, _UUID, _UTC = r"^[0-9a-f]{64}\z", r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z\z"
 
 
+def hook_fields(parsed: DataFrame) -> DataFrame:
+    """What a hook's record and its payload say, as plain columns of a written table: checks read many of them several times."""
+    v, p = F.col("v"), F.col("p")
+    first = parsed.withColumn("encoded", text(v, "$.payload_base64")).withColumn("raw", F.try_to_binary("encoded", F.lit("base64")))
+    second = first.withColumn("parsed", F.try_parse_json(F.try_validate_utf8(F.col("raw").cast("string")))).withColumn("p", F.when(F.schema_of_variant("parsed").startswith("OBJECT"), F.col("parsed")))
+    f = second.select(
+        "stream", "record_index", "parse_status", "occurred_at", "seen_session_id", "seen_parent_id", v.isNotNull().alias("ok"), text(v, "$.type").alias("native"), text(v, "$.schema_version").alias("version"),
+        text(v, "$.dispatch_event_name").alias("hook"), text(v, "$.payload_sha256").alias("sha"), text(v, "$.collector_observed_at").alias("observed"), F.col("encoded").isNotNull().alias("has_payload"), F.sha2("raw", 256).alias("raw_sha"),
+        text(v, "$.native_session_id").alias("session"), text(v, "$.parent_native_session_id").alias("parent"), whole(v, "$.transcript_byte_count").alias("count"), text(v, "$.transcript_sha256").alias("digest"),
+        text(v, "$.terminal_assistant_uuid").alias("last"), text(v, "$.turn_anchor_id").alias("anchor"),
+        text(p, "$.session_id").alias("paid"), text(p, "$.agent_id").alias("agent"), text(p, "$.hook_event_name").alias("paid_hook"), text(p, "$.reason").alias("reason"),
+    )
+    return written(f, "hooks")
+
+
 def normalize_hooks(records: DataFrame, schema_version: str, hook_type: str = "hook", prefix: str = "transcript") -> DataFrame:
     """One lifecycle event per hook record: the end of a session, or of a response, which is the end of a turn only where
     the record binds it to a transcript. A record that fails a check says which; checks come in a fixed order, and the
     first that fails counts. Their payloads come in base64 with their hash."""
-    parsed = _parsed(records)
-    v = F.col("v")
-    raw = F.try_to_binary(text(v, "$.payload_base64"), F.lit("base64"))
-    p = F.try_parse_json(F.try_validate_utf8(raw.cast("string")))
-    with_payload = parsed.withColumn("raw", raw).withColumn("p", F.when(F.schema_of_variant(p).startswith("OBJECT"), p))
-    p = F.col("p")
-    hook, sha, observed = text(v, "$.dispatch_event_name"), text(v, "$.payload_sha256"), text(v, "$.collector_observed_at")
-    session, parent, paid = text(v, "$.native_session_id"), text(v, "$.parent_native_session_id"), text(p, "$.session_id")
+    fields = hook_fields(_parsed(records))
+    hook, sha, observed = F.col("hook"), F.col("sha"), F.col("observed")
+    session, parent, paid = F.col("session"), F.col("parent"), F.col("paid")
     sub = hook == "SubagentStop"
-    count, digest, last, anchor = whole(v, "$.transcript_byte_count"), text(v, "$.transcript_sha256"), text(v, "$.terminal_assistant_uuid"), text(v, "$.turn_anchor_id")
+    count, digest, last, anchor = F.col("count"), F.col("digest"), F.col("last"), F.col("anchor")
     yes = lambda c: F.coalesce(c, F.lit(False))
-    owner = F.when(sub, text(p, "$.agent_id")).otherwise(paid)
+    owner = F.when(sub, F.col("agent")).otherwise(paid)
     above = F.when(sub, paid)
     error = (
-        F.when(v.isNull(), F.concat(F.lit("native_"), F.when(F.col("parse_status") == "ok", "malformed").otherwise(F.col("parse_status"))))
-        .when(~yes((text(v, "$.type") == hook_type) & (text(v, "$.schema_version") == schema_version)), "invalid_hook_schema")
+        F.when(~F.col("ok"), F.concat(F.lit("native_"), F.when(F.col("parse_status") == "ok", "malformed").otherwise(F.col("parse_status"))))
+        .when(~yes((F.col("native") == hook_type) & (F.col("version") == schema_version)), "invalid_hook_schema")
         .when(~yes(observed.rlike(_UTC) & F.try_to_timestamp(observed).isNotNull()), "invalid_hook_observed_at")
         .when(~yes(hook.isin(*HOOKS)), "invalid_hook_event")
-        .when(~yes(sha.rlike(_SHA) & text(v, "$.payload_base64").isNotNull()), "invalid_hook_payload")
-        .when(~yes(F.sha2("raw", 256) == sha), "invalid_hook_payload_hash")
-        .when(~yes(text(p, "$.hook_event_name") == hook), "invalid_hook_payload_event")
+        .when(~yes(sha.rlike(_SHA) & F.col("has_payload")), "invalid_hook_payload")
+        .when(~yes(F.col("raw_sha") == sha), "invalid_hook_payload_hash")
+        .when(~yes(F.col("paid_hook") == hook), "invalid_hook_payload_event")
         .when(~yes((session == owner) & (session == F.col("seen_session_id"))) | ~parent.eqNullSafe(above) | ~parent.eqNullSafe(F.col("seen_parent_id")), "invalid_hook_session")
         .when((count.isNull() != digest.isNull()) | ~F.coalesce(digest.rlike(_SHA), F.lit(True)), "invalid_hook_transcript")
         .when(~F.coalesce(last.rlike(_UUID), F.lit(True)) | ~F.coalesce(anchor.rlike(_UUID), F.lit(True)) | yes((hook == "SessionEnd") & F.coalesce(last, anchor).isNotNull()), "invalid_hook_anchor")
@@ -351,8 +379,8 @@ def normalize_hooks(records: DataFrame, schema_version: str, hook_type: str = "h
         event_subtype=F.when(~good, "hook_invalid").when(hook == "SessionEnd", "session_end").when(bound, "turn_complete").otherwise("response_complete_unlinked"),
         logical_event_key=F.when(good, F.when(bound, F.concat(F.lit(f"{prefix}:lifecycle:"), last, F.lit(":turn_complete"))).otherwise(own)),
         native_item_id=F.when(good & (hook != "SessionEnd"), last), turn_id=F.when(good & bound, F.concat(F.lit(f"{prefix}:prompt:"), anchor)),
-        phase=F.when(good & (hook == "SessionEnd") & text(p, "$.reason").isin(*END_REASONS), text(p, "$.reason")),
+        phase=F.when(good & (hook == "SessionEnd") & F.col("reason").isin(*END_REASONS), F.col("reason")),
     )
     role = F.when(F.col("seen_parent_id").isNotNull(), "worker").when(F.col("seen_session_id").isNotNull(), "primary").otherwise("unknown")
-    out = with_payload.withColumn("error", error).withColumn("e", e).withColumn("session_id", F.col("seen_session_id")).withColumn("actor_role", role)
+    out = fields.withColumn("error", error).withColumn("e", e).withColumn("session_id", F.col("seen_session_id")).withColumn("actor_role", role)
     return _flat(out.withColumn("occurred_at", F.when(good, observed).otherwise(F.col("occurred_at"))))

@@ -150,3 +150,12 @@ def test_hook_records(spark):
     assert [r["event_subtype"] for r in got[:5]] == ["turn_complete", "response_complete_unlinked", "session_end", "session_end", "hook_invalid"]
     assert got[0]["logical_event_key"] == f"transcript:lifecycle:{uuid}:turn_complete" and got[0]["turn_id"] == f"transcript:prompt:{anchor}" and got[0]["occurred_at"] == "2024-01-01T00:00:00.5Z"
     assert (got[2]["phase"], got[3]["phase"]) == ("logout", None) and got[1]["logical_event_key"].startswith("transcript:hook:")
+
+
+def test_members_are_read_once(spark):
+    """What a record says is looked up when it is read, not again in each rule: a hook's plan has no look-up left, a thread's only
+    those on the few descriptions of sessions."""
+    looked = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("variant_get")
+    df = records(spark, {"type": "event_msg", "payload": {"type": "user_message", "turn_id": "t", "message": "hello"}})
+    assert looked(N.normalize_threads(df)) < 100
+    assert looked(N.normalize_hooks(df, "h1")) == 0

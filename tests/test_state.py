@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import json
 import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanloom.operators.canonical import canonical
@@ -121,3 +123,47 @@ def test_folded_sessions(spark, tmp_path, seed):
     want = session_fold(spark.createDataFrame(rows, schema), ["session_id"], ["title", "branch"])
     assert sorted(map(tuple, last.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
     assert not got.filter("batch_id = 3").count()  # what came again changes nothing
+
+
+class Handle:
+    """State in dictionaries that counts its calls."""
+
+    def __init__(self):
+        self.calls = 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return Kept(self)
+
+    getValueState = getMapState  # noqa: N815
+
+
+class Kept(dict):
+    def __init__(self, handle):
+        self.handle = handle
+
+    def _call(self, x):
+        self.handle.calls += 1
+        return x
+
+    containsKey = lambda self, k: self._call(k in self)  # noqa: E731, N815
+    getValue = lambda self, k: self._call(self[k])  # noqa: E731, N815
+    updateValue = lambda self, k, v: self._call(self.update({k: v}))  # noqa: E731, N815
+
+
+def test_state_is_called_by_session_not_by_event():
+    """A small session takes three calls however many events it gets; a large one, kept by entries, leads to the same revisions."""
+    r = random.Random(5)
+    rows = [event(r, i) for i in range(300)]
+    packed = [Row(session_id=e[0], row=json.dumps({k: v for k, v in zip(S._EVENT[1:], e[1:], strict=True) if v is not None})) for e in rows]
+    found = []
+    for small in (S.SMALL, 0, 2000):
+        handle, spans = Handle(), S.SpanRevisions(small=small)
+        spans.init(handle)
+        found.append([x for at in range(0, 300, 60) for x in spans.handleInputRows((0,), iter(packed[at : at + 60]), None)])
+        assert handle.calls <= 3 * 3 * 5 or small < S.SMALL
+    assert found[0] == found[1] == found[2]
+    handle, fold = Handle(), S.SessionFold(["event_subtype"])
+    fold.init(handle)
+    parts = [Row(session_id=e[0], row=json.dumps({"batch_seq": e[1], "event_subtype": e[6], "actor_role": "primary", "started_at": e[2], "person_id": 1})) for e in rows]
+    assert len(list(fold.handleInputRows((0,), iter(parts), None))) == 3 and handle.calls <= 3 * 3
+    assert not list(fold.handleInputRows((0,), iter(parts), None))

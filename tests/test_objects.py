@@ -3,8 +3,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import os
+import pickle
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from spanloom.sources import objects as O
@@ -64,3 +66,16 @@ def test_record_hashes(spark, tmp_path):
     records = spark.createDataFrame(rows, "path string, record_index long, start long, end long, sha256 string")
     assert {(r["path"] == at, r["record_index"]): r["ok"] for r in O.prove_records(found, records).collect()} == {(True, 0): True, (True, 1): True, (True, 2): False, (True, 3): False, (False, 0): False}
     assert found.filter(F.col("error").isNotNull()).count() == 0
+
+
+def test_the_driver_hears_of_tasks_only(spark, tmp_path):
+    """What a task tells the driver doesn't grow with its objects, and listing them takes no index of files in the driver."""
+    says = []
+    for n in (1, 50):
+        rows = [Row(**dict(zip(KEYS, batch(b"x\n" * i, i), strict=True))) for i in range(1, n + 1)]
+        says.append(len(pickle.dumps(O._Writer(f"file://{tmp_path}", "job").write(iter(rows)))))
+    assert says[0] == says[1]
+    O.write_objects(spark.createDataFrame([batch(b"x\n" * i, i) for i in range(1, 6)], O.BATCH).repartition(2), f"file://{tmp_path}")
+    got = O.read_objects(spark, f"file://{tmp_path}")
+    assert "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(len(r["body"]) for r in got.collect()) == [2, 4, 6, 8, 10]

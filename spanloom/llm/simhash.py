@@ -19,9 +19,10 @@ similarity of SIMILARITY or more. Its fingerprints have 128 bits in SEGMENTS seg
 2 * SEGMENTS - 1 bits agree in one segment but for at most one bit; keys are segments with one bit left out. Pairs that meet
 and are that near are candidates, and each is verified on the exact sets. What is missed is pairs whose fingerprints lie
 further apart. Equal sets fold first. Rows of a key come sorted by the size of their set, and only sizes that the similarity
-allows are compared. Each document is paired with its next AHEAD candidates of a key; a key in which one has more comes
-again once these are verified, and then all its candidates in different classes are paired, so a large class costs
-no square of its size and no pair is left out.
+allows are compared. A pair belongs to the first key that both have, so near copies that meet in many keys are one pair.
+Each document is paired with its next AHEAD candidates of a key; where one has more, or meets more than LOOKED near ones,
+it and those that are left come again once these are verified, and then all candidates in different classes are paired,
+so a large class costs no square of its size and no pair is left out.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ SIMILARITY = 0.8
 SEGMENTS = 12
 #: Candidates of one document in one key that are paired before classes are known.
 AHEAD = 16
+#: Near ones that a document meets in one key, pairs of earlier keys too, before it waits for the classes.
+LOOKED = 256
 #: Rows of keys that are compared at once.
 ROWS = 1 << 17
 
@@ -305,31 +308,58 @@ def _reach(n: np.ndarray) -> np.ndarray:
 _MET = "hot boolean, at bigint, a bigint, b bigint, f bigint, g bigint"
 
 
-def _ahead(distance: int, most: int):
-    """Candidate pairs a, b: each row and its next ones in the same key, `most` at most; all rows of keys that hold more
-    come again (hot)."""
+def _first_keys(f: np.ndarray, g: np.ndarray, segments: int) -> np.ndarray:
+    """The first key that pairs share, -1 if none; f and g are the bits that differ."""
+    edges = [int(x) for x in np.linspace(0, 128, segments + 1)]
+    keys, rest = np.full(len(f), -1), np.arange(len(f))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        mask = (1 << hi) - (1 << lo)
+        x, y = f & np.uint64(mask & (1 << 64) - 1), g & np.uint64(mask >> 64)
+        apart = np.bitwise_count(x) + np.bitwise_count(y)
+        keys[rest[apart == 0]] = lo
+        # The bits below a single one are as many as its place.
+        place = np.where(x > 0, np.bitwise_count(x - np.uint64(1)).astype(np.int64), 64 + np.bitwise_count(y - np.uint64(1)).astype(np.int64))
+        keys[rest[apart == 1]] = place[apart == 1]
+        more = apart > 1
+        rest, f, g = rest[more], f[more], g[more]
+    return keys
+
+
+def _ahead(distance: int, most: int, segments: int, looked: int):
+    """Candidate pairs a, b, each in the first key that both have: each row and its next ones, `most` at most. Rows that have
+    more, or are near more than `looked`, come again (hot), and so do those that they have not been held against."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, node, *fps in _whole_keys(batches, ["at", "node", "f", "g"], ROWS):
             f, g = (x.view(np.uint64) for x in fps)  # numpy counts the bits of absolute values
             n = at & 0xFFFFFFFF
             left = np.searchsorted(at, (at - n) + _reach(n), "right") - 1 - np.arange(len(at))
-            count = np.zeros(len(at), np.int64)
+            done, met, count = left.copy(), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
             one, two = [], []
             now, d = np.flatnonzero(left > 0), 1
             while len(now):
-                near = now[np.bitwise_count(f[now] ^ f[now + d]) + np.bitwise_count(g[now] ^ g[now + d]) <= distance]
+                x, y = f[now] ^ f[now + d], g[now] ^ g[now + d]
+                close = np.bitwise_count(x) + np.bitwise_count(y) <= distance
+                near = now[close]
+                met[near] += 1
+                near = near[_first_keys(x[close], y[close], segments) == at[near] >> 52]
                 count[near] += 1
                 near = near[count[near] <= most]
                 one.append(near), two.append(near + d)
-                now = now[(left[now] > d) & (count[now] <= most)]
+                full = (count[now] > most) | (met[now] > looked)
+                done[now[full]] = np.where(count[now[full]] > most, d - 1, d)
+                now = now[~full & (left[now] > d)]
                 d += 1
             a, b = (node[np.concatenate(x)] if x else node[:0] for x in (one, two))
             a, b = np.minimum(a, b), np.maximum(a, b)
             zero = np.zeros(len(a), np.int64)
             yield pa.RecordBatch.from_pydict({"hot": np.zeros(len(a), bool), "at": zero, "a": a, "b": b, "f": zero, "g": zero})
-            again = np.isin(at >> 32, (at >> 32)[count > most])
-            if again.any():
+            stopped = np.flatnonzero(done < left)
+            if len(stopped):
+                ranges = np.zeros(len(at) + 1, np.int64)
+                np.add.at(ranges, stopped + done[stopped] + 1, 1), np.add.at(ranges, stopped + left[stopped] + 1, -1)
+                again = np.cumsum(ranges[:-1]) > 0
+                again[stopped] = True
                 yield pa.RecordBatch.from_pydict({"hot": np.ones(int(again.sum()), bool), "at": at[again], "a": node[again], "b": node[again], "f": fps[0][again], "g": fps[1][again]})
 
     return run
@@ -337,20 +367,12 @@ def _ahead(distance: int, most: int):
 
 def _first_shared(key: int, f: np.ndarray, g: np.ndarray, segments: int) -> np.ndarray:
     """Whether no key before this one is shared too, for pairs that share this one; f and g are the bits that differ."""
-    edges = [int(x) for x in np.linspace(0, 128, segments + 1)]
-    first = np.ones(len(f), bool)
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        mask = (1 << hi) - (1 << lo)
-        apart = np.bitwise_count(f & np.uint64(mask & (1 << 64) - 1)) + np.bitwise_count(g & np.uint64(mask >> 64))
-        if key < hi:
-            return first & ((apart > 0) | (key == lo))
-        first &= apart > 1
-    raise ValueError(f"no segment has key {key}")
+    return _first_keys(f, g, segments) == key
 
 
 def _across(distance: int, segments: int):
-    """Candidate pairs a, b of different classes, each once: in the first key that both have. If that key is not hot the
-    pair has come before. The key's largest class is not compared with itself."""
+    """Candidate pairs a, b of different classes, each once: in the first key that both have. If they do not come in that
+    key, the pair has come before. The key's largest class is not compared with itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _whole_keys(batches, ["at", "a", "f", "g", "root"], 1):
@@ -386,7 +408,7 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.filter(both / (F.size("of_a") + F.size("of_b") - both) >= SIMILARITY).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segments: int = SEGMENTS, ahead: int = AHEAD) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", segments: int = SEGMENTS, ahead: int = AHEAD, looked: int = LOOKED) -> DataFrame:
     """doc_id, hash, root (the same in all of a class of near copies): a row for each row of docs."""
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
     sets = materialize(texts.mapInArrow(_sets, "doc_id bigint, hash bigint, set bigint, n int, f bigint, g bigint"), "sets")
@@ -397,7 +419,7 @@ def near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seg
         return rows.repartition(F.shiftright("at", 32)).sortWithinPartitions("at", node)
 
     keyed = nodes.filter("n > 0").mapInArrow(_segment_keys(segments), "at bigint, node bigint, f bigint, g bigint")
-    met = materialize(by_key(keyed, "node").mapInArrow(_ahead(distance, ahead), _MET), "met")
+    met = materialize(by_key(keyed, "node").mapInArrow(_ahead(distance, ahead, segments, looked), _MET), "met")
     pairs = materialize(met.filter("NOT hot").select("a", "b").distinct(), "pairs")
     edges = materialize(_similar(pairs, texts), "similar")
     roots = components(edges)

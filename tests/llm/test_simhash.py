@@ -120,6 +120,42 @@ def test_near_copies_are_brute_force(spark, ahead):
     assert [first.setdefault(got[i], i) for i in range(len(texts))] == want
 
 
+def _crowd(seed, groups=4, size=60):
+    """Near copies of a few texts: doc_ids and texts."""
+    r = random.Random(seed)
+    texts = []
+    for c in range(groups):
+        base = [f"c{c}w{i}" for i in range(400)]
+        for _ in range(size):
+            gone = set(r.sample(range(400), r.choice([1, 2, 3, 5, 8])))
+            texts.append(" ".join("x" if i in gone else w for i, w in enumerate(base)))
+    return texts
+
+
+def test_a_pair_that_meets_in_many_keys_comes_once():
+    import numpy as np
+
+    texts = _crowd(5, 1, 120)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "hash": list(range(len(texts))), "text": texts})
+    sets = pa.Table.from_batches(simhash._sets(iter([batch]))).rename_columns(["doc_id", "node", "set", "n", "f", "g"]).combine_chunks()
+    keyed = pa.Table.from_batches(simhash._segment_keys(simhash.SEGMENTS)(iter(sets.to_batches())))
+    keyed = keyed.take(np.lexsort((keyed["node"].to_numpy(), keyed["at"].to_numpy())))
+    for ahead in (2, simhash.AHEAD):
+        met = pa.Table.from_batches(simhash._ahead(2 * simhash.SEGMENTS - 1, ahead, simhash.SEGMENTS, simhash.LOOKED)(iter(keyed.to_batches()))).to_pylist()
+        pairs, again = ([(x["a"], x["b"], x["at"]) for x in met if x["hot"] == hot] for hot in (False, True))
+        assert pairs and len(pairs) == len(set(pairs)) and len(again) == len(set(again))
+
+
+@pytest.mark.parametrize("ahead, looked", [(1, 1), (2, 5), (1000, 3), (1000, 1000)])
+def test_classes_do_not_depend_on_when_pairs_are_compared(spark, ahead, looked):
+    texts = _crowd(9, 3, 25)
+    root = {x["doc_id"]: x["root"] for x in simhash.near_copies(docs(spark, texts), ahead=ahead, looked=looked).collect()}
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "hash": list(range(len(texts))), "text": texts})
+    fps = [(x["f"] & (1 << 64) - 1) << 64 | x["g"] & (1 << 64) - 1 for b in simhash._sets(iter([batch])) for x in b.to_pylist()]
+    first = {}
+    assert [first.setdefault(root[i], i) for i in range(len(texts))] == _near_classes(texts, lambda i, j: (fps[i] ^ fps[j]).bit_count() < 2 * simhash.SEGMENTS)
+
+
 def test_empty_table(spark):
     df = docs(spark, ["x"]).filter(F.lit(False))
     assert simhash.digest(df).collect() == []

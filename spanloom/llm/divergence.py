@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, recording, remove, words
+from .common import ascii_lower, materialize, recording, remove
 from .ranking import top_k
 
 NOT_LETTERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,18 +50,24 @@ def difference(p: Column, q: Column) -> Column:
 
 def _named(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(empty(lang).alias("lang"), empty(source).alias("source"), words(ascii_lower(F.col(text)), NOT_LETTERS).alias("words"))
+    return docs.select(empty(lang).alias("lang"), empty(source).alias("source"), F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_LETTERS).alias("words"))
+
+
+def _tallies(named: DataFrame) -> DataFrame:
+    """lang, source, term, count and docs. Words are read twice, all and then each once a row, as arrays that are exploded whole:
+    a struct made for each word by a lambda costs more than the rest of the count. A split leaves an empty word at either end."""
+    twice = F.array(F.struct(F.col("words").alias("terms"), F.lit(0).alias("once")), F.struct(F.array_distinct("words").alias("terms"), F.lit(1).alias("once")))
+    lists = named.select("lang", "source", F.explode(twice).alias("x")).select("lang", "source", "x.once", "x.terms")
+    each = lists.select("lang", "source", "once", F.explode("terms").alias("term")).filter("term <> ''")
+    return each.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("count"), F.sum("once").alias("docs"))
 
 
 def count_terms(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """Kept terms that occur in a group: lang, source, term, count, lang_count; and the groups: lang, source, total, kept (terms
     of the language), lang_total. Both are written."""
     named = _named(docs, text, lang, source)
-    each = F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("times"), F.lit(0).alias("docs")))
-    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("times"), F.lit(1).alias("docs")))
-    tallies = named.select("lang", "source", F.explode(F.concat(each, once)).alias("x")).groupBy("lang", "source", "x.term")
     with recording() as made:
-        tallies = materialize(tallies.agg(F.sum("x.times").alias("count"), F.sum("x.docs").alias("docs")), "tallies")
+        tallies = materialize(_tallies(named), "tallies")
         kept = tallies.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs")
         kept = materialize(kept, "kept")
         counts = materialize(tallies.drop("docs").join(kept, ["lang", "term"]).select("lang", "source", "term", "count", "lang_count"), "counts")

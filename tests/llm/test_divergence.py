@@ -93,3 +93,10 @@ def test_radix_selection_with_crowded_ties(spark, monkeypatch):
             want += [(*x, i) for i, x in enumerate(best, 1)]
         got = [tuple(x) for x in ranking.top_k(d, ["g"], "v", "t", k, bits).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_words_are_counted_without_a_lambda_a_word(spark):
+    rows = [("B a,a", "x", "s"), (" b ", "x", "s"), (None, None, None), ("É é", "x", "t"), ("", "x", "t"), (" 1 ", "x", "t")]
+    tallies = divergence._tallies(divergence._named(corpus(spark, rows), "text", "lang", "source"))
+    assert "lambda" not in tallies._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, tallies.collect())) == [("x", "s", "a", 2, 1), ("x", "s", "b", 2, 2), ("x", "t", "É", 1, 1), ("x", "t", "é", 1, 1)]

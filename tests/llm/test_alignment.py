@@ -98,3 +98,37 @@ def test_no_table_stays(spark):
     before = {t.name for t in spark.catalog.listTables()}
     alignment.digest(docs(spark, ["a few words"])).collect()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_a_text_has_the_tokens_of_its_pieces(spark):
+    (encode_a, _), (encode_b, _) = alignment._tables(alignment.FOLDER, alignment.FILE_A, alignment.FILE_B)
+    assert alignment.cuts_apply(alignment.FOLDER, alignment.FILE_A, alignment.FILE_B)
+    around = ["a", "Z9", "'s", "--", "日", "é", "\n", "\t", "\x1c", "\x85", "\xa0", "　", " ", "​", "🙂", "\x00", " ", "  ", "   "]
+    texts = [t for t in TEXTS if t and "▁" not in t] + [x + s + y + s + z for x in around for y in around for z in ("b", "", "\n") for s in (" ", "  ")]
+    for t in texts:
+        pieces = alignment.cut(t)
+        assert " ".join(pieces) == t
+        assert [i for x in encode_a([" " + p for p in pieces]) for i in x] == encode_a([" " + t])[0], repr(t)
+        assert [i for x in encode_b(pieces) for i in x] == encode_b([t])[0], repr(t)
+        twice = [i for p in pieces * 2 for i in encode_a([" " + p])[0]]
+        assert [i for x in alignment._side_a(encode_a, pieces * 2, True) for i in x] == twice, repr(t)
+
+
+def test_a_piece_is_exploded_once_a_block(spark, monkeypatch):
+    seen = []
+    plain = alignment.met
+    monkeypatch.setattr(alignment, "SLICES", 1)
+    monkeypatch.setattr(alignment, "met", lambda tokens, lengths: seen.append(plain(tokens, lengths).count()) or plain(tokens, lengths))
+    texts = ["the cat sat on the mat"] + [f"the cat sat on the mat the cat {'sat' * (i % 2)}".rstrip() for i in range(50)] + ["bad ▁ cat", "new ▁ words", "words new cat"]
+    assert rows(alignment.digest(docs(spark, texts))) == [(i, *r) for i, r in enumerate(brute(texts))]
+    assert sum(seen) < 40  # 54 texts of six words and more
+
+
+@pytest.mark.parametrize("cuts", [True, False])
+def test_many_blocks_in_few_tasks(spark, monkeypatch, cuts):
+    monkeypatch.setattr(alignment, "SLICES", 2)
+    monkeypatch.setattr(alignment, "BUCKET", 300)
+    monkeypatch.setattr(alignment, "_even", lambda spark, buckets: spark.range(0).selectExpr("id AS at", "id AS block"))  # none found: blocks share buckets
+    monkeypatch.setattr(alignment, "cuts_apply", lambda *_: cuts)
+    texts = [" ".join(TEXTS[(i * j) % len(TEXTS)] or "" for j in range(1, 5)) for i in range(40)]
+    assert rows(alignment.digest(docs(spark, texts))) == [(i, *r) for i, r in enumerate(brute(texts))]

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import DAY, MINUTE, SECOND, bucket_start
+from ..functions.expr import DAY, MINUTE, SECOND, bucket_start, uuid7_micros
 from ..sources.scratch import written
 from . import grid
 from .canonical import activity, latest_per_key
 from .detail import prompt_candidates, prompt_sources
 from .pairing import ADJACENT_TOLERANCE, ASSISTANT_TOLERANCE, CONTEXT, PROMPT_TOLERANCE, adjacent_copies, submitted_form, tolerance_pairs, without
-from .predicates import is_conversation_source, of_versions
+from .predicates import is_activity, is_conversation_source, is_prompt, of_versions
 from .revisions import diff_revisions, latest_revision
 from .sessions import coordinates
 
@@ -50,6 +50,14 @@ def representation_copies(events: DataFrame, at: str = "effective_at") -> DataFr
     return twice.unionByName(said.join(again, ["batch_id", "record_index"], "left_semi").select("id")).distinct()
 
 
+def about(events: DataFrame, start: int, end: int, versions: tuple[str, ...]) -> DataFrame:
+    """The events that evidence() of [start, end) reads: activity and prompts of the padded window, by any of their times."""
+    # Said with one use of the time, as that of a native id is dear to read. The window's end comes too; evidence() cuts it.
+    near = lambda c: F.abs(2 * c - (start + end)) <= end - start + 2 * PADDING
+    source, native = F.coalesce("occurred_at", "observed_at", "received_at"), uuid7_micros(F.col("native_item_id"))
+    return events.filter(of_versions(versions) & (is_activity() | is_prompt()) & (F.coalesce(near(source), F.lit(False)) | near(native)))
+
+
 def evidence(events: DataFrame, sessions: DataFrame, start: int, end: int, versions: tuple[str, ...]) -> DataFrame:
     """Activity and prompts of [start, end): EVIDENCE_KEYS and EVIDENCE_VALUES.
 
@@ -115,7 +123,8 @@ def run_projection(events: DataFrame, sessions: DataFrame, path: str, now: int,
     _, fresh = projection_run(at, read, now, projector)
     fresh = written(fresh, "fresh")
     mine = lambda df: df.join(fresh.select("session_id"), "session_id", "left_semi")
-    desired = evidence(mine(events), sessions, start, end, versions)
+    # Activity and prompts, and copies of either, are told from these few: the history is read for them once.
+    desired = evidence(written(mine(about(events, start, end, versions)), "about"), sessions, start, end, versions)
     before = _store(spark, f"{path}/revisions", REVISION, run).join(read.select(F.col("receipt_id").alias("revision_id"), "session_id").distinct(), ["revision_id", "session_id"], "left_semi")
     last = latest_revision(mine(before), EVIDENCE_KEYS, drop_tombstones=False)
     last = last.filter((F.col("observed_at") >= start) & (F.col("observed_at") < end))

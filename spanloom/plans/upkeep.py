@@ -150,7 +150,7 @@ SELECT * FROM e""")
 def projection_runs(spark, sf_dir):
     """What two runs leave: one while a third of the events had not come, one when all had; a third finds nothing to do."""
     e = _events(spark, sf_dir).filter(F.col("observed_at") < _TO)
-    sessions, path = T.activity_sessions(e), _place(spark, "evidence")
+    sessions, path = scratch.written(T.activity_sessions(e), "sessions"), _place(spark, "evidence")
     projection.run_projection(e.filter("id % 3 <> 1"), sessions, path, _NOW, VERSIONS, 1)
     projection.run_projection(e, sessions, path, _NOW, VERSIONS, 2)
     if not projection.run_projection(e, sessions, path, _NOW, VERSIONS, 3).isEmpty():

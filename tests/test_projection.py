@@ -110,3 +110,16 @@ def test_projected_grid_is_the_raw_one_without_copies(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, raw.collect()))
     payload = {r["person_id"]: r["payload"] for r in grid.day_payload(raw).collect()}
     assert payload[2] == "[[0,0,0,0],[0,0,0,0],[0,0,0,0],[0,0,0,0]]" and payload[1].count("[") == 5
+
+
+def test_evidence_needs_no_more_than_what_is_about_its_window(spark):
+    edges = [-7, -6, -5, 0, 5, 99, 100, 105, 106, 107]
+    rows = [event(1 + n, at=at * S, **more) for n, (at, more) in enumerate((at, more) for at in edges for more in ({}, {"native_item_id": native(50 * S), **STRUCTURED}, {"native_item_id": native(500 * S), **STRUCTURED}))]
+    rows += [event(100, at=5000 * S), event(101, at=5000 * S, native_item_id=native(20 * S), **STRUCTURED), event(102, at=50 * S, normalizer_version="other")]
+    events = spark.createDataFrame(rows, EVENT)
+    few = P.about(events, 0, 100 * S, VERSIONS)
+    kept = {r["id"] for r in few.collect()}
+    assert 101 in kept and not kept & {1, 100, 102}
+    sessions = spark.createDataFrame([(i, 0, None) for i in range(4)], "session_id long, started_at long, parent_session_id long")
+    told = lambda df: sorted(map(str, P.evidence(df, sessions, 0, 100 * S, VERSIONS).collect()))
+    assert told(few) == told(events)

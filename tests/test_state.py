@@ -167,3 +167,18 @@ def test_state_is_called_by_session_not_by_event():
     parts = [Row(session_id=e[0], row=json.dumps({"batch_seq": e[1], "event_subtype": e[6], "actor_role": "primary", "started_at": e[2], "person_id": 1})) for e in rows]
     assert len(list(fold.handleInputRows((0,), iter(parts), None))) == 3 and handle.calls <= 3 * 3
     assert not list(fold.handleInputRows((0,), iter(parts), None))
+
+
+@pytest.mark.parametrize("small", [S.SMALL, 0])
+def test_a_preferred_event_without_a_span_is_known_in_later_batches(small):
+    """It keeps those it is preferred to out of the spans, though its own batch revises none; in a large session as well."""
+    blank = dict.fromkeys(S._EVENT[1:]) | {"source_priority": 100, "is_replay": False, "event_kind": "lifecycle", "normalizer_version": "v1", "scope_key": "s", "logical_event_key": "k"}
+    row = lambda **x: Row(session_id=1, row=json.dumps({k: v for k, v in (blank | x).items() if v is not None}))
+    meta = row(id=1, at=1, occurred_at=1, event_subtype="session_meta")
+    later = [row(id=i, at=i, occurred_at=i, event_subtype=x) for i, x in ((2, "task_started"), (3, "task_complete"))]
+    handle, spans = Handle(), S.SpanRevisions(small=small)
+    spans.init(handle)
+    assert not [x for batch in ([meta], later, [meta]) for x in spans.handleInputRows((0,), iter(batch), None)]
+    calls = handle.calls
+    assert not list(spans.handleInputRows((0,), iter([meta, *later]), None))
+    assert handle.calls - calls <= 4  # what came again is read and not written
